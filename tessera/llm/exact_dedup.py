@@ -23,24 +23,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", "")
 
 
-def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each input row: its id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and the columns of ``carry``.
-
-    Texts are equal when the same after deleting ASCII white space; a null text counts as empty. The row with the most code
-    points in its original text stays, then the smallest id, nulls last; of rows that tie in both, one is ``kept``.
-    An empty table gives an empty result. Columns not named are ignored, so clashing names do no harm.
-    """
-    rows = docs.select(
-        F.col(id_col).alias("__id"),
-        F.col(text_col).alias("__text"),
-        *(F.col(c).alias(f"__carry_{c}") for c in carry),
-    )
-    rows = rows.select(
-        "__id",
-        *(f"__carry_{c}" for c in carry),
-        normalised(F.col("__text")).alias("__norm"),
-        F.char_length(F.coalesce("__text", F.lit(""))).alias("__chars"),
-    ).withColumn("__sha", F.sha2("__norm", 256))
+def _sorted_groups(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """``docs`` dealt and sorted by content, with columns ``__*``; ``whole`` keeps all columns, else only id and digest."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.col(c).alias(f"__own_{i}") for i, c in enumerate(docs.columns)] if whole else []
+    rows = docs.select(F.col(id_col).alias("__id"), F.char_length(text).alias("__chars"), normalised(F.col(text_col)).alias("__norm"), *own)
+    rows = rows.withColumns({"__sha": F.sha2("__norm", 256), "__prefix": F.substring("__norm", 1, PREFIX)})
+    if whole:  # the original texts go through the shuffle, and are normalised again behind it
+        rows = rows.drop("__norm")
     n = partitions(docs.sparkSession)
     best = F.min(F.struct((-F.col("__chars")).alias("c"), F.col("__id").isNull().alias("n"), F.col("__id").alias("i")))
     hot = (
@@ -49,31 +39,36 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .where(F.col("__hot_size") > max(64.0, docs.count() / (4 * n)))
         .select("__sha", "__hot_size", F.col("__best.i").alias("__hot_keep"))
     )
-    salted = rows.join(F.broadcast(hot), "__sha", "left").withColumn(
-        "__salt", F.when(F.col("__hot_size").isNull(), 0).otherwise(F.pmod(F.xxhash64("__id"), F.lit(SALTS)))
-    )
-    key = [F.substring("__norm", 1, PREFIX).alias("__prefix"), "__sha", "__salt"]
-    dealt = salted.withColumn("__prefix", key[0]).repartitionByRange(n, "__prefix", "__sha", "__salt")
-    order = Window.partitionBy("__prefix", "__sha", "__salt", "__norm").orderBy(
-        F.col("__chars").desc(), F.col("__id").asc_nulls_last()
-    )
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = dealt.select(
-        "*",
-        F.row_number().over(order).alias("__rank"),
-        F.first("__id").over(whole).alias("__keep"),
-        F.count(F.lit(1)).over(whole).alias("__size"),
-    )
-    is_hot = F.col("__hot_size").isNotNull()
-    keep = F.when(is_hot, F.col("__hot_keep")).otherwise(F.col("__keep"))
-    return seen.select(
-        F.col("__id").alias(id_col),
-        keep.alias("keep_id"),
-        F.coalesce("__hot_size", "__size").alias("group_size"),
-        ((F.col("__rank") == 1) & F.col("__id").eqNullSafe(keep)).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
-        *(F.col(f"__carry_{c}").alias(c) for c in carry),
-    )
+    salt = F.when(F.col("__hot_size").isNull(), 0).otherwise(F.pmod(F.xxhash64("__id"), F.lit(SALTS)))
+    key = ["__prefix", "__sha", "__salt"]
+    dealt = rows.join(F.broadcast(hot), "__sha", "left").withColumn("__salt", salt).repartitionByRange(n, *key)
+    if whole:
+        dealt = dealt.withColumn("__norm", normalised(F.col(f"__own_{docs.columns.index(text_col)}")))
+    order = Window.partitionBy(*key, "__norm").orderBy(F.col("__chars").desc(), F.col("__id").asc_nulls_last())
+    all_ = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = dealt.select("*", F.row_number().over(order).alias("__rank"), F.first("__id").over(all_).alias("__first"), F.count(F.lit(1)).over(all_).alias("__size"))
+    keep = F.when(F.col("__hot_size").isNotNull(), F.col("__hot_keep")).otherwise(F.col("__first"))
+    seen = seen.withColumn("__keep", keep)
+    return seen.withColumn("__kept", (F.col("__rank") == 1) & F.col("__id").eqNullSafe(F.col("__keep")))
+
+
+def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+
+    Texts are equal when the same after deleting ASCII white space; a null text counts as empty. The row with the most code
+    points in its original text stays, then the smallest id, nulls last; of rows that tie in both, one is ``kept``.
+    An empty table gives an empty result. Columns not named are ignored, so clashing names do no harm.
+    """
+    return _sorted_groups(docs, id_col, text_col, False).select(
+        F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.coalesce("__hot_size", "__size").alias("group_size"),
+        F.col("__kept").alias("kept"), F.col("__sha").alias("text_sha256"),
+    )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all columns and no others."""
+    kept = _sorted_groups(docs, id_col, text_col, True).where("__kept")
+    return kept.select(*(F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tessera.llm.common import WORD, checkpointed, table
+from tessera.llm.common import WORD, checkpointed, table, unit_hash
 
 BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 20
@@ -100,23 +100,17 @@ def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["__source_no", "__shard", "__blocks", "__quota"]]
 
 
-def mix(docs: DataFrame, seed: int = 0, weigh: Callable[[Sequence[str | None]], Sequence[int]] = cycle_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each input row: id, size, source_size, target (its source's), taken, and the columns of ``carry``.
-
-    ``size`` counts words ``[^\\x20\\x09-\\x0D]+`` (null: 0), ``taken`` the words of the row that the mix takes, repeats
-    counted, at most ``REPEATS`` times its size. A null source is a source of its own and comes last. A source without words
-    has target 0 and takes nothing. Repeated rows stay apart. Reruns agree, however the rows are partitioned; the driver
-    only sees one row for each source, the sources being the mix's configuration. Other columns are ignored.
-    """
+def _mixed(docs: DataFrame, seed: int, weigh: Callable[[Sequence[str | None]], Sequence[int]], id_col: str, text_col: str, source_col: str, whole: bool) -> DataFrame:
+    """id, size, source size, target and words taken of each row, as columns ``__*``; ``whole`` keeps all columns."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("__id"),
         F.col(source_col).alias("__source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
         F.coalesce(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(0)).alias("__order"),
-        *(F.col(c).alias(f"__carry_{c}") for c in carry),
+        *([F.col(c).alias(f"__own_{i}") for i, c in enumerate(docs.columns)] if whole else []),
     )
-    slim = checkpointed(rows) if not carry else rows
+    slim = rows if whole else checkpointed(rows)
     found = slim.groupBy("__source").agg(F.sum("__size").alias("n")).collect()
     found.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
     sizes = [r["n"] for r in found]
@@ -148,11 +142,36 @@ def mix(docs: DataFrame, seed: int = 0, weigh: Callable[[Sequence[str | None]],
         return f"(({x}) * __all + {BLOCK_WORDS} * {chosen(k)} + (({x}) % {BLOCK_WORDS}) * ({chosen(f'({k} + 1)')} - {chosen(k)}))"
 
     taken = F.expr(f"CASE WHEN __size = 0 THEN 0L ELSE {upto('__end')} - {upto('__end - __size')} END")
-    return spread.select(
+    return spread.withColumn("__taken", taken)
+
+
+def mix(docs: DataFrame, seed: int = 0, weigh: Callable[[Sequence[str | None]], Sequence[int]] = cycle_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each input row: id, size, source_size, target (its source's) and taken.
+
+    ``size`` counts words ``[^\\x20\\x09-\\x0D]+`` (null: 0), ``taken`` the words of the row that the mix takes, repeats
+    counted, at most ``REPEATS`` times its size. A null source is a source of its own and comes last. A source without words
+    has target 0 and takes nothing. Repeated rows stay apart. Reruns agree, however the rows are partitioned; the driver
+    only sees one row for each source, the sources being the mix's configuration. Other columns are ignored.
+    """
+    found = _mixed(docs, seed, weigh, id_col, text_col, source_col, False)
+    return found.select(
         F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"), taken.alias("taken"), *(F.col(f"__carry_{c}").alias(c) for c in carry),
+        F.col("__target").alias("target"), F.col("__taken").alias("taken"),
     )
 
 
+def mixed_documents(docs: DataFrame, seed: int = 0, weigh: Callable[[Sequence[str | None]], Sequence[int]] = cycle_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as whole documents, with the columns of ``docs``: a row stands for as many copies as the mix takes of it.
+
+    What is left over a whole number of copies is rounded at a seeded place for each document, so that each source's words
+    come near its target. A row is returned 0 to ``REPEATS`` times.
+    """
+    found = _mixed(docs, seed, weigh, id_col, text_col, source_col, True)
+    draw = unit_hash(F.lit(seed + 1), "__order")
+    copies = F.when(F.col("__size") == 0, 0).otherwise(F.floor(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)) + draw)).cast("int")
+    rows = found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.least(copies, F.lit(REPEATS)))))
+    return rows.select(*(F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

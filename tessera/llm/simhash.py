@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +26,39 @@ from tessera.llm.components import components
 
 BITS = 64
 #: Rows of a tile, and the mean bucket that a set of tables may have.
-TILE, MEAN_BUCKET = 4096, 2048
+TILE, WIDE_TILE, MEAN_BUCKET = 4096, 2048, 2048
+#: For wide fingerprints: bits drawn for a table at least, and the chance that a pair at the threshold meets in no table.
+SAMPLED, MISSED = 16, 0.01
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The text's SimHash over shingles of ``width`` words, as a signed 64-bit integer; 0 without a word."""
+def shingle_digests(text: str | None, width: int, seed: int = 42) -> bytes:
+    """The XXH64 digests of a text's shingles of ``width`` words, one after the other; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     if len(words) <= width:
-        digests = xxhash.xxh64_digest(joined, 42)
-    else:
-        starts, at = [], 0
-        for w in words:
-            starts.append(at)
-            at += len(w) + 1
-        ends = [s - 1 for s in starts[width:]]
-        ends.append(len(joined))
-        digest = xxhash.xxh64_digest
-        digests = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends)])
-    hashes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+        return xxhash.xxh64_digest(joined, seed)
+    starts, at = [], 0
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    ends = [s - 1 for s in starts[width:]]
+    ends.append(len(joined))
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends)])
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """The text's SimHash over shingles of ``width`` words, as a signed 64-bit integer; 0 without a word."""
+    hashes = np.frombuffer(shingle_digests(text, width), np.uint8).reshape(-1, 8)
+    return _bits(hashes)
+
+
+def _bits(hashes: np.ndarray) -> int:
+    """One bit for each column of ``hashes`` (rows of 8 bytes) that is set in over half the rows."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[at : at + 8192], axis=1).sum(axis=0, dtype=np.int64)
@@ -204,6 +216,212 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint(text: str | None, width: int) -> tuple[int, int]:
+    """128 bits: the SimHash of the shingles' hashes, and that of the hashes mixed anew."""
+    digests = shingle_digests(text, width)
+    hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
+    hashes = np.unique(hashes)
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return tuple(_bits(h.astype(">u8").view(np.uint8).reshape(-1, 8)) for h in (hashes, mixed ^ (mixed >> np.uint64(31))))
+
+
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    """The similarity of the sets of shingles of two texts; 1.0 if both have none."""
+    x, y = (np.unique(np.frombuffer(shingle_digests(t, width), np.uint64)) for t in (a, b))
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def flip_chance(similarity: float) -> float:
+    """The chance that a bit differs between two sets of one size with that Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def sampled_tables(count: int, similarity: float) -> tuple[int, int, int]:
+    """Bits of a table's key, tables, and the radius (of 128 bits) that a pair at the threshold passes with 4 sigma."""
+    p = flip_chance(similarity)
+    bits = max(SAMPLED, ceil(log2(max(1, count) / MEAN_BUCKET)))
+    tables = ceil(log(MISSED) / log(1 - (1 - p) ** bits))
+    return bits, tables, ceil(128 * p + 4 * (128 * p * (1 - p)) ** 0.5)
+
+
+def _keys(bits: int, tables: int):
+    """An Arrow map of (lo, hi) to (tile, lo, hi), once for each table."""
+    rng = np.random.default_rng(5)
+    drawn = [rng.choice(128, bits, replace=False) for _ in range(tables)]
+    masks = np.array([[sum(1 << int(b) for b in d if b < 64), sum(1 << int(b) - 64 for b in d if b >= 64)] for d in drawn], np.uint64)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lo, hi = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        salt = np.arange(1, tables + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        key = ((lo[:, None] & masks[:, 0]) + salt) * np.uint64(0xBF58476D1CE4E5B9)
+        key = ((key ^ (key >> np.uint64(31))) + (hi[:, None] & masks[:, 1])) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(30)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(lo.view(np.int64), tables)), pa.array(np.repeat(hi.view(np.int64), tables))], names=["tile", "lo", "hi"]
+        )
+
+    return run
+
+
+def _least_forest(lo: np.ndarray, hi: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ends of a least spanning forest (by distance, up to ``radius``) of up to a few thousand fingerprints."""
+    n = len(lo)
+    far = np.uint8(255)
+    gap = (np.bitwise_count(lo[:, None] ^ lo[None, :]) + np.bitwise_count(hi[:, None] ^ hi[None, :])).astype(np.uint8)
+    gap[gap > radius] = far
+    np.fill_diagonal(gap, far)
+    label = np.arange(n)
+    ends: tuple[list[int], list[int]] = [], []
+    while True:
+        gap[label[:, None] == label[None, :]] = far
+        near = gap.argmin(axis=1)
+        least = gap[np.arange(n), near]
+        order = np.lexsort((np.arange(n), least, label))
+        heads = order[np.concatenate(([True], label[order][1:] != label[order][:-1]))]
+        joined = False
+        for i in heads[least[heads] <= radius]:
+            a, b = label[i], label[near[i]]
+            if a != b:
+                ends[0].append(int(i))
+                ends[1].append(int(near[i]))
+                label[label == max(a, b)] = min(a, b)
+                joined = True
+        if not joined:
+            return np.array(ends[0], np.int64), np.array(ends[1], np.int64)
+
+
+def _wide_compare(radius: int):
+    """An Arrow map over rows sorted by ``tile``, then lo and hi: links by least distance as (lo, hi, lo2, hi2).
+
+    A batch's rows are compared within their buckets by their distance in the sorted order, all buckets at once; a bucket with
+    several links, or with many rows (2 x WIDE_TILE or so at most), returns a least forest of them.
+    """
+
+    def links_of(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[np.ndarray]:
+        low = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+        size = np.diff(np.concatenate((low, [len(keys)])))
+        number = np.repeat(np.arange(len(low)), size)
+        near = np.zeros(len(low), np.int64)
+        small = size <= 64
+        places = np.flatnonzero(small[number])
+        found = []
+        for step in range(1, int(size[small].max(initial=1))):
+            i = places[places + step < len(keys)]
+            i = i[keys[i] == keys[i + step]]
+            if not len(i):
+                break
+            gap = np.bitwise_count(lo[i] ^ lo[i + step]) + np.bitwise_count(hi[i] ^ hi[i + step])
+            i = i[gap <= radius]
+            np.add.at(near, number[i], 1)
+            found.append((i, i + step))
+        if found:
+            i, j = (np.concatenate(x) for x in zip(*found))
+            single = near[number[i]] <= 2
+            i, j = i[single], j[single]
+            yield np.stack([lo[i], hi[i], lo[j], hi[j]])
+        for k in np.flatnonzero((near > 2) | ~small):
+            part = slice(low[k], low[k] + size[k])
+            x, y = _least_forest(lo[part], hi[part], radius)
+            yield np.stack([lo[part][x], hi[part][x], lo[part][y], hi[part][y]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the rows of the last bucket so far
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if not rows.shape[1]:
+                continue
+            if held and held[-1][0, -1] == rows[0, -1]:
+                held.append(rows)
+                continue
+            rows = np.concatenate([*held, rows], axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            held = [rows[:, cut:]]
+            yield from out(rows[:, :cut])
+        if held:
+            yield from out(np.concatenate(held, axis=1))
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if rows.shape[1] > 1:
+            for x in links_of(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64)):
+                if x.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in x], names=["lo", "hi", "lo2", "hi2"])
+
+    return run
+
+
+def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (columns a and b, of the type of ``key``) between texts whose sets of shingles have that similarity or more.
+
+    ``prints`` has a ``key`` (distinct, not null) and the columns lo and hi of ``with_wide_fingerprints``; ``texts`` has key
+    and text. Links returned are exact; a pair at the threshold is missed with a chance of MISSED at most, a closer one far
+    more rarely, and of a dense group a forest of its closest links is tried. Of keys with one wide fingerprint the least one
+    stands for all, and the others are compared with it.
+    """
+    spark = prints.sparkSession
+    first = checkpointed(prints.groupBy("lo", "hi").agg(F.min("key").alias("key")))
+    count = first.count()
+    bits, tables, radius = sampled_tables(count, similarity)
+    keyed = first.select("lo", "hi").mapInArrow(per_batch(_keys(bits, tables), 4096), "tile bigint, lo bigint, hi bigint")
+    large = keyed.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_TILE)
+    large = checkpointed(large.select("tile", F.ceil(F.col("n") / WIDE_TILE).alias("salts")))
+    dealt = keyed.join(F.broadcast(large) if large.count() <= 50_000 else large, "tile", "left")
+    # The rows of a large bucket are salted; each salt meets each other in a tile of its own.
+    other = F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.expr("sequence(0L, salts - 1)")))
+    dealt = dealt.withColumn("other", other).withColumn("own", F.coalesce(F.pmod(F.xxhash64("lo", "hi"), F.col("salts")), F.lit(0)))
+    salted = F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other"))
+    tiles = dealt.select(F.when(F.col("salts").isNull(), F.col("tile")).otherwise(salted).alias("tile"), "lo", "hi")
+    n = max(partitions(spark), -(-count * tables // 1_000_000))
+    tiles = tiles.repartition(n, "tile").sortWithinPartitions("tile", "lo", "hi")
+    pairs = tiles.mapInArrow(_wide_compare(radius), "lo bigint, hi bigint, lo2 bigint, hi2 bigint")
+    ends = [F.struct("lo", "hi"), F.struct(F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))]
+    pairs = pairs.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).distinct()
+    one = first.select(F.struct("lo", "hi").alias("x"), F.col("key").alias("a"))
+    two = first.select(F.struct("lo", "hi").alias("y"), F.col("key").alias("b"))
+    candidates = pairs.join(one, "x").join(two, "y").select("a", "b")
+    same = prints.select("key", "lo", "hi").join(first.withColumnRenamed("key", "a"), ["lo", "hi"]).where("key <> a").select("a", F.col("key").alias("b"))
+    candidates = checkpointed(candidates.union(same))
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    both = candidates.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+
+    def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [jaccard(a, b, width) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        return pa.RecordBatch.from_arrays(batch.columns[:2], schema=pa.schema([batch.schema.field(0), batch.schema.field(1)])).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(per_batch(confirm, 256), StructType(both.schema.fields[:2]))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those that are linked, directly or over others, to a row with a smaller doc_id.
+
+    Texts link when their sets of shingles of ``width`` words, lower-cased in A-Z, have that Jaccard similarity or more; blank
+    texts link with each other. A null id sorts first. Repeated rows (one id, one text) leave one. All columns are returned,
+    no others; an empty table gives an empty result.
+    """
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
+    slim = with_wide_fingerprints(keyed.select(F.col("__key").alias("key"), "text"), width).select("key", "lo", "hi")
+    slim = checkpointed(slim.dropDuplicates(["key"]))
+    rows = keyed.dropDuplicates(["__key"])
+    found = components(similar_links(slim, rows.select(F.col("__key").alias("key"), "text"), width, similarity))
+    gone = found.where("node <> root").select(F.col("node").alias("__key"))
+    return rows.join(gone, "__key", "left_anti").select(*docs.columns)
+
+
+def with_wide_fingerprints(docs: DataFrame, width: int = 5, text_col: str = "text", lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """All columns of ``docs`` and two long columns (new names) with the 128-bit SimHash; both 0 for texts without a word."""
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = [wide_fingerprint(x, width) for x in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1))], names=[*batch.schema.names, lo, hi])
+
+    return docs.mapInArrow(per_batch(run), StructType([*docs.schema.fields]).add(lo, LongType()).add(hi, LongType()))
+
+
 def table_count(count: int, radius: int) -> int:
     blocks, chosen = tables_for(count, radius)
     return comb(blocks, chosen)

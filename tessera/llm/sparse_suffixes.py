@@ -206,7 +206,7 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = rf"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), p AS (
   SELECT doc_id, place, md5(array_to_string(ws[place + 1 : place + {LEAST}], ' ')) AS k
   FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {LEAST - 1})) AS place FROM w WHERE len(ws) >= {LEAST})
