@@ -28,7 +28,7 @@ BITS = 64
 #: Rows of a tile, and the mean bucket that a set of tables may have.
 TILE, WIDE_TILE, MEAN_BUCKET = 4096, 2048, 2048
 #: For wide fingerprints: bits drawn for a table at least, and the chance that a pair at the threshold meets in no table.
-SAMPLED, MISSED = 16, 0.01
+SAMPLED, MISSED = 16, 0.002
 
 
 def shingle_digests(text: str | None, width: int, seed: int = 42) -> bytes:
