@@ -22,7 +22,7 @@ from tessera.llm.common import per_batch, table, unit_hash
 from tessera.llm.language_id import held_out
 
 #: Labelled documents of each class that the lexicon and the weights are fitted on, in the order of a text hash.
-SAMPLE = 3000
+SAMPLE = 1500
 #: A term is in this share of the toxic sample at least, and this many times as frequent there as in the rest.
 SUPPORT, RATIO = 0.004, 20
 LEAST_TERM, LEAST_FUZZY_WORD, LEAST_FUZZY_STEM = 4, 5, 6
