@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import checkpointed, partitions, table
+from tessera.llm.common import partitions, stored, table
 
 LEAST, GRAM, STRETCH = 50, 5, 20
 #: Characters of text that are hashed at once.
@@ -151,9 +152,10 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their keys, then doc_id (the last column but one), those in a run of equal keys with two ids.
+    """Of rows sorted by their keys, then doc_id (the last column but one), those in a run of equal keys with two ids: ``sure``.
 
-    Works on one batch at a time. The first and last run of a batch may go on in another: their rows are marked ``edge``.
+    Works on one batch at a time. The first and last run of a batch may go on in another: their rows are returned too, with
+    their keys; other rows no longer need theirs.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -162,23 +164,28 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
         low = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1))
         high = np.concatenate((low[1:], [len(ids)]))
+        sure = ids[low] != ids[high - 1]
         end = np.zeros(len(low), bool)
         end[[0, -1]] = True
-        kept = np.repeat(end | (ids[low] != ids[high - 1]), high - low)
-        edge = pa.array(np.repeat(end, high - low))
-        yield pa.RecordBatch.from_arrays([*batch.columns, edge], names=[*batch.schema.names, "edge"]).filter(pa.array(kept))
+        size = high - low
+        inner = pa.array(np.repeat(~end, size))
+        columns = [pc.if_else(inner, None, c) for c in batch.columns[:-2]]
+        out = pa.RecordBatch.from_arrays([*columns, *batch.columns[-2:], pa.array(np.repeat(sure, size))], names=[*batch.schema.names, "sure"])
+        yield out.filter(pa.array(np.repeat(end | sure, size)))
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows (keys, doc_id, place) whose keys another doc_id has too, by sorting and comparing neighbours."""
+    """doc_id and place of the rows whose keys another doc_id has too, by sorting and comparing neighbours."""
     n = partitions(rows.sparkSession)
     order = [*keys, "doc_id", "place"]
     dealt = rows.select(*order).repartitionByRange(n, *keys, "doc_id").sortWithinPartitions(*order)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    found = checkpointed(dealt.mapInArrow(_neighbours, f"{kinds}, edge boolean"))
-    edges = found.where("edge")
-    ends = edges.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select(*keys)
-    return found.where("NOT edge").select(*order).union(edges.join(ends, keys, "left_semi").select(*order))
+    found = stored(dealt.mapInArrow(_neighbours, f"{kinds}, sure boolean"))
+    # Runs at the ends of batches, put together again: a row that is not sure may have its neighbour in another batch.
+    ends = found.where(F.col(keys[0]).isNotNull())
+    ends = ends.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select(*keys)
+    unsure = found.where("NOT sure").join(ends, keys, "left_semi")
+    return found.where("sure").select("doc_id", "place").union(unsure.select("doc_id", "place"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -192,7 +199,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     suffixes = texts.mapInArrow(_suffixes, "key bigint, doc_id bigint, place int")
     places = repeated(suffixes, ["key"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     passages = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_passages, "key bigint, key2 bigint, doc_id bigint, place int")
-    found = repeated(passages, ["key", "key2"]).select("doc_id", "place").distinct()
+    found = repeated(passages, ["key", "key2"])
     line = Window.partitionBy("doc_id").orderBy("place")
     opens = F.coalesce((F.col("place") > F.lag("place").over(line) + LEAST).cast("int"), F.lit(1))
     spans = found.withColumn("opens", opens).withColumn("span", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
