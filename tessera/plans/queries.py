@@ -1,2 +1,388 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The named queries of the library, each composed of operators on the adapted tables, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import text as T
+from tessera.functions.numbers import half_up
+from tessera.operators import coverage, matching, ranking, state, statistics, summaries
+from tessera.operators.eligibility import for_hazards, for_ranking, for_statistics
+from tessera.plans import adapters as A
+from tessera.plans.oracle import SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+TIES = ["pos", "k1", "k2", "k3"]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _eligible(reports: DataFrame, rule=for_statistics) -> DataFrame:
+    return reports.where(rule(F.col("evidence_tier"), F.col("source")))
+
+
+def _with_reader(spark: SparkSession, d: str) -> DataFrame:
+    return _eligible(A.reports(spark, d)).join(A.cases(spark, d).select("case_id", "reader"), "case_id")
+
+
+@query
+def model_source_summary(spark, d):
+    return summaries.model_source_summary(A.reports(spark, d))
+
+
+@query
+def modality_body_part_summary(spark, d):
+    return summaries.modality_summary(A.cases(spark, d), A.reports(spark, d))
+
+
+@query
+def case_routes(spark, d):
+    return summaries.case_routes(A.cases(spark, d), A.reports(spark, d))
+
+
+@query
+def global_counters(spark, d):
+    return summaries.counters(A.reports(spark, d))
+
+
+@query
+def warning_histogram(spark, d):
+    return summaries.warning_text(A.reports(spark, d))
+
+
+@query
+def quality_gate_failures(spark, d):
+    failed = A.reports(spark, d).where("quality = 'failed'")
+    joined = failed.join(A.cases(spark, d), "case_id")
+    return joined.select("case_id", "reader", "modality", "body_part", "model", "source", "evidence_tier", F.array_join("warnings", ";").alias("warnings"))
+
+
+@query
+def metric_statistics_ci(spark, d):
+    return statistics.describe(statistics.unpivoted(_eligible(A.reports(spark, d)), ["case_id"]), ["metric"])
+
+
+@query
+def reader_metric_statistics(spark, d):
+    return statistics.describe(statistics.unpivoted(_with_reader(spark, d), ["reader"]), ["reader", "metric"])
+
+
+@query
+def reader_overall_score(spark, d):
+    return statistics.overall_score(_with_reader(spark, d), ["reader"])
+
+
+@query
+def reader_percentiles(spark, d):
+    scores = statistics.overall_score(_with_reader(spark, d), ["reader"]).select("reader", F.col("overall_score").alias("value"))
+    return statistics.midrank_percentile(scores).select("reader", F.col("value").alias("overall_score"), "percentile")
+
+
+@query
+def modelwise_weighted(spark, d):
+    weights = spark.range(8).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"), (0.5 * F.col("id")).alias("weight")).where("model <> 'm5'")
+    rows = _eligible(A.reports(spark, d)).join(A.cases(spark, d).select("case_id", "modality"), "case_id")
+    return statistics.weighted_means(rows, weights, ["modality"])
+
+
+@query
+def hazardwise_weighted(spark, d):
+    rows = A.reports(spark, d).withColumn("level", (1 + F.col("k2") % 5).cast("int"))
+    weighed = _eligible(rows, for_hazards).withColumn("w", F.when(F.col("level") >= 4, 2.0).when(F.col("level") == 1, 0.5).otherwise(1.0))
+    return weighed.groupBy("level").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg(F.col("finding_coverage") * F.col("w"))).alias("weighted_coverage"))
+
+
+@query
+def department_denominators(spark, d):
+    eligible = _eligible(A.reports(spark, d)).groupBy("case_id").agg(F.count(F.lit(1)).alias("ok"))
+    joined = A.cases(spark, d).join(eligible, "case_id", "left")
+    out = joined.groupBy("modality").agg(F.count(F.lit(1)).alias("source_count"), F.count("ok").alias("success_count"))
+    return out.withColumn("failure_count", F.col("source_count") - F.col("success_count")).withColumn("success_rate", half_up(F.col("success_count") / F.greatest("source_count", F.lit(1)), 4))
+
+
+@query
+def peer_gap(spark, d):
+    return statistics.peer_gap(statistics.unpivoted(_with_reader(spark, d), ["reader"]), "reader")
+
+
+@query
+def weak_metrics(spark, d):
+    gaps = statistics.peer_gap(statistics.unpivoted(_with_reader(spark, d), ["reader"]), "reader")
+    first = F.rank().over(Window.partitionBy("reader").orderBy("mean"))
+    return gaps.withColumn("r", first).where((F.col("r") == 1) | (F.col("gap") < -1.0)).select("reader", "metric", "mean", (F.col("gap") < -1.0).alias("below_peers"))
+
+
+def _scored(spark, d):
+    return _eligible(A.reports(spark, d), for_ranking).withColumn("score", ranking.score())
+
+
+@query
+def top_k_reports(spark, d):
+    found = ranking.top_k(_scored(spark, d), "case_id", TIES)
+    return found.select("case_id", *TIES, "model", "score", F.col("rank").cast("long"), "selected", "near_cutoff_review")
+
+
+@query
+def top_k_ci_overlap(spark, d):
+    half = (F.col("k2") % 5) / 100
+    rows = _scored(spark, d).withColumns({"low": F.col("score") - half, "high": F.col("score") + half})
+    return ranking.overlapping(rows, "case_id", TIES, "low", "high").select("case_id", *TIES, "model", "score", F.col("rank").cast("long"), "uncertainty_overlap")
+
+
+@query
+def model_pair_welch(spark, d):
+    values = statistics.unpivoted(_eligible(A.reports(spark, d)), ["model"])
+    groups = values.groupBy("metric", "model").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
+    out = statistics.welch(groups, "model", ["metric"])
+    return out.withColumn("t", half_up(F.col("t"), 4))
+
+
+@query
+def holm_adjusted(spark, d):
+    p = A.reports(spark, d).groupBy("model", "source").agg((F.count_if(F.col("quality") == "failed") / (20.0 * F.count(F.lit(1)))).alias("p"))
+    return statistics.holm(p, "p", []).select("model", "source", half_up(F.col("p")).alias("p"), half_up(F.col("p_holm")).alias("p_holm"))
+
+
+@query
+def hazard_agreement(spark, d):
+    rows = A.hazards(spark, d)
+    same, near = F.count_if(F.col("level") == F.col("review_level")), F.count_if(F.abs(F.col("level") - F.col("review_level")) <= 1)
+    out = rows.groupBy("error_type").agg(F.count(F.lit(1)).alias("compared"), same.alias("exact"), near.alias("within_one"))
+    rate = lambda c: F.when(F.col("compared") == 0, 1.0).otherwise(half_up(F.col(c) / F.col("compared"), 4))
+    return out.withColumn("exact_rate", rate("exact")).withColumn("within_one_rate", rate("within_one"))
+
+
+@query
+def hazard_consensus(spark, d):
+    rows = A.hazards(spark, d)
+    level = F.when(F.col("level") == F.col("review_level"), F.col("level")).when(~F.col("abstain"), F.col("review_level"))
+    out = rows.withColumn("consensus", level).groupBy("case_id")
+    return out.agg(F.coalesce(F.max("consensus"), F.lit(0)).alias("max_level"), F.count_if(F.col("consensus") >= 3).alias("material"), F.count_if(F.col("consensus") >= 2).alias("nontrivial"), F.count_if(F.col("consensus").isNull()).alias("unresolved"))
+
+
+@query
+def hazard_histograms(spark, d):
+    return A.hazards(spark, d).groupBy("error_type", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def cohen_kappa_labels(spark, d):
+    return statistics.cohen_kappa(A.table(spark, d, "labels"), "quality", "toxic")
+
+
+@query
+def weighted_kappa_levels(spark, d):
+    return statistics.weighted_kappa(A.hazards(spark, d), "level", "review_level", 1, 5)
+
+
+@query
+def agreement_sets(spark, d):
+    rows = A.findings(spark, d).groupBy("case_id", "observation").agg(F.bool_or(F.col("side") == "cand").alias("c"), F.bool_or(F.col("side") == "ref").alias("r"))
+    listed = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.col("observation")))), ";")
+    out = rows.groupBy("case_id").agg(listed(F.col("c") & ~F.col("r")).alias("only_cand"), listed(F.col("r") & ~F.col("c")).alias("only_ref"))
+    return out.withColumn("exact", (F.col("only_cand") == "") & (F.col("only_ref") == ""))
+
+
+@query
+def alignment_pair_scores(spark, d):
+    pairs = matching.pair_scores(A.findings(spark, d))
+    return pairs.groupBy("case_id").agg(F.count(F.lit(1)).alias("pairs"), F.max("points").cast("long").alias("best"), F.sum("points").alias("total"))
+
+
+@query
+def alignment_only(spark, d):
+    found = A.findings(spark, d)
+    both = matching.only_in(found, "cand").withColumn("error", F.lit("false_finding")).unionByName(matching.only_in(found, "ref").withColumn("error", F.lit("omission_finding")))
+    return both.groupBy("case_id", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def alignment_assignment(spark, d):
+    return matching.alignment_metrics(A.findings(spark, d))
+
+
+@query
+def merge_batches_coverage(spark, d):
+    cases = A.cases(spark, d)
+    done = cases.where("batch <> 3").select("case_id").unionByName(cases.where("case_id % 50 = 0").select((-F.col("case_id") - 1).alias("case_id")))
+    return coverage.missing_and_extra(cases, done, "case_id")
+
+
+@query
+def merged_batches(spark, d):
+    cases = A.cases(spark, d).select("case_id", "batch")
+    parts = [cases.where(f"batch = {b}") for b in range(5)] + [cases.where("case_id % 40 = 0")]
+    return coverage.merge_batches(parts).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("copies") > 1).alias("duplicated"))
+
+
+@query
+def manifest_summary(spark, d):
+    sets = A.cases(spark, d).groupingSets([["modality"], ["body_part"], []], "modality", "body_part")
+    out = sets.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reader") == "reader_0").alias("reader_0"), F.grouping_id().alias("g"))
+    kind = F.when(F.col("g") == 1, "modality").when(F.col("g") == 2, "body_part").otherwise("all")
+    return out.select(kind.alias("kind"), F.coalesce("modality", "body_part", F.lit("all")).alias("value"), "n", "reader_0")
+
+
+@query
+def count_max_merge(spark, d):
+    a = A.cases(spark, d).groupBy(F.col("modality").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    b = A.reports(spark, d).join(A.cases(spark, d), "case_id").where("quality = 'failed'").groupBy(F.col("modality").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return a.unionByName(b).groupBy("key").agg(F.max("n").alias("n"))
+
+
+@query
+def benchmark_summary(spark, d):
+    shown = F.nullif(F.trim("text"), F.lit(""))
+    out = A.table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(shown.isNull()).alias("empty"), F.countDistinct(shown).alias("unique_reports"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), half_up(F.avg("n_chars"), 4).alias("mean_chars"))
+    return out.withColumn("unique_rate", half_up(F.col("unique_reports") / F.greatest("n", F.lit(1))))
+
+
+@query
+def truncation_rollup(spark, d):
+    return summaries.truncation_rollup(A.table(spark, d, "documents"), "lang", ~F.col("text").rlike(r"[.!?]\z"))
+
+
+@query
+def plan_coverage_by_stratum(spark, d):
+    models = spark.range(6).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("g"), F.element_at(F.array(F.lit("ct"), F.lit("mri"), F.lit("unknown"), F.lit("ct"), F.lit("pet"), F.lit("mri")), (F.col("id") + 1).cast("int")).alias("supported"))
+    plan = A.cases(spark, d).join(F.broadcast(models), (F.col("supported") == F.col("modality")) | ((F.col("supported") == "unknown") & (F.col("body_part") == "1-URGENT")), "left")
+    by_case = plan.groupBy("case_id", "modality", "body_part").agg(F.count("g").alias("routes"))
+    out = by_case.groupBy("modality", "body_part").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("routes") > 0).alias("covered"), F.sum("routes").alias("routes"))
+    return out.withColumn("coverage", half_up(F.col("covered") / F.greatest("cases", F.lit(1))))
+
+
+@query
+def stratified_sample(spark, d):
+    return ranking.stratified(A.cases(spark, d), ["modality", "body_part"], "case_id", 100).select("case_id", "modality", "body_part", F.col("turn").cast("long"))
+
+
+@query
+def coverage_cartesian(spark, d):
+    models = spark.range(8).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"))
+    missing = coverage.incomplete(A.cases(spark, d).where("modality = 'ct'"), models, A.reports(spark, d))
+    return missing.groupBy("model").agg(F.count(F.lit(1)).alias("missing_cases"))
+
+
+@query
+def ambiguous_hash_join(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return coverage.unambiguous(docs, "h", "doc_id").select("doc_id", F.col("h").alias("text_sha256"))
+
+
+@query
+def unique_finding_ids(spark, d):
+    rows = A.table(spark, d, "conversations").select("conv_id", "turn", "role")
+    named = rows.withColumn("id", F.concat(F.col("role"), F.lit("_"), (F.col("conv_id") % 20).cast("string")))
+    return ranking.unique_ids(named, "id", ["conv_id", "turn", "role"]).select("conv_id", "turn", "unique_id")
+
+
+@query
+def modality_normalize(spark, d):
+    words = F.element_at(F.array(*map(F.lit, ("Chest X-ray", "CTA head", "MR brain", "US abdomen", " ", "computed  tomography", "DX", "primary"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return A.table(spark, d, "part").select(T.modality(words).alias("modality")).groupBy("modality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def pii_scan(spark, d):
+    found = A.table(spark, d, "documents").select("doc_id", F.explode(T.personal_data(F.col("text"))).alias("category"))
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query
+def pii_redact(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", "text", T.redacted(F.col("text")).alias("clean"))
+    return docs.where("clean <> text").select("doc_id", F.char_length("clean").cast("long").alias("clean_chars"), F.sha2("clean", 256).alias("clean_sha256"))
+
+
+@query
+def structure_scores(spark, d):
+    rows = A.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Findings: "), "text", F.lit("\nImpression: none"))).otherwise(F.col("text")).alias("report"))
+    parts = rows.withColumn("parts", T.sections(F.col("report")))
+    return parts.select("conv_id", "turn", T.structure_score(F.col("parts")).cast("long").alias("structure_score"), F.char_length(F.col("parts")["impression"]).cast("long").alias("impression_chars"), T.deterministic_likert(F.col("report"), F.col("parts")).cast("long").alias("likert"))
+
+
+@query
+def text_bounded(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", T.bounded(F.col("text")).alias("b"))
+    return docs.select("doc_id", F.char_length("b").cast("long").alias("chars"), F.md5("b").alias("digest"))
+
+
+def _pairs(spark, d):
+    turns = A.table(spark, d, "conversations")
+    ref = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("ref_turn"), F.col("text").alias("gold"))
+    cand = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("ref_turn"), F.col("text").alias("cand"))
+    both = ref.join(cand, ["conv_id", "ref_turn"]).withColumns({"gold": F.substring("gold", 1, 200), "cand": F.substring("cand", 1, 200)})
+    return both.where(r"gold rlike '^[\\x00-\\x7F]*$' AND cand rlike '^[\\x00-\\x7F]*$'")
+
+
+@query
+def ocr_cer_by_pair(spark, d):
+    return _pairs(spark, d).select("conv_id", "ref_turn", half_up(T.character_error_rate(F.col("gold"), F.col("cand"))).alias("cer"))
+
+
+@query
+def ocr_model_summary(spark, d):
+    rows = _pairs(spark, d).withColumn("model", F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")))
+    rows = rows.withColumns({"cer": T.character_error_rate(F.col("gold"), F.col("cand")), "cut": (~F.col("cand").rlike(r"[.!?]\z")).cast("long")})
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("cer")).alias("mean_cer"), F.sum("cut").alias("truncated"))
+
+
+@query
+def token_overlap(spark, d):
+    tokens = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.char_length(t) >= 3))
+    rows = _pairs(spark, d).withColumns({"a": tokens("gold"), "b": tokens("cand")})
+    return rows.select("conv_id", "ref_turn", F.size("a").cast("long").alias("ref_tokens"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
+
+
+def _runs(spark, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "signup", "queued").when(kind == "view", "running").when(kind == "click", "succeeded").when(kind == "error", "failed").otherwise("cancelled")
+    return A.table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("run_id"), status.alias("status"))
+
+
+@query
+def illegal_transitions(spark, d):
+    steps = state.transitions(_runs(spark, d), "run_id", ["ts", "event_id"], "status")
+    return steps.groupBy(F.coalesce("before", F.lit("none")).alias("before"), "status").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("legal")).alias("illegal"))
+
+
+@query
+def latest_registry_entry(spark, d):
+    return state.latest(_runs(spark, d), "run_id", ["ts", "event_id"]).select("run_id", "event_id", "status")
+
+
+@query
+def progress_tumbling(spark, d):
+    from tessera.streaming.progress import tumbling
+
+    return tumbling(_runs(spark, d), "1 hour").select(F.col("window.start").alias("window_start"), "status", "n")
+
+
+@query
+def validate_run_violations(spark, d):
+    rules = {"level_in_range": F.col("level").between(1, 5), "review_within_two": F.abs(F.col("level") - F.col("review_level")) <= 2, "not_abstained": ~F.col("abstain")}
+    return coverage.violations(A.hazards(spark, d), "case_id", rules).groupBy("case_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def gate_matrix(spark, d):
+    rows = A.reports(spark, d).join(A.cases(spark, d).select("case_id", "reader"), "case_id")
+    gates = {"finite": F.col("likert_mean") >= 1, "not_mock": F.col("evidence_tier") != "mock", "coverage": F.col("finding_coverage") > 0.02}
+    return coverage.gate_matrix(rows, ["reader", "model"], gates)
+
+
+@query
+def route_plan(spark, d):
+    parts = A.table(spark, d, "part").select("p_partkey", "p_size", "p_type")
+    counts = parts.groupBy("p_type").agg(F.count(F.lit(1)).alias("routes"), F.count_if(F.col("p_size") > 25).alias("local"), F.min("p_partkey").alias("first_route"))
+    return counts.withColumn("fallback", F.col("routes") - F.col("local"))
+
+
+ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}
