@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, StructType
 from tessera.llm.common import per_batch, table, unit_hash
 from tessera.llm.language_id import held_out
 
-#: Labelled documents of each class that the lexicon and the weights are fitted on, in the order of a text hash.
+#: Labelled documents of each class that the lexicon and the weights are fitted on, drawn by a hash of the id.
 SAMPLE = 1500
 #: A term is in this share of the toxic sample at least, and this many times as frequent there as in the rest.
 SUPPORT, RATIO = 0.004, 20
@@ -183,35 +183,37 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(text), self.weights), -30, 30))))
 
 
-def learn(labelled: DataFrame, per_class: int = SAMPLE) -> Scorer:
-    """A scorer fitted on ``labelled`` (columns text, toxic), at most about ``per_class`` rows of each class by text hash.
-
-    Null labels and texts are passed over. With no toxic row the lexicon is empty and every score is the classes' share.
-    """
-    rows = labelled.where("toxic IN (0, 1) AND text IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"), unit_hash(F.lit(6), "text").alias("u"))
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    limit = F.lit(0.0)
-    for k, n in counts.items():
-        limit = F.when(F.col("toxic") == k, min(1.0, per_class / n)).otherwise(limit)
-    drawn = sorted((r["u"], r["toxic"], r["text"]) for r in rows.where(F.col("u") < limit).collect())
-    texts, labels = [x[2] for x in drawn], np.array([x[1] for x in drawn], np.int64)
+def fit(texts: list[str], labels: list[int], class_sizes: dict[int, int]) -> Scorer:
+    """A lexicon and weights from labelled texts; ``class_sizes`` tells how many rows each class stands for."""
+    marks = np.array(labels, np.int64)
     sets = [set(_WORD.findall(t.lower())) for t in texts]
-    rest = [s for s, k in zip(sets, labels) if k == 0]
-    terms = learn_terms([s for s, k in zip(sets, labels) if k == 1], rest)
+    rest = [s for s, k in zip(sets, marks) if k == 0]
+    terms = learn_terms([s for s, k in zip(sets, marks) if k == 1], rest)
     scorer = Scorer(terms)
     seen = Counter(w for s in rest for w in s)
     common = frozenset(w for w, n in seen.items() if n >= 2 and scorer.fuzzy.least_edits(w) >= 0)
     scorer = Scorer(terms, common)
     features = np.array([scorer.features(t) for t in texts]).reshape(-1, 7)
-    drawn_counts = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    scorer.fit(features, labels, tuple(counts.get(k, 0) / drawn_counts[k] for k in (0, 1)))
+    scorer.fit(features, marks, tuple(class_sizes.get(k, 0) / max(1, int((marks == k).sum())) for k in (0, 1)))
     return scorer
 
 
-def learn_from(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Fits on the documents that have a label; of several labels of an id the largest counts."""
-    slim = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return learn(docs.select("doc_id", "text").join(slim, "doc_id"))
+def learn_from(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer:
+    """Fits on at most about ``per_class`` labelled documents of each class, drawn by a hash of the id.
+
+    Ids are drawn from the labels alone, so the documents are only read and filtered, never shuffled; what is broadcast and
+    collected is bounded by ``per_class``. Of several labels of an id the largest counts; null ids, labels and texts are
+    passed over. Without a toxic label the lexicon is empty and every score is low.
+    """
+    slim = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in slim.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    limit = F.lit(0.0)
+    for k, n in counts.items():
+        limit = F.when(F.col("toxic") == k, min(1.0, per_class / n)).otherwise(limit)
+    drawn = slim.where(unit_hash(F.lit(6), "doc_id") < limit)
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts)
 
 
 @lru_cache(maxsize=2)
@@ -239,6 +241,6 @@ def with_scores(docs: DataFrame, scorer: Scorer, out: str = "score", text_col: s
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out("doc_id", 5, 0)
-    scorer = learn_from(docs.where(~out), table(spark, sf_dir, "labels"))
+    scorer = learn_from(docs, table(spark, sf_dir, "labels").where(~out))
     scored = with_scores(docs.select("doc_id", "text"), scorer)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
