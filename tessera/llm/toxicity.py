@@ -24,7 +24,7 @@ from tessera.llm.language_id import held_out
 #: Labelled documents of each class that the lexicon and the weights are fitted on, drawn by a hash of the id.
 SAMPLE = 1500
 #: A term is in this share of the toxic sample at least, and this many times as frequent there as in the rest.
-SUPPORT, RATIO = 0.004, 20
+SUPPORT, RATIO = 0.008, 60
 LEAST_TERM, LEAST_FUZZY_WORD, LEAST_FUZZY_STEM = 4, 5, 6
 WINDOW = 60
 _WORD = re.compile(r"\w+")
