@@ -116,3 +116,27 @@ def alignment_metrics(findings: DataFrame) -> DataFrame:
     p, r = F.col("matched") / F.greatest("n_cand", F.lit(1)), F.col("matched") / F.greatest("n_ref", F.lit(1))
     f1 = F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
     return joined.select("case_id", "n_cand", "n_ref", "matched", half_up(p, 4).alias("precision"), half_up(r, 4).alias("recall"), half_up(f1, 4).alias("f1"))
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """Adds ``differences``, ``errors`` and ``category`` to pairs of structs cand and ref.
+
+    Without a difference a pair is matched, or approximate when both sizes are there and differ within the tolerance.
+    """
+    a, b = (lambda n: F.col(f"cand.{n}")), (lambda n: F.col(f"ref.{n}"))
+    differ = lambda n: ~a(n).eqNullSafe(b(n))
+    side = differ("laterality") & (a("laterality") != "unknown") & (b("laterality") != "unknown")
+    missing = a("mm").isNull() != b("mm").isNull()
+    gap = F.abs(a("mm") - b("mm"))
+    far = F.coalesce(gap > TOLERANCE_MM, F.lit(False))
+    opposite = F.sort_array(F.array(a("certainty"), b("certainty"))) == F.array(F.lit("absent"), F.lit("present"))
+    names = {"location": differ("location"), "laterality": side, "severity": differ("severity"), "certainty": differ("certainty"), "measurement_missing": missing, "measurement": far}
+    found = F.array_compact(F.array(*(F.when(c, n) for n, c in names.items())))
+    wrong = F.array_compact(F.array(
+        F.when(differ("location") | side, "incorrect_location"), F.when(differ("severity"), "incorrect_severity"),
+        F.when(differ("certainty"), F.when(opposite, "contradiction").otherwise("mismatched_finding")), F.when(missing | far, "mismatched_finding"),
+    ))
+    near = F.coalesce(gap > 0, F.lit(False))
+    category = F.when(F.size(found) > 0, "mismatched").when(near, "approximate_match").otherwise("matched")
+    noted = F.when((F.size(found) == 0) & near, F.array(F.lit("measurement_approximate"))).otherwise(found)
+    return pairs.withColumns({"differences": noted, "errors": wrong, "category": category})
