@@ -14,6 +14,7 @@ from tessera.operators import coverage, matching, ranking, state, statistics, su
 from tessera.operators.eligibility import for_hazards, for_ranking, for_statistics
 from tessera.plans import adapters as A
 from tessera.plans.oracle import SQL
+from tessera.plans.rule_queries import RULES, RULES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TIES = ["pos", "k1", "k2", "k3"]
@@ -385,4 +386,5 @@ def route_plan(spark, d):
     return counts.withColumn("fallback", F.col("routes") - F.col("local"))
 
 
-ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}
+ORACLE_SQL = {**{k: v for k, v in SQL.items() if k in QUERIES}, **RULES_SQL}
+QUERIES.update(RULES)
