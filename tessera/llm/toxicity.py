@@ -23,8 +23,12 @@ from tessera.llm.language_id import held_out
 
 #: Labelled documents of each class that the lexicon and the weights are fitted on, drawn by a hash of the id.
 SAMPLE = 1500
-#: A term is in this share of the toxic sample at least, and this many times as frequent there as in the rest.
-SUPPORT, RATIO = 0.008, 60
+#: A term is in this share of the toxic sample at least, and so many times as dense there as in the rest: the purity is chosen
+#: among these by cross-validation over FOLDS parts of the sample.
+SUPPORT, RATIOS, FOLDS = 0.008, (8, 15, 30, 60), 3
+#: From this many hits among a hundred words on, a document counts in full.
+DENSE = 1.0
+FEATURES = 8
 LEAST_TERM, LEAST_FUZZY_WORD, LEAST_FUZZY_STEM = 4, 5, 6
 WINDOW = 60
 _WORD = re.compile(r"\w+")
@@ -99,16 +103,35 @@ class Automaton:
         return best
 
 
-def learn_terms(toxic: list[set[str]], rest: list[set[str]]) -> list[str]:
-    """Words, and stems with a trailing ``*``, that mark the toxic word sets: the shortest pure beginning, drawn out while nearly all its words share more."""
-    ends_t, ends_r, begins_t, begins_r = Counter(), Counter(), Counter(), Counter()
-    for words, ends, begins in ((w, e, b) for sets, e, b in ((toxic, ends_t, begins_t), (rest, ends_r, begins_r)) for w in sets):
-        ends.update(words)
-        begins.update({w[:n] for w in words for n in range(LEAST_TERM, min(len(w), 12) + 1)})
-    least = max(4, SUPPORT * len(toxic))
+def density(hits: float, words: int) -> float:
+    """Hits among a hundred words, at most DENSE."""
+    return min(DENSE, 100 * hits / max(1, words))
 
-    def pure(t: int, r: int) -> bool:
-        return t >= least and t / max(1, len(toxic)) >= RATIO * (r + 0.5) / max(1, len(rest))
+
+class Counts:
+    """For each word and each beginning of a word the documents that hold it, and the sum of its density in them."""
+
+    def __init__(self, documents: list[Counter]) -> None:
+        self.documents, self.ends, self.begins, self.end_mass, self.begin_mass = len(documents), Counter(), Counter(), Counter(), Counter()
+        for words in documents:
+            total, begins = words.total(), Counter()
+            for word, n in words.items():
+                self.ends[word] += 1
+                self.end_mass[word] += density(n, total)
+                for k in range(LEAST_TERM, min(len(word), 12) + 1):
+                    begins[word[:k]] += n
+            for b, n in begins.items():
+                self.begins[b] += 1
+                self.begin_mass[b] += density(n, total)
+
+
+def learn_terms(toxic: Counts, rest: Counts, ratio: float) -> list[str]:
+    """Words, and stems with a trailing ``*``, that mark the toxic documents by their density there: the shortest pure beginning, drawn out while nearly all its words share more."""
+    ends_t, begins_t = toxic.ends, toxic.begins
+    least = max(4, SUPPORT * toxic.documents)
+
+    def pure(found: int, mass: float, other: float) -> bool:
+        return found >= least and mass / max(1, toxic.documents) >= ratio * (other + 0.5) / max(1, rest.documents)
 
     below: dict[str, list[str]] = {}
     for b in begins_t:
@@ -118,8 +141,8 @@ def learn_terms(toxic: list[set[str]], rest: list[set[str]]) -> list[str]:
         b = todo.pop()
         if begins_t[b] < least:
             continue
-        if not pure(begins_t[b], begins_r[b]):
-            if pure(ends_t[b], ends_r[b]):
+        if not pure(begins_t[b], toxic.begin_mass[b], rest.begin_mass[b]):
+            if pure(ends_t[b], toxic.end_mass[b], rest.end_mass[b]):
                 out.append(b)
             todo += below.get(b, [])
             continue
@@ -153,9 +176,10 @@ class Scorer:
         text = (text or "").lower()
         words = set(_WORD.findall(text))
         hits = {w: k for w in words if (k := self.kind(w))}
-        exact = fuzzy = quoted = 0
+        exact = fuzzy = quoted = total = 0
         if hits:
             for match in _WORD.finditer(text):
+                total += 1
                 if kind := hits.get(match[0]):
                     if self.quoted(text, *match.span()):
                         quoted += 1
@@ -163,38 +187,68 @@ class Scorer:
                         exact += 1
                     else:
                         fuzzy += 1
-        return [1.0, float(exact > 0), np.log1p(exact), float(fuzzy > 0), np.log1p(fuzzy), np.log1p(quoted), np.log1p(len(words)) / 10]
-
-    def fit(self, features: np.ndarray, labels: np.ndarray, class_weights: tuple[float, float], rounds: int = 50) -> None:
-        """Logistic regression by Newton steps with a small ridge."""
-        w = np.zeros(features.shape[1])
-        weight = np.where(labels == 1, class_weights[1], class_weights[0])
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-            slope = features.T @ (weight * (p - labels)) + 0.1 * w
-            curve = (features * (weight * p * (1 - p))[:, None]).T @ features + 0.1 * np.eye(len(w))
-            step = np.linalg.solve(curve, slope)
-            w -= step
-            if np.abs(step).max() < 1e-8:
-                break
-        self.weights = w
+        return [1.0, float(exact > 0), np.log1p(exact), float(fuzzy > 0), np.log1p(fuzzy), np.log1p(quoted), np.log1p(len(words)) / 10, density(exact, total)]
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(text), self.weights), -30, 30))))
 
 
+def regression(features: np.ndarray, labels: np.ndarray, class_weights: tuple[float, float], rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps with a small ridge."""
+    w = np.zeros(features.shape[1])
+    weight = np.where(labels == 1, class_weights[1], class_weights[0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
+        slope = features.T @ (weight * (p - labels)) + 0.1 * w
+        curve = (features * (weight * p * (1 - p))[:, None]).T @ features + 0.1 * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def by_class(documents: list[Counter], marks: np.ndarray) -> tuple[Counts, Counts]:
+    return tuple(Counts([d for d, k in zip(documents, marks) if k == wanted]) for wanted in (1, 0))
+
+
+def best_ratio(documents: list[Counter], marks: np.ndarray, class_weights: tuple[float, float]) -> float:
+    """The purity whose terms, learned without a part of the sample, tell that part's classes best by a regression over exact
+    hits; the highest of equals."""
+    wrong = dict.fromkeys(RATIOS, 0.0)
+    part = np.arange(len(documents)) % FOLDS
+    for fold in range(FOLDS):
+        kept = np.flatnonzero(part != fold)
+        counts = by_class([documents[i] for i in kept], marks[kept])
+        for ratio in RATIOS:
+            exact = Automaton(learn_terms(*counts, ratio), 0)
+            known: dict[str, bool] = {}
+            rows = []
+            for d in documents:
+                for w in d:
+                    if w not in known:
+                        known[w] = exact.least_edits(w) == 0
+                hits = sum(n for w, n in d.items() if known[w])
+                rows.append((1.0, float(hits > 0), np.log1p(hits), np.log1p(len(d)) / 10, density(hits, d.total())))
+            features = np.array(rows).reshape(-1, 5)
+            weights = regression(features[kept], marks[kept], class_weights)
+            said = features @ weights >= 0
+            wrong[ratio] += sum(class_weights[marks[i]] for i in np.flatnonzero((part == fold) & (said != (marks == 1))))
+    return min(RATIOS, key=lambda r: (wrong[r], -r))
+
+
 def fit(texts: list[str], labels: list[int], class_sizes: dict[int, int]) -> Scorer:
     """A lexicon and weights from labelled texts; ``class_sizes`` tells how many rows each class stands for."""
     marks = np.array(labels, np.int64)
-    sets = [set(_WORD.findall(t.lower())) for t in texts]
-    rest = [s for s, k in zip(sets, marks) if k == 0]
-    terms = learn_terms([s for s, k in zip(sets, marks) if k == 1], rest)
+    documents = [Counter(_WORD.findall(t.lower())) for t in texts]
+    weights = tuple(class_sizes.get(k, 0) / max(1, int((marks == k).sum())) for k in (0, 1))
+    toxic, rest = by_class(documents, marks)
+    terms = learn_terms(toxic, rest, best_ratio(documents, marks, weights))
     scorer = Scorer(terms)
-    seen = Counter(w for s in rest for w in s)
-    common = frozenset(w for w, n in seen.items() if n >= 2 and scorer.fuzzy.least_edits(w) >= 0)
+    common = frozenset(w for w, n in rest.ends.items() if n >= 2 and scorer.fuzzy.least_edits(w) >= 0)
     scorer = Scorer(terms, common)
-    features = np.array([scorer.features(t) for t in texts]).reshape(-1, 7)
-    scorer.fit(features, marks, tuple(class_sizes.get(k, 0) / max(1, int((marks == k).sum())) for k in (0, 1)))
+    features = np.array([scorer.features(t) for t in texts]).reshape(-1, FEATURES)
+    scorer.weights = regression(features, marks, weights)
     return scorer
 
 
