@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import quality
-from tessera.operators import annotation, gates, ontology, reuse, series
+from tessera.operators import annotation, composites, gates, ontology, reuse, series
 from tessera.plans import adapters as A
 
 RULES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,43 @@ def series_choice(spark, d):
     )
     cases = A.cases(spark, d).withColumn("body_part", F.when(F.col("case_id") % 2 == 0, "Brain").otherwise("hip"))
     return series.chosen_series(headers, cases)
+
+
+@rule("""WITH g AS (SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS error_index FROM lineitem WHERE l_linenumber <= 3),
+a AS (SELECT l_orderkey AS case_id, l_linenumber - 1 AS error_index, count(*) AS n FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1, 2),
+k AS (SELECT coalesce(g.case_id, a.case_id) AS case_id, CASE WHEN a.n IS NULL THEN 'missing_index' WHEN g.case_id IS NULL THEN 'extra_index' WHEN a.n > 1 THEN 'repeated_index' END AS problem
+  FROM g FULL JOIN a ON g.case_id = a.case_id AND g.error_index = a.error_index
+  UNION ALL SELECT l_orderkey, 'unknown_id' FROM lineitem WHERE l_partkey % 2 = 0 AND l_suppkey % 4 = 3)
+SELECT case_id, problem, count(*) AS n FROM k WHERE problem IS NOT NULL GROUP BY 1, 2""")
+def judge_response_coverage(spark, d):
+    lines = A.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "case_id")
+    name = F.concat(F.lit("f"), (F.col("l_suppkey") % 4).cast("string"))
+    requested = lines.where("l_linenumber <= 3").select("case_id", F.col("l_linenumber").alias("error_index"))
+    answers = lines.where("l_partkey % 2 = 0").select("case_id", (F.col("l_linenumber") - 1).alias("error_index"), F.array(name).alias("cited"))
+    ids = lines.where("l_suppkey % 4 <> 3").select("case_id", name.alias("id"))
+    return composites.judge_coverage(requested, answers, ids)
+
+
+@rule("""WITH r AS (SELECT l_returnflag, l_linestatus, l_partkey % 7 AS u, CASE WHEN l_returnflag = 'A' THEN 'artifact_reuse' WHEN l_returnflag = 'N' THEN 'fresh_cli' WHEN l_linestatus = 'F' THEN 'mock_fallback' ELSE 'cloud_fallback' END AS source FROM lineitem),
+t AS (SELECT *, CASE source WHEN 'artifact_reuse' THEN 'artifact' WHEN 'mock_fallback' THEN 'mock' WHEN 'cloud_fallback' THEN 'debug_fallback' ELSE 'exploratory_fresh' END AS tier FROM r)
+SELECT source, tier, count(*) AS n, count(*) FILTER (u = 2 OR tier IN ('mock', 'debug_fallback') OR (u = 1 AND tier <> 'exploratory_fresh')) AS blocked FROM t GROUP BY 1, 2""")
+def blocking_fallbacks(spark, d):
+    flag = F.get(F.array(*map(F.lit, ("false", "true", "perhaps"))), (F.col("k2") % 7).cast("int"))
+    rows = A.reports(spark, d).withColumn("blocked", composites.blocking_fallback(F.col("evidence_tier"), F.col("source"), flag))
+    return rows.groupBy("source", F.col("evidence_tier").alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("blocked"))
+
+
+@rule("""WITH w AS (SELECT o_orderkey AS case_id, 'm' || CAST(m AS VARCHAR) AS model, m FROM orders, (VALUES (0), (1)) v(m))
+SELECT model, CASE WHEN (case_id + m) % 3 = 0 THEN 'fresh' WHEN case_id % 4 <> 0 THEN 'exploratory_fresh' ELSE 'none' END AS evidence_tier, count(*) AS n FROM w GROUP BY 1, 2""")
+def generation_fallbacks(spark, d):
+    wanted = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.explode(F.array(F.lit("m0"), F.lit("m1"))).alias("model"))
+    number = F.substring("model", 2, 1).cast("int")
+    local = wanted.withColumn("report", F.when((F.col("case_id") + number) % 3 == 0, "text").otherwise(" "))
+    backup = wanted.where("case_id % 4 <> 0").withColumn("report", F.lit("other"))
+    return composites.with_fallback(wanted, local, backup, mock=False).groupBy("model", "evidence_tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@rule("""SELECT l_orderkey AS case_id, coalesce(string_agg('line ' || CAST(l_linenumber AS VARCHAR), chr(10) ORDER BY l_linenumber) FILTER (l_partkey % 3 <> 0), '') AS report FROM lineitem GROUP BY 1""")
+def reconstructed_reports(spark, d):
+    text = F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("line "), F.col("l_linenumber").cast("string"))).otherwise(" ")
+    return composites.reconstructed_report(A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("pos"), text.alias("source_text")))
