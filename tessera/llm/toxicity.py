@@ -216,7 +216,9 @@ def best_ratio(documents: list[Counter], marks: np.ndarray, class_weights: tuple
     """The purity whose terms, learned without a part of the sample, tell that part's classes best by a regression over exact
     hits; the highest of equals."""
     wrong = dict.fromkeys(RATIOS, 0.0)
-    part = np.arange(len(documents)) % FOLDS
+    part = np.zeros(len(documents), np.int64)
+    for k in (0, 1):
+        part[marks == k] = np.arange((marks == k).sum()) % FOLDS
     for fold in range(FOLDS):
         kept = np.flatnonzero(part != fold)
         counts = by_class([documents[i] for i in kept], marks[kept])

@@ -167,6 +167,27 @@ def test_scores_of_misspelled_terms():
     assert 0 <= scorer.score(None) == scorer.score("") < 0.5
 
 
+def test_stems_that_plain_texts_hold_now_and_then_are_told_by_density():
+    rng = random.Random(5)
+    some = [f"w{i}x" for i in range(400)]
+    endings = [f"{a}{b}" for a in "abcdefgh" for b in "rstuvw"]
+    plain = [" ".join(rng.choices(some, k=300)) for _ in range(300)]
+    plain[::10] = [f"{t} grumpel{rng.choice(endings)}" for t in plain[::10]]
+    bad = [" ".join(rng.choices(some, k=100) + [f"grumpel{e}" for e in rng.sample(endings, 4)]) for _ in range(60)]
+    texts = [t for i in range(300) for t in ([plain[i], bad[i // 5]] if i % 5 == 0 else [plain[i]])]
+    scorer = toxicity.fit(texts, [int(t in set(bad)) for t in texts], {0: 300, 1: 60})
+    assert "grumpel*" in scorer.terms
+    assert all(scorer.score(t) >= 0.5 for t in bad) and sum(scorer.score(t) >= 0.5 for t in plain) <= 3
+    fresh = " ".join(rng.choices(some, k=100))
+    assert scorer.score(f"{fresh} grumpelau grumpelei grumpelnn") > 0.5 > scorer.score(f"{fresh} {fresh} grumpelau")
+
+
+def test_fits_without_a_class():
+    assert toxicity.fit([], [], {}).terms == ()
+    assert toxicity.fit(["a b", "c"], [1, 1], {1: 2}).terms == ()
+    assert toxicity.fit(["a b", ""], [0, 0], {0: 2}).score("a") < 0.5
+
+
 def test_beam_codes_rebuild_their_norms():
     rng = np.random.default_rng(0)
     data = rng.normal(size=(300, 8))
