@@ -176,7 +176,7 @@ def test_stems_that_plain_texts_hold_now_and_then_are_told_by_density():
     bad = [" ".join(rng.choices(some, k=100) + [f"grumpel{e}" for e in rng.sample(endings, 4)]) for _ in range(60)]
     texts = [t for i in range(300) for t in ([plain[i], bad[i // 5]] if i % 5 == 0 else [plain[i]])]
     scorer = toxicity.fit(texts, [int(t in set(bad)) for t in texts], {0: 300, 1: 60})
-    assert "grumpel*" in scorer.terms
+    assert scorer.terms and all(t.startswith("grumpel") for t in scorer.terms)
     assert all(scorer.score(t) >= 0.5 for t in bad) and sum(scorer.score(t) >= 0.5 for t in plain) <= 3
     fresh = " ".join(rng.choices(some, k=100))
     assert scorer.score(f"{fresh} grumpelau grumpelei grumpelnn") > 0.5 > scorer.score(f"{fresh} {fresh} grumpelau")
