@@ -29,6 +29,8 @@ BITS = 64
 TILE, WIDE_TILE, MEAN_BUCKET = 4096, 2048, 2048
 #: For wide fingerprints: bits drawn for a table at least, and the chance that a pair at the threshold meets in no table.
 SAMPLED, MISSED = 16, 0.002
+#: Pairs a row up to which a group of close fingerprints is sparse, and the shingles of one side of a tile of a dense group.
+SPARSE, SIDE = 2, 250_000
 
 
 def shingle_digests(text: str | None, width: int, seed: int = 42) -> bytes:
@@ -267,13 +269,28 @@ def _keys(bits: int, tables: int):
     return run
 
 
-def _least_forest(lo: np.ndarray, hi: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the ends of a least spanning forest (by distance, up to ``radius``) of up to a few thousand fingerprints."""
+def _candidates(lo: np.ndarray, hi: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the ends of pairs up to ``radius`` of up to a few thousand fingerprints, and whether their group is dense.
+
+    Of a group (what the pairs connect) with up to SPARSE pairs a row, all pairs. Of a dense one a least spanning forest.
+    """
     n = len(lo)
     far = np.uint8(255)
     gap = (np.bitwise_count(lo[:, None] ^ lo[None, :]) + np.bitwise_count(hi[:, None] ^ hi[None, :])).astype(np.uint8)
     gap[gap > radius] = far
     np.fill_diagonal(gap, far)
+    degree = (gap != far).sum(axis=1)
+    i, j, label = _least_forest(gap.copy(), radius)
+    dense = np.bincount(label, degree, n) > 2 * SPARSE * np.bincount(label, minlength=n)
+    x, y = np.nonzero(np.triu(gap != far, 1) & ~dense[label][:, None])
+    i, j = i[dense[label[i]]], j[dense[label[i]]]
+    return np.concatenate((x, i)), np.concatenate((y, j)), np.repeat((False, True), (len(x), len(i)))
+
+
+def _least_forest(gap: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the ends of a least spanning forest by the distances ``gap`` (overwritten), and the tree of each row."""
+    n = len(gap)
+    far = np.uint8(255)
     label = np.arange(n)
     ends: tuple[list[int], list[int]] = [], []
     while True:
@@ -291,17 +308,18 @@ def _least_forest(lo: np.ndarray, hi: np.ndarray, radius: int) -> tuple[np.ndarr
                 label[label == max(a, b)] = min(a, b)
                 joined = True
         if not joined:
-            return np.array(ends[0], np.int64), np.array(ends[1], np.int64)
+            return np.array(ends[0], np.int64), np.array(ends[1], np.int64), label
 
 
 def _wide_compare(radius: int):
-    """An Arrow map over rows sorted by ``tile``, then lo and hi: links by least distance as (lo, hi, lo2, hi2).
+    """An Arrow map over rows sorted by ``tile``, then lo and hi: pairs up to ``radius`` as (lo, hi, lo2, hi2, dense).
 
     A batch's rows are compared within their buckets by their distance in the sorted order, all buckets at once; a bucket with
-    several links, or with many rows (2 x WIDE_TILE or so at most), returns a least forest of them.
+    several pairs, or with many rows (2 x WIDE_TILE or so at most), returns all pairs of its sparse groups and a forest of
+    each dense one.
     """
 
-    def links_of(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[np.ndarray]:
+    def links_of(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
         size = np.diff(np.concatenate((low, [len(keys)])))
         number = np.repeat(np.arange(len(low)), size)
@@ -322,11 +340,11 @@ def _wide_compare(radius: int):
             i, j = (np.concatenate(x) for x in zip(*found))
             single = near[number[i]] <= 2
             i, j = i[single], j[single]
-            yield np.stack([lo[i], hi[i], lo[j], hi[j]])
+            yield np.stack([lo[i], hi[i], lo[j], hi[j]]), np.zeros(len(i), bool)
         for k in np.flatnonzero((near > 2) | ~small):
             part = slice(low[k], low[k] + size[k])
-            x, y = _least_forest(lo[part], hi[part], radius)
-            yield np.stack([lo[part][x], hi[part][x], lo[part][y], hi[part][y]])
+            x, y, dense = _candidates(lo[part], hi[part], radius)
+            yield np.stack([lo[part][x], hi[part][x], lo[part][y], hi[part][y]]), dense
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the rows of the last bucket so far
@@ -346,9 +364,9 @@ def _wide_compare(radius: int):
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if rows.shape[1] > 1:
-            for x in links_of(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64)):
+            for x, dense in links_of(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64)):
                 if x.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in x], names=["lo", "hi", "lo2", "hi2"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in x), pa.array(dense)], names=["lo", "hi", "lo2", "hi2", "dense"])
 
     return run
 
@@ -357,12 +375,13 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarit
     """Links (columns a and b, of the type of ``key``) between texts whose sets of shingles have that similarity or more.
 
     ``prints`` has a ``key`` (distinct, not null) and the columns lo and hi of ``with_wide_fingerprints``; ``texts`` has key
-    and text. Links returned are exact; a pair at the threshold is missed with a chance of MISSED at most, a closer one far
-    more rarely, and of a dense group a forest of its closest links is tried. Of keys with one wide fingerprint the least one
-    stands for all, and the others are compared with it.
+    and text. Links returned are exact and connect what all links would; a pair at the threshold meets in no table with a chance
+    of MISSED at most, a closer one far more rarely. All pairs that meet within the radius are confirmed, in dense groups only
+    as far as the links confirmed before leave them apart. Of keys with one wide fingerprint the least one enters the tables,
+    and the others count as of its dense group.
     """
     spark = prints.sparkSession
-    first = checkpointed(prints.groupBy("lo", "hi").agg(F.min("key").alias("key")))
+    first = checkpointed(prints.groupBy("lo", "hi").agg(F.min("key").alias("key"), (F.count(F.lit(1)) > 1).alias("shared")))
     count = first.count()
     bits, tables, radius = sampled_tables(count, similarity)
     keyed = first.select("lo", "hi").mapInArrow(per_batch(_keys(bits, tables), 4096), "tile bigint, lo bigint, hi bigint")
@@ -376,13 +395,13 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarit
     tiles = dealt.select(F.when(F.col("salts").isNull(), F.col("tile")).otherwise(salted).alias("tile"), "lo", "hi")
     n = max(partitions(spark), -(-count * tables // 1_000_000))
     tiles = tiles.repartition(n, "tile").sortWithinPartitions("tile", "lo", "hi")
-    pairs = tiles.mapInArrow(_wide_compare(radius), "lo bigint, hi bigint, lo2 bigint, hi2 bigint")
+    pairs = tiles.mapInArrow(_wide_compare(radius), "lo bigint, hi bigint, lo2 bigint, hi2 bigint, dense boolean")
     ends = [F.struct("lo", "hi"), F.struct(F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))]
-    pairs = pairs.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).distinct()
-    one = first.select(F.struct("lo", "hi").alias("x"), F.col("key").alias("a"))
-    two = first.select(F.struct("lo", "hi").alias("y"), F.col("key").alias("b"))
-    candidates = pairs.join(one, "x").join(two, "y").select("a", "b")
-    same = prints.select("key", "lo", "hi").join(first.withColumnRenamed("key", "a"), ["lo", "hi"]).where("key <> a").select("a", F.col("key").alias("b"))
+    pairs = pairs.groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).agg(F.max("dense").alias("dense"))
+    one = first.select(F.struct("lo", "hi").alias("x"), F.col("key").alias("a"), F.col("shared").alias("shared_a"))
+    two = first.select(F.struct("lo", "hi").alias("y"), F.col("key").alias("b"), F.col("shared").alias("shared_b"))
+    candidates = pairs.join(one, "x").join(two, "y").select("a", "b", F.expr("dense OR shared_a OR shared_b").alias("dense"))
+    same = prints.select("key", "lo", "hi").join(first.withColumnRenamed("key", "a"), ["lo", "hi"]).where("key <> a").select("a", F.col("key").alias("b"), F.lit(True))
     candidates = checkpointed(candidates.union(same))
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
@@ -392,7 +411,102 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarit
         keep = [jaccard(a, b, width) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         return pa.RecordBatch.from_arrays(batch.columns[:2], schema=pa.schema([batch.schema.field(0), batch.schema.field(1)])).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(per_batch(confirm, 256), StructType(both.schema.fields[:2]))
+    sure = checkpointed(both.mapInArrow(per_batch(confirm, 256), StructType(both.schema.fields[:2])))
+    dense = candidates.where("dense").select("a", "b")
+    return sure if dense.isEmpty() else sure.union(_links_left(dense, sure, texts, width, similarity))
+
+
+def _links_left(dense: DataFrame, sure: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a and b) that with the links ``sure`` connect all that is similar within a group that the pairs ``dense`` connect.
+
+    Only groups that ``sure`` leaves apart are read. There each row outside the group's largest part meets all others, in a
+    grid of tiles of SIDE shingles or so a side.
+    """
+    spark = dense.sparkSession
+    groups = components(dense).select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
+    parts = components(sure).select(F.col("node").alias("key"), "root")
+    rows = checkpointed(groups.join(parts, "key", "left").select("key", "grp", F.xxhash64(F.coalesce("root", "key")).alias("part")))
+    sizes = rows.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
+    apart = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows = rows.join(apart, "grp").select("key", "grp", "part", (F.col("part") == F.col("most")).alias("main"))
+    at = rows.join(texts, "key").select("key", "grp", "part", "main", "text")
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(np.frombuffer(shingle_digests(x, width), np.uint64)).tobytes() for x in batch.column(4).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["key", "grp", "part", "main", "digests"])
+
+    rows = checkpointed(at.mapInArrow(per_batch(digest), StructType(at.schema.fields[:4]).add("digests", "binary")))
+    shingles = lambda which: F.greatest(F.ceil(F.sum(F.when(which, F.octet_length("digests") / 8)) / SIDE), F.lit(1)).cast("int")
+    salts = rows.groupBy("grp").agg(shingles(~F.col("main")).alias("rest"), shingles(F.col("main")).alias("mains"))
+    # Salts from 0 are of the rest, those from ``rest`` on of the largest part, whose rows need not meet one another.
+    dealt = rows.join(salts, "grp").withColumn("own", F.expr("if(main, rest + pmod(xxhash64(key), mains), pmod(xxhash64(key), rest))").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, if(main, rest, rest + mains) - 1)")))
+    tiles = dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "part", "main", "key", "digests")
+    tiles = tiles.repartition(max(partitions(spark), 32), "tile").sortWithinPartitions("tile")
+    return tiles.mapInArrow(_confirm_tiles(similarity), StructType([sure.schema["a"], sure.schema["b"]]))
+
+
+def _confirm_tiles(similarity: float):
+    """An Arrow map over rows (tile, part, main, key, digests) sorted by ``tile``: the keys of links that connect parts."""
+
+    def links_of(rows: pa.Table) -> pa.Table:
+        part = rows.column(1).to_numpy()
+        main = rows.column(2).to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column(4).to_pylist()]
+        left, right = parted(part, np.flatnonzero(~main), sets, similarity)
+        keys = rows.column(3)
+        return pa.table([keys.take(pa.array(left, pa.int64())), keys.take(pa.array(right, pa.int64()))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            tiles = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist(), len(tiles)] if len(tiles) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if held and tiles[a] != last:
+                    yield from links_of(pa.Table.from_batches(held)).combine_chunks().to_batches()
+                    held = []
+                last = tiles[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from links_of(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    return run
+
+
+def parted(part: np.ndarray, rest: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Places of the ends of links that connect all parts with a link between them that has an end in ``rest``.
+
+    ``sets`` are sorted arrays without repeats; all pairs of different parts are counted over the lists of rows by shingle.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(n), size)
+    values, code, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    lists = row[np.argsort(code, kind="stable")]
+    start = np.cumsum(count) - count
+    first = np.cumsum(size) - size
+    _, label = np.unique(part, return_inverse=True)
+    ends: tuple[list[int], list[int]] = [], []
+    for i in rest.tolist():
+        own = code[first[i] : first[i] + size[i]]
+        own = own[count[own] > 1]
+        length = count[own]
+        before = np.cumsum(length) - length
+        places = np.repeat(start[own] - before, length) + np.arange(int(length.sum()))
+        both = np.bincount(lists[places], minlength=n)
+        union = size + size[i] - both
+        both[union == 0] = union[union == 0] = 1
+        near = np.flatnonzero((both / union >= similarity) & (label != label[i]))
+        found, at = np.unique(label[near], return_index=True)
+        if len(found):
+            ends[0].extend([i] * len(found))
+            ends[1].extend(near[at].tolist())
+            label[np.isin(label, found)] = label[i]
+            if (label == label[0]).all():
+                break
+    return ends
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

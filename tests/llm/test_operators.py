@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -93,6 +94,40 @@ def test_near_copies_are_caught(spark):
     assert ids == set(range(60))
 
 
+def test_copies_of_one_base_are_all_caught(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(0, " ".join(base), "en", "s")]
+    while len(rows) <= 320:
+        words = list(base)
+        for at in rng.sample(range(300), rng.randint(4, 6)):
+            words[at] = f"x{rng.randrange(10**9)}"
+        if 0.82 <= simhash.jaccard(rows[0][1], " ".join(words), 5) <= 0.88:
+            rows.append((len(rows), " ".join(words), "en", "s"))
+    assert simhash.jaccard(rows[1][1], rows[2][1], 5) < 0.8
+    assert [r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()] == [0]
+
+
+def test_parts_meet_as_all_pairs_say():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        sets = [np.unique(rng.integers(0, 14, rng.integers(0, 12))).astype(np.uint64) for _ in range(25)]
+        part = rng.integers(0, 20, 25)
+        rest = np.flatnonzero(part != 0)
+        similar = lambda a, b: len(np.union1d(a, b)) == 0 or len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.6
+
+        def merged(pairs):
+            label = part.copy()
+            for i, j in pairs:
+                label[label == label[i]] = label[j]
+            return {(i, j) for i in range(25) for j in range(25) if label[i] == label[j]}
+
+        every = [(i, j) for i in range(25) for j in range(25) if i != j and similar(sets[i], sets[j])]
+        found = list(zip(*simhash.parted(part, rest, sets, 0.6)))
+        assert set(found) <= set(every)
+        assert merged(found) == merged(every)
+
+
 def test_mixing(spark, awkward):
     rows = mixing.mix(awkward).collect()
     assert len(rows) == awkward.count()
