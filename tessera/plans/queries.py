@@ -342,6 +342,33 @@ def token_overlap(spark, d):
     return rows.select("conv_id", "ref_turn", F.size("a").cast("long").alias("ref_tokens"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
 
 
+def _whole_pairs(spark, d):
+    """All pairs of a turn of the user and the answer to it, with their whole texts."""
+    turns = A.table(spark, d, "conversations")
+    ref = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("ref_turn"), F.col("text").alias("gold"))
+    cand = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("ref_turn"), F.col("text").alias("cand"))
+    return ref.join(cand, ["conv_id", "ref_turn"])
+
+
+@query
+def ocr_cer_whole(spark, d):
+    return _whole_pairs(spark, d).select("conv_id", "ref_turn", half_up(T.character_error_rate(F.col("gold"), F.col("cand"))).alias("cer"))
+
+
+@query
+def ocr_model_summary_whole(spark, d):
+    rows = _whole_pairs(spark, d).withColumn("model", F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")))
+    rows = rows.withColumns({"cer": T.character_error_rate(F.col("gold"), F.col("cand")), "cut": (~F.col("cand").rlike(r"[.!?]\z")).cast("long")})
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("cer")).alias("mean_cer"), F.sum("cut").alias("truncated"))
+
+
+@query
+def token_overlap_whole(spark, d):
+    tokens = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.char_length(t) >= 3))
+    rows = _whole_pairs(spark, d).withColumns({"a": tokens("gold"), "b": tokens("cand")})
+    return rows.select("conv_id", "ref_turn", F.size("a").cast("long").alias("ref_tokens"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
+
+
 def _runs(spark, d):
     kind = F.col("event_type")
     status = F.when(kind == "signup", "queued").when(kind == "view", "running").when(kind == "click", "succeeded").when(kind == "error", "failed").otherwise("cancelled")

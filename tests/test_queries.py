@@ -45,6 +45,30 @@ def test_query_equals_its_sql(spark, duck, name):
         assert plain(rows) == plain(want)
 
 
+def test_pairs_are_compared_whole(spark, tmp_path):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = [("the same words " * 20 + "left lung", "the same words " * 20 + "right lung clear."), ("Épaississement pleural à droite", "Epaississement pleural a droite."), ("short", "shirt")]
+    turns = [(i, t, r, x) for i, p in enumerate(pairs) for t, r, x in ((1, "user", p[0]), (2, "assistant", p[1]))]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    d = str(tmp_path)
+    want = {}
+    for i, p in enumerate(pairs):
+        a, b = ("".join(x.split()) for x in p)
+        want[i] = edits(a, b) / len(a)
+    assert {r.conv_id: r.cer for r in QUERIES["ocr_cer_whole"](spark, d).collect()} == {i: pytest.approx(x, abs=1e-6) for i, x in want.items()}
+    found = {r.model: r for r in QUERIES["ocr_model_summary_whole"](spark, d).collect()}
+    assert {m: (r.n, r.truncated) for m, r in found.items()} == {"m0": (1, 0), "m1": (1, 0), "m2": (1, 1)}
+    shared = {r.conv_id: (r.ref_tokens, r.shared) for r in QUERIES["token_overlap_whole"](spark, d).collect()}
+    assert shared[0] == (5, 4) and shared[2] == (1, 0)
+
+
 def one(spark, column, **values):
     names = list(values)
     return spark.createDataFrame([tuple(values[n] for n in names)], ", ".join(f"{n} string" for n in names)).select(column).first()[0]
