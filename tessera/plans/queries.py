@@ -271,6 +271,13 @@ def coverage_cartesian(spark, d):
     return missing.groupBy("model").agg(F.count(F.lit(1)).alias("missing_cases"))
 
 
+@query
+def coverage_all_cases(spark, d):
+    models = spark.range(8).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"))
+    missing = coverage.incomplete(A.cases(spark, d), models, A.reports(spark, d))
+    return missing.groupBy("model").agg(F.count(F.lit(1)).alias("missing_cases"))
+
+
 @query
 def ambiguous_hash_join(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))

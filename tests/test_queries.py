@@ -69,6 +69,16 @@ def test_pairs_are_compared_whole(spark, tmp_path):
     assert shared[0] == (5, 4) and shared[2] == (1, 0)
 
 
+def test_coverage_reports_every_modality(spark):
+    from tessera.plans import adapters as A
+
+    cases = {r.case_id for r in A.cases(spark, SF).select("case_id").collect()}
+    done = {(r.case_id, r.model) for r in A.reports(spark, SF).select("case_id", "model").collect()}
+    want = {f"m{i}": sum((c, f"m{i}") not in done for c in cases) for i in range(8)}
+    assert A.cases(spark, SF).where("modality <> 'ct'").count()
+    assert {r.model: r.missing_cases for r in QUERIES["coverage_all_cases"](spark, SF).collect()} == want
+
+
 def one(spark, column, **values):
     names = list(values)
     return spark.createDataFrame([tuple(values[n] for n in names)], ", ".join(f"{n} string" for n in names)).select(column).first()[0]
