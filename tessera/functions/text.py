@@ -20,12 +20,18 @@ SECTION_HEADINGS = {
 }
 #: Categories of personal data and what gives them away.
 PERSONAL_DATA = {
+    "chinese_clinical_identifier": r"(?iU)(?:姓名|住院号|门诊号|身份证(?:号)?|影像号|检查号|床号|电话|手机号|联系电话|报告医生|审核医生)\s*[:：]\s*[^\s,，;；]+",
     "phone_number": r"(?<!\d)(?:\+?86[- ]?)?1[3-9]\d{9}(?!\d)",
     "email_address": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
     "cn_national_id": r"(?<!\d)\d{17}[0-9Xx](?!\d)",
     "calendar_date": r"(?<!\d)(?:19|20)\d{2}(?:[-/.年])\d{1,2}(?:[-/.月])\d{1,2}日?(?!\d)",
     "dicom_uid": r"(?<!\d)\d+(?:\.\d+){4,}(?!\d)",
+    "server_absolute_path": r"(?U)(?<![A-Za-z0-9])/(?:data|nfsdata[^/]*|home|tmp|var|opt|private)(?:/[^\s,，;；]+)+",
+    "privacy_canary": r"(?i)PATIENT_CANARY_[A-Z0-9_-]+",
 }
+#: Where the clinical sections of a report begin and what ends them.
+CLINICAL_START = r"(?iU)(?:^|\n)\s*[*#_\-]*\s*(?:检查所见|影像所见|所见|findings?)\s*[:：]"
+CLINICAL_END = r"(?iU)(?:^|\n)\s*[*#_\-]*\s*(?:报告医生|审核医生|审核时间|打印时间|注\s*[:：]|PATIENT_CANARY_[A-Z0-9_-]+)"
 
 
 def squeezed(x: Column) -> Column:
@@ -79,6 +85,18 @@ def redacted(text: Column) -> Column:
     return text
 
 
+def clinical_only(text: Column) -> Column:
+    """From the first heading of findings, or else all, up to the first line of physicians, times or notes."""
+    begun = F.regexp_replace(text, rf"(?s)\A.*?({CLINICAL_START}.*)\z", "$1")
+    return F.regexp_replace(begun, rf"(?s){CLINICAL_END}.*\z", "")
+
+
+def deidentified(text: Column) -> Column:
+    """The clinical sections with personal data masked, without blank lines and spaces at the ends of lines."""
+    lines = F.transform(F.split(redacted(clinical_only(text)), r"\R"), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), r"(?U)^\s+", "")
+
+
 def deterministic_likert(text: Column, parts: Column) -> Column:
     """3, one more from 20 tokens on, one more with findings and impression; 1 for a blank text; at most 5."""
     blank = F.coalesce(F.regexp_replace(text, r"(?U)\s+", ""), F.lit("")) == ""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import quality
-from tessera.functions.text import personal_data, redacted
+from tessera.functions.text import deidentified, personal_data
 
 #: Tiers and sources whose reports never stand for a model's own output.
 BLOCKED_TIERS = ("mock", "debug_fallback")
@@ -107,7 +107,7 @@ def judge_coverage(requested: DataFrame, answers: DataFrame, ids: DataFrame) ->
 def benchmark_results(reports: DataFrame) -> DataFrame:
     """Reports with personal data masked and warned of, and a status: succeeded if text is left, else failed."""
     found = F.size(personal_data(F.coalesce("report", F.lit("")))) > 0
-    clean = F.when(found, redacted(F.col("report"))).otherwise(F.coalesce("report", F.lit("")))
+    clean = F.when(found, deidentified(F.col("report"))).otherwise(F.coalesce("report", F.lit("")))
     old = F.coalesce("warnings", F.array().cast("array<string>"))
     add = F.when(found & ~F.array_contains(old, "pii_redacted"), F.concat(old, F.array(F.lit("pii_redacted")))).otherwise(old)
     status = F.when(quality.stripped(clean) != "", "succeeded").otherwise("failed")

@@ -305,7 +305,7 @@ def pii_scan(spark, d):
 
 @query
 def pii_redact(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", "text", T.redacted(F.col("text")).alias("clean"))
+    docs = A.table(spark, d, "documents").select("doc_id", "text", T.deidentified(F.col("text")).alias("clean"))
     return docs.where("clean <> text").select("doc_id", F.char_length("clean").cast("long").alias("clean_chars"), F.sha2("clean", 256).alias("clean_sha256"))
 
 

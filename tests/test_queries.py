@@ -149,6 +149,15 @@ def test_personal_data(spark):
     assert one(spark, T.redacted(F.col("t")), t=text) == "call [phone_number] or [email_address] on [calendar_date]"
 
 
+def test_personal_data_of_reports(spark):
+    text = "姓名：张三， 检查号: A-1 saved in /data/ct/case_1.dcm mark patient_canary_7-X"
+    assert one(spark, T.personal_data(F.col("t")), t=text) == ["chinese_clinical_identifier", "server_absolute_path", "privacy_canary"]
+    assert one(spark, T.redacted(F.col("t")), t=text) == "[chinese_clinical_identifier]， [chinese_clinical_identifier] saved in [server_absolute_path] mark [privacy_canary]"
+    report = "姓名: 张三\nIndication: cough\n** Findings: clear on 2024-01-02  \n \nImpression: none\n报告医生: 李四\nprinted"
+    assert one(spark, T.deidentified(F.col("t")), t=report) == "** Findings: clear on [calendar_date]\nImpression: none"
+    assert one(spark, T.deidentified(F.col("t")), t=" no heading\n\nmore ") == "no heading\nmore"
+
+
 def test_state_machine_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:00:{i:02d}", i % 2, s) for i, s in enumerate(["queued", "queued", "running", "succeeded", "failed", "running", "queued"])]
     events = spark.createDataFrame(rows, "event_id long, ts string, run_id long, status string").withColumn("ts", F.col("ts").cast("timestamp"))
