@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What names a modality family, in the order of priority.
 MODALITY_PATTERNS = {
@@ -115,3 +120,57 @@ def character_error_rate(gold: Column, candidate: Column) -> Column:
     """Edits per character of the gold text, spaces left out; an empty gold text counts as one character."""
     bare = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
     return F.levenshtein(bare(gold), bare(candidate)) / F.greatest(F.char_length(bare(gold)), F.lit(1))
+
+
+_CLINICAL_HEADING = re.compile(r"(?:findings?|impression|conclusion|clinical\s+history|history|所见|影像所见|印象|诊断意见|诊断结论|临床资料|病史)\s*[:：]", re.I)
+_HISTORY = {"clinical history", "history", "临床资料", "病史"}
+
+
+def clinical_bare(text: str) -> str:
+    """The texts of the clinical sections but the history (all without one) in NFKC, without white space."""
+    heads = list(_CLINICAL_HEADING.finditer(text))
+    found = []
+    for m, end in zip(heads, [*(m.start() for m in heads[1:]), len(text)]):
+        body = text[m.end() : end].strip()
+        if body and m[0].split(":", 1)[0].strip().lower().replace("：", "") not in _HISTORY:
+            found.append(body)
+    return "".join(unicodedata.normalize("NFKC", "\n".join(found) if found else text).split())
+
+
+@F.pandas_udf(StringType())
+def clinical_letters(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else clinical_bare(x))
+
+
+def clinical_error_rate(gold: Column, candidate: Column) -> Column:
+    """Edits per character of the gold text's clinical sections; an empty one counts as one character."""
+    a, b = clinical_letters(gold), clinical_letters(candidate)
+    return F.levenshtein(a, b) / F.greatest(F.char_length(a), F.lit(1))
+
+
+def tokens(text: Column) -> Column:
+    """The distinct words of 3 characters or more in lower case, and 3- to 6-grams of runs of Chinese characters."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+|[\u4e00-\u9fff]+"), F.lit(0))
+    grams = lambda r: F.flatten(F.transform(F.sequence(F.lit(3), F.least(F.lit(6), F.char_length(r))), lambda n: F.transform(F.sequence(F.lit(1), F.char_length(r) - n + 1), lambda i: F.substr(r, i, n))))
+    expanded = F.transform(F.filter(runs, lambda r: F.char_length(r) >= 3), lambda r: F.when(r.rlike("^[\u4e00-\u9fff]"), grams(r)).otherwise(F.array(r)))
+    return F.array_distinct(F.flatten(expanded))
+
+
+def section_order(text: Column) -> Column:
+    """The sections in the order of their first headings; of a text without headings those with text."""
+    names = F.create_map(*(F.lit(x) for name, hs in SECTION_HEADINGS.items() for h in hs for x in (h, name)))
+    heads = "|".join(sorted((h for hs in SECTION_HEADINGS.values() for h in hs), key=len, reverse=True))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?imU)^\s*({heads})\s*[:：]"), F.lit(1)), lambda h: names[F.lower(h)]))
+    plain = F.when(F.trim(text) != "", F.array(F.lit("findings"))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(found) > 0, found).otherwise(plain)
+
+
+def section_deltas(a: Column, b: Column) -> Column:
+    """A map from section to its characters and words in two maps of ``sections``, and what the second has more."""
+    chars = lambda parts, name: F.char_length(F.coalesce(parts[name], F.lit("")))
+    words = lambda parts, name: F.size(F.regexp_extract_all(F.coalesce(parts[name], F.lit("")), F.lit(r"(?U)\b\w+\b"), F.lit(0)))
+    out = []
+    for name in (*SECTION_WEIGHTS, "other"):
+        c, w = [chars(x, name) for x in (a, b)], [words(x, name) for x in (a, b)]
+        out += [F.lit(name), F.struct(c[0].alias("chars_a"), c[1].alias("chars_b"), (c[1] - c[0]).alias("chars_delta"), w[0].alias("words_a"), w[1].alias("words_b"), (w[1] - w[0]).alias("words_delta"))]
+    return F.create_map(*out)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import erfc, sqrt
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tessera.functions.numbers import finite, half_up, reader_unit, t_critical
@@ -61,6 +65,18 @@ def welch(groups: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, f"{name}_a", f"{name}_b", "n_a", "n_b", t.alias("t"))
 
 
+@F.pandas_udf(DoubleType())
+def _two_tails(t: pd.Series) -> pd.Series:
+    return t.map(lambda x: erfc(abs(x) / sqrt(2)), na_action="ignore")
+
+
+def welch_p(n_a: Column, mean_a: Column, var_a: Column, n_b: Column, mean_b: Column, var_b: Column) -> Column:
+    """Two-sided p of Welch's t by the normal tail; 1 with fewer than two values on a side; without spread 0, or 1 if equal."""
+    error = F.sqrt(var_a / n_a + var_b / n_b)
+    p = F.when(error == 0, F.when(mean_a != mean_b, 0.0).otherwise(1.0)).otherwise(_two_tails((mean_a - mean_b) / F.nullif(error, F.lit(0.0))))
+    return F.when((n_a >= 2) & (n_b >= 2), p).otherwise(F.lit(1.0))
+
+
 def holm(rows: DataFrame, p: str, keys: list[str]) -> DataFrame:
     """Adds ``p_holm``: step-down adjusted p values within ``keys``; a null, non-finite or outside p counts as 1."""
     clean = F.when(finite(F.col(p)) & F.col(p).between(0, 1), F.col(p)).otherwise(F.lit(1.0))

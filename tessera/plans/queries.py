@@ -359,20 +359,19 @@ def _whole_pairs(spark, d):
 
 @query
 def ocr_cer_whole(spark, d):
-    return _whole_pairs(spark, d).select("conv_id", "ref_turn", half_up(T.character_error_rate(F.col("gold"), F.col("cand"))).alias("cer"))
+    return _whole_pairs(spark, d).select("conv_id", "ref_turn", half_up(T.clinical_error_rate(F.col("gold"), F.col("cand"))).alias("cer"))
 
 
 @query
 def ocr_model_summary_whole(spark, d):
     rows = _whole_pairs(spark, d).withColumn("model", F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")))
-    rows = rows.withColumns({"cer": T.character_error_rate(F.col("gold"), F.col("cand")), "cut": (~F.col("cand").rlike(r"[.!?]\z")).cast("long")})
+    rows = rows.withColumns({"cer": T.clinical_error_rate(F.col("gold"), F.col("cand")), "cut": (~F.col("cand").rlike(r"[.!?]\z")).cast("long")})
     return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("cer")).alias("mean_cer"), F.sum("cut").alias("truncated"))
 
 
 @query
 def token_overlap_whole(spark, d):
-    tokens = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.char_length(t) >= 3))
-    rows = _whole_pairs(spark, d).withColumns({"a": tokens("gold"), "b": tokens("cand")})
+    rows = _whole_pairs(spark, d).withColumns({"a": T.tokens(F.col("gold")), "b": T.tokens(F.col("cand"))})
     return rows.select("conv_id", "ref_turn", F.size("a").cast("long").alias("ref_tokens"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
 
 

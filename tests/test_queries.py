@@ -158,6 +158,23 @@ def test_personal_data_of_reports(spark):
     assert one(spark, T.deidentified(F.col("t")), t=" no heading\n\nmore ") == "no heading\nmore"
 
 
+def test_error_rate_of_clinical_sections(spark):
+    gold, cand = "Name x\nFindings: size １２ mm\nHistory: old", "Findings: size 12 mm"
+    assert one(spark, T.clinical_error_rate(F.col("g"), F.col("c")), g=gold, c=cand) == 0.0
+    assert one(spark, T.clinical_error_rate(F.col("g"), F.col("c")), g="Ａb", c="Ac") == 0.5
+
+
+def test_chinese_tokens_sections_and_p(spark):
+    assert sorted(one(spark, T.tokens(F.col("t")), t="CT 右上肺结 Lung_1 no")) == sorted(["右上肺", "上肺结", "右上肺结", "lung_1"])
+    assert one(spark, T.section_order(F.col("t")), t="Impression: a\nFindings: b\nimpression: c") == ["impression", "findings"]
+    deltas = one(spark, T.section_deltas(T.sections(F.col("a")), T.sections(F.col("b"))), a="Findings: one two", b="Findings: one\nImpression: no")
+    assert deltas["findings"].asDict() == dict(chars_a=7, chars_b=3, chars_delta=-4, words_a=2, words_b=1, words_delta=-1)
+    assert deltas["impression"].words_delta == 1
+    rows = spark.createDataFrame([(1, 4, 1.96, 2.0, 4, 0.0, 2.0), (2, 4, 1.0, 0.0, 4, 0.0, 0.0), (3, 1, 1.0, None, 4, 0.0, 0.0), (4, 4, 1.0, 0.0, 4, 1.0, 0.0)], "i int, n_a int, mean_a double, var_a double, n_b int, mean_b double, var_b double")
+    found = {r.i: r.p for r in rows.select("i", statistics.welch_p(*map(F.col, rows.columns[1:])).alias("p")).collect()}
+    assert found == {1: pytest.approx(0.0499958, abs=1e-6), 2: 0.0, 3: 1.0, 4: 1.0}
+
+
 def test_state_machine_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:00:{i:02d}", i % 2, s) for i, s in enumerate(["queued", "queued", "running", "succeeded", "failed", "running", "queued"])]
     events = spark.createDataFrame(rows, "event_id long, ts string, run_id long, status string").withColumn("ts", F.col("ts").cast("timestamp"))
