@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,9 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,10 +48,51 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As ``checkpointed``, but in a compressed columnar table, for large results. It stays until the session's folder goes."""
+    """As ``checkpointed``, but in a compressed columnar table, for large results. It stays until ``dropped`` or the session's folder goes."""
     path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a result of ``stored`` that no later step reads any more; any other DataFrame is left alone."""
+    if (path := _STORED.pop(df, None)) is not None:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: str, salts: int = 64, counted: DataFrame | None = None) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has one row for each value of ``on``, where any value may be hot in ``left``.
+
+    ``counted`` has the same values as ``left`` where that is dear to compute.
+
+    Values with more than a quarter of a mean partition of ``left`` are found by a count that is combined before its shuffle;
+    there are at most four of them for each partition. Their rows are salted by a hash, and the rows of ``right`` repeated.
+    """
+    n = partitions(left.sparkSession)
+    counted = left if counted is None else counted
+    counts = counted.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    total = counted.count()
+    hot = checkpointed(counts.where(F.col("__n") > max(256.0, total / (4 * n))).select(on))
+    if hot.isEmpty():
+        return left.join(right, on)
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    others = [F.col(c) for c in left.columns]
+    salted = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(0)).drop("__hot")
+    spread = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    repeated = right.join(hot, on, "left").withColumn("__salt", spread).drop("__hot")
+    return salted.join(repeated, [on, "__salt"]).drop("__salt")
 
 
 def unit_hash(*columns: Column | str) -> Column:

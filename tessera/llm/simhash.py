@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tessera.llm.common import checkpointed, partitions, per_batch, table
+from tessera.llm.common import checkpointed, fresh, join_unique, partitions, per_batch, table
 from tessera.llm.components import components
 
 BITS = 64
@@ -68,7 +68,8 @@ def _bits(hashes: np.ndarray) -> int:
 
 
 def with_fingerprints(docs: DataFrame, width: int = 4, text_col: str = "text", out: str = "fp") -> DataFrame:
-    """All columns of ``docs`` and a long column ``out``. Null and blank texts get 0. ``out`` must be a new name."""
+    """All columns of ``docs`` and a long column ``out``. Null and blank texts get 0. A column that is named ``out`` already is replaced."""
+    docs = docs.drop(out)
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -212,9 +213,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = near_components(nodes.select("fp"), radius)
     linked = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = checkpointed(linked)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    out = rows.join(named, "fp")
+    named = join_unique(linked, least, "root").select("fp", "component_id")
+    out = join_unique(rows, named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -405,7 +407,7 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarit
     candidates = checkpointed(candidates.union(same))
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    both = candidates.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = join_unique(join_unique(candidates, left, "a"), right, "b", counted=candidates).select("a", "b", "text_a", "text_b")
 
     def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = [jaccard(a, b, width) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -516,17 +518,22 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     texts link with each other. A null id sorts first. Repeated rows (one id, one text) leave one. All columns are returned,
     no others; an empty table gives an empty result.
     """
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
-    slim = with_wide_fingerprints(keyed.select(F.col("__key").alias("key"), "text"), width).select("key", "lo", "hi")
+    key = fresh(docs, "__key")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
+    slim = with_wide_fingerprints(keyed.select(F.col(key).alias("key"), "text"), width).select("key", "lo", "hi")
     slim = checkpointed(slim.dropDuplicates(["key"]))
-    rows = keyed.dropDuplicates(["__key"])
-    found = components(similar_links(slim, rows.select(F.col("__key").alias("key"), "text"), width, similarity))
-    gone = found.where("node <> root").select(F.col("node").alias("__key"))
-    return rows.join(gone, "__key", "left_anti").select(*docs.columns)
+    rows = keyed.dropDuplicates([key])
+    found = components(similar_links(slim, rows.select(F.col(key).alias("key"), "text"), width, similarity))
+    gone = found.where("node <> root").select(F.col("node").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def with_wide_fingerprints(docs: DataFrame, width: int = 5, text_col: str = "text", lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """All columns of ``docs`` and two long columns (new names) with the 128-bit SimHash; both 0 for texts without a word."""
+    """All columns of ``docs`` and two long columns with the 128-bit SimHash; both 0 for texts without a word.
+
+    Columns that are named ``lo`` or ``hi`` already are replaced.
+    """
+    docs = docs.drop(lo, hi)
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
