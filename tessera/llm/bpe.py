@@ -1,10 +1,17 @@
 """Byte-level BPE encoding and decoding as a tree reduction (operator 7).
 
-A text's encoding is a monoid product of the encodings of its parts. A text of more than ``LEAF`` characters is halved until
-its parts are short; each leaf is encoded alone; two neighbours are joined by encoding one window over their border anew. The
-window grows, to the left and to the right, up to the next character pair (non-space, space). No match of the pre-token
-pattern holds such a pair inside, and matching has no memory, so a pre-token always ends there whatever stands further off:
-tokens outside the window are provably those of the whole text. A side without such a pair goes into the window as a whole.
+A text's encoding is a monoid product of the encodings of its parts: a text of more than ``LEAF`` characters is halved until
+its parts are short, each leaf is encoded alone, and two neighbours are joined at two levels.
+
+*Pre-tokens.* Matches of the pattern have no memory, so the split is certain from any true start on. The left part's matches
+that touch the border, or begin so near to it that they may look over it, are dropped; matching goes on from there, in a
+window that grows match by match, until a match begins where one of the right part begins. From there on both splits agree.
+
+*Tokens of a long pre-token.* A sequence of tokens is the encoding of its bytes if and only if each pair of neighbours is the
+encoding of its own bytes: up to the first merge over a border between two tokens, their bytes merge as they do alone, so
+that merge would happen in the pair too. The window around the border is therefore merged anew, twice as wide each time,
+until the pairs at both of its edges are stable; all tokens outside then stay, whatever the text's length and script.
+
 Decoding walks the same tree and concatenates the bytes of the parts.
 """
 
@@ -12,90 +19,221 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import heapq
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import per_batch, table
 
-LEAF = 4096
-#: How far a pre-token match may look ahead from its start besides its own run: the longest contraction, ``'re``.
+LEAF = 1024
+#: How far a match may look ahead from its start besides its own run and one character: the longest contraction, ``'re``.
 LOOK = 3
-#: A character that ends a run, then white space as the pattern's ``\s`` has it (Unicode White_Space).
-_SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_BORDER = re.compile(f"[^{_SPACES}](?=[{_SPACES}])")
+#: Bytes up to which a piece is merged by plain search, characters of a piece that is remembered, and pieces remembered.
+SHORT, KNOWN_CHARS, KNOWN = 24, 32, 1 << 19
+
+
+@lru_cache(maxsize=1)
+def _newer() -> str:
+    """Ranges of letters and numbers by the ``regex`` module's Unicode version that the tiktoken library's older one calls neither.
+
+    Only code points that Python itself has not assigned are in question; the library is asked about each of them, by whether
+    it keeps the character and a mark behind it in one pre-token.
+    """
+    import unicodedata
+
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {bytes([i, 33]): 128 + i for i in range(128, 256)}
+    probe = tiktoken.Encoding("probe", pat_str=r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+", mergeable_ranks=ranks, special_tokens={})
+    word = regex.compile(r"[\p{L}\p{N}]")
+    asked = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn" and word.match(c)]
+    found = [ord(c) for c in asked if len(probe.encode_ordinary(c + "!")) == len(c.encode())]
+    first = [c for c, before in zip(found, [-1, *found]) if c != before + 1]
+    last = [c for c, after in zip(found, [*found[1:], -1]) if c != after - 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
 
 
 class Codec:
-    """Encodes and decodes with a tiktoken rank file. ``leaf`` only sets the size of the parts, never the result."""
+    """Encodes and decodes with a rank file. ``leaf`` only sets the size of the parts, never the result."""
 
     def __init__(self, ranks_path: str, pattern: str, leaf: int = LEAF) -> None:
         with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+        self.bytes = [b""] * (max(self.ranks.values()) + 1)
+        for piece, rank in self.ranks.items():
+            self.bytes[rank] = piece
         self.leaf = max(leaf, 2 * LOOK)
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for piece, rank in ranks.items():
-            self.lengths[rank] = len(piece)
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
-
-    def _cut(self, ids: np.ndarray, size: int, from_end: bool) -> int:
-        """How many tokens at one end cover exactly ``size`` bytes, found in growing windows of tokens."""
-        window = 64
-        while True:
-            part = ids[-window:][::-1] if from_end else ids[:window]
-            sums = np.concatenate(([0], np.cumsum(self.lengths[part])))
-            if sums[-1] >= size or len(part) == len(ids):
-                found = int(np.searchsorted(sums, size))
-                if sums[found] != size:
-                    raise AssertionError("a token crosses a pre-token border")
-                return found
-            window *= 4
-
-    def _left_border(self, text: str, start: int, end: int) -> int:
-        """The last certain border in text[start:end] at least LOOK characters before its end, or start."""
-        span = 64
+        self.pattern = regex.compile(pattern)
+        newer = _newer()
+        self.newer = regex.compile(f"[{newer}]") if newer else None
+        older = pattern.replace(r"\p{L}", f"[\\p{{L}}--[{newer}]]").replace(r"\p{N}", f"[\\p{{N}}--[{newer}]]") if newer else pattern
+        self.older = regex.compile(older, regex.V1)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+
+    def _merge(self, data: bytes) -> list[int]:
+        """Merges the neighbours of least rank, the leftmost of equals, until no two of them make a token."""
+        ranks = self.ranks
+        if len(data) > SHORT:
+            return self._merge_queued(data)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        found = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
+        while found:
+            least = min((r for r in found if r is not None), default=None)
+            if least is None:
+                break
+            i = found.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i < len(found):
+                found[i] = ranks.get(parts[i] + parts[i + 1])
+            if i:
+                found[i - 1] = ranks.get(parts[i - 1] + parts[i])
+        return [ranks[p] for p in parts]
+
+    def _merge_queued(self, data: bytes) -> list[int]:
+        """As ``_merge``, with the candidates in a heap."""
+        ranks, size = self.ranks, len(data)
+        end, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and (j := end[i]) < size and (rank := ranks.get(data[i : end[j]])) is not None:
+                heapq.heappush(heap, (rank, i, j, end[j]))
+
+        for i in range(size - 1):
+            offer(i)
+        while heap:
+            _, i, j, k = heapq.heappop(heap)
+            if end[i] != j or end[j] != k:
+                continue
+            end[i], end[j] = k, -1
+            if k < size:
+                before[k] = i
+            offer(i)
+            offer(before[i])
+        out, i = [], 0
+        while i < size:
+            out.append(ranks[data[i : end[i]]])
+            i = end[i]
+        return out
+
+    def _stable(self, a: int, b: int) -> bool:
+        """Whether two tokens are the encoding of their own bytes."""
+        if (found := self.pairs.get((a, b))) is None:
+            if len(self.pairs) >= KNOWN:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self._merge(self.bytes[a] + self.bytes[b]) == [a, b]
+        return found
+
+    def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
+        """The merges of a pre-token's bytes from those of its two parts."""
+        if not left or not right or self._stable(left[-1], right[0]):
+            return left + right
+        reach = 2
         while True:
-            low = max(start, end - span)
-            found = None
-            for match in _BORDER.finditer(text, low, end - LOOK + 1):
-                found = match.end()
-            if found is not None and found <= end - LOOK:
-                return found
-            if low == start:
-                return start
-            span *= 4
-
-    def _right_border(self, text: str, start: int, end: int) -> int:
-        match = _BORDER.search(text, start, end)
-        return match.end() if match else end
-
-    def join(self, text: str, left: np.ndarray, right: np.ndarray, start: int, middle: int, end: int) -> np.ndarray:
-        """The encoding of text[start:end], given those of text[start:middle] and text[middle:end]."""
-        low, high = self._left_border(text, start, middle), self._right_border(text, middle, end)
-        keep = len(left) - self._cut(left, len(text[low:middle].encode()), True)
-        skip = self._cut(right, len(text[middle:high].encode()), False)
-        return np.concatenate((left[:keep], self._plain(text[low:high]), right[skip:]))
-
-    def _encode(self, text: str, start: int, end: int) -> np.ndarray:
+            a, b = max(0, len(left) - reach), min(len(right), reach)
+            window = self._merge(b"".join([self.bytes[t] for t in (*left[a:], *right[:b])]))
+            if (a == 0 or self._stable(left[a - 1], window[0])) and (b == len(right) or self._stable(window[-1], right[b])):
+                return left[:a] + window + right[b:]
+            reach *= 2
+
+    def _merge_tree(self, data: bytes) -> list[int]:
+        if len(data) <= self.leaf:
+            return self._merge(data)
+        middle = len(data) // 2
+        return self.join_tokens(self._merge_tree(data[:middle]), self._merge_tree(data[middle:]))
+
+    def piece(self, text: str) -> tuple[int, ...]:
+        """The tokens of one pre-token: itself if it is a token, else by merges."""
+        if (found := self.known.get(text)) is None:
+            data = text.encode()
+            rank = self.ranks.get(data)
+            found = tuple(self._merge_tree(data)) if rank is None else (rank,)
+            if len(text) <= KNOWN_CHARS:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[text] = found
+        return found
+
+    def splitter(self, text: str) -> regex.Pattern:
+        if text.isascii() or self.newer is None:
+            return self.pattern
+        try:
+            text.encode("latin-1")  # no newer character is that low, and this is the faster test
+        except UnicodeEncodeError:
+            return self.older if self.newer.search(text) else self.pattern
+        return self.pattern
+
+    def _leaf(self, text: str, split: regex.Pattern, start: int, end: int) -> tuple[list[int], list[tuple[int, ...]]]:
+        """Where the pre-tokens of text[start:end] begin, and their tokens."""
+        found = split.findall(text[start:end])
+        if sum(map(len, found)) == end - start:
+            return list(accumulate(map(len, found[:-1]), initial=start))[: len(found)], self._pieces(found)
+        spans = [m.span() for m in split.finditer(text[start:end])]  # a pattern that passes over characters
+        return [start + a for a, _ in spans], self._pieces([text[start + a : start + b] for a, b in spans])
+
+    def _pieces(self, found: list[str]) -> list[tuple[int, ...]]:
+        known = self.known.get
+        return [known(p) or self.piece(p) for p in found]
+
+    def _parts(self, text: str, split: regex.Pattern, start: int, end: int) -> tuple[list[int], list[tuple[int, ...]]]:
         if end - start <= self.leaf:
-            return self._plain(text[start:end])
+            return self._leaf(text, split, start, end)
         middle = (start + end) // 2
-        return self.join(text, self._encode(text, start, middle), self._encode(text, middle, end), start, middle, end)
+        return self._join(text, split, self._parts(text, split, start, middle), self._parts(text, split, middle, end), start, middle, end)
+
+    def _join(self, text: str, split: regex.Pattern, left: tuple, right: tuple, start: int, middle: int, end: int) -> tuple[list[int], list[tuple[int, ...]]]:
+        starts, tokens = left
+        rights, right_tokens = right
+        kept = len(starts)
+        while kept and (starts[kept] if kept < len(starts) else middle) > middle - LOOK:
+            kept -= 1
+        at = starts[kept] if kept < len(starts) else middle if starts else start
+        out_starts, out_tokens, j = starts[:kept], tokens[:kept], 0
+        for match in split.finditer(text, at, end):
+            a, b = match.span()
+            while j < len(rights) and rights[j] < a:
+                j += 1
+            if j < len(rights) and rights[j] == a:
+                return out_starts + rights[j:], out_tokens + right_tokens[j:]
+            out_starts.append(a)
+            out_tokens.append(self._over(text, a, b, middle, end, starts, tokens, rights, right_tokens))
+        return out_starts, out_tokens
+
+    def _over(self, text: str, a: int, b: int, middle: int, end: int, starts: list[int], tokens: list, rights: list[int], right_tokens: list) -> tuple[int, ...]:
+        """The tokens of the pre-token text[a:b]; of a long one over the border by joining those of its two parts."""
+        if a < middle < b and b - a > self.leaf and starts and starts[-1] == a:
+            j = bisect_left(rights, b)
+            if (j == len(rights) and b == end) or (j < len(rights) and rights[j] == b):
+                data = text[a:b].encode()
+                if data in self.ranks:
+                    return (self.ranks[data],)
+                whole = list(tokens[-1])
+                for part in right_tokens[:j]:
+                    whole = self.join_tokens(whole, list(part))
+                return tuple(whole)
+        return self.piece(text[a:b])
 
     def encode(self, text: str) -> np.ndarray:
-        return self._encode(text, 0, len(text))
+        split = self.splitter(text)
+        if len(text) <= self.leaf:
+            parts = self._pieces(split.findall(text))
+        else:
+            parts = self._parts(text, split, 0, len(text))[1]
+        return np.array(list(chain.from_iterable(parts)), np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= self.leaf:
-            return self.encoding.decode_bytes(ids.tolist())
+            table_ = self.bytes
+            return b"".join([table_[i] for i in ids.tolist()])
         middle = len(ids) // 2
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
