@@ -1,144 +1,238 @@
 """Edit-aware token counts over pre-token segment trees (operator 4).
 
-A text is cut into segments where a pre-token always ends, between a non-space and a space, so its token count is the sum of
-its segments' counts. A tree holds the sums of characters and tokens. An edit finds its segments from the character sums,
-writes the new text into the first of them and empties the others; only that segment is encoded again, together with the
-neighbour on a side whose cut the edit has made uncertain, and the sums above the changed segments are updated.
+A text is cut into segments at pre-token borders, so its token count is the sum of its segments' counts. The segments are the
+nodes of a balanced tree that holds the sums of characters and tokens below each node. An edit takes out of the tree the
+segments it touches, and one more on its left where a match there may look into it; matching goes on over the segments behind
+the edit until a pre-token begins where a segment does, from where on nothing changes. The text taken out is cut and encoded
+anew, and its segments are put back; sums change on the paths to them only. Trees are kept as a column of segments, and edits
+are applied to kept trees without encoding the text again.
 """
 
 from __future__ import annotations
 
-import hashlib
+import random
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.llm.bpe import _BORDER, _SPACES, Codec, _named, codec
+from tessera.llm.bpe import LOOK, Codec, _named, codec
 from tessera.llm.common import per_batch, table
 
+#: Characters from which on a segment ends at the next pre-token border.
 SEGMENT = 256
-_SPACE_SET = frozenset(_SPACES)
+SEGMENTS = "array<struct<chars:int,tokens:int>>"
+
+
+class _Node:
+    __slots__ = ("part", "count", "chars", "tokens", "rank", "left", "right")
+
+    def __init__(self, part: str, count: int, rank: float) -> None:
+        self.part, self.count, self.rank = part, count, rank
+        self.left: _Node | None = None
+        self.right: _Node | None = None
+        self.sum()
+
+    def sum(self) -> _Node:
+        left, right = self.left, self.right
+        self.chars = len(self.part) + (left.chars if left else 0) + (right.chars if right else 0)
+        self.tokens = self.count + (left.tokens if left else 0) + (right.tokens if right else 0)
+        return self
+
+
+def _merged(a: _Node | None, b: _Node | None) -> _Node | None:
+    """The tree of the segments of ``a``, then those of ``b``; heap order by rank keeps it balanced."""
+    if a is None or b is None:
+        return a or b
+    if a.rank < b.rank:
+        a.right = _merged(a.right, b)
+        return a.sum()
+    b.left = _merged(a, b.left)
+    return b.sum()
+
+
+def _split(node: _Node | None, chars: int) -> tuple[_Node | None, _Node | None]:
+    """The segments that begin before ``chars``, and the others."""
+    if node is None:
+        return None, None
+    before = node.left.chars if node.left else 0
+    if before >= chars:
+        left, node.left = _split(node.left, chars)
+        return left, node.sum()
+    node.right, right = _split(node.right, chars - before - len(node.part))
+    return node.sum(), right
+
+
+def _segments(root: _Node | None) -> list[_Node]:
+    out, path = [], []
+    while root or path:
+        while root:
+            path.append(root)
+            root = root.left
+        out.append(root := path.pop())
+        root = root.right
+    return out
 
 
 class TokenTree:
     """Token counts of one text under edits. ``reencoded`` counts the characters encoded since the start."""
 
-    def __init__(self, text: str, tool: Codec, segment: int = SEGMENT) -> None:
+    def __init__(self, text: str, tool: Codec, segment: int = SEGMENT, kept: Sequence[tuple[int, int]] | None = None) -> None:
+        """``kept`` are the (characters, tokens) of the text's segments, from ``segments``: then nothing is encoded."""
         self.tool, self.segment, self.reencoded = tool, segment, 0
-        self._build(text)
-
-    def _cuts(self, text: str) -> list[str]:
-        out, start = [], 0
-        while len(text) - start > self.segment:
-            match = _BORDER.search(text, start + self.segment - 1)
-            if match is None:
-                break
-            out.append(text[start : match.end()])
-            start = match.end()
-        return [*out, text[start:]]
-
-    def _count(self, text: str) -> int:
+        self.random = random.Random(4)
+        self.root: _Node | None = None
+        if kept is None:
+            self.root = self._encoded(text)
+        else:
+            if sum(n for n, _ in kept) != len(text):
+                raise ValueError("these segments are of another text")
+            at = 0
+            for n, tokens in kept:
+                self.root = _merged(self.root, _Node(text[at : at + n], tokens, self.random.random()))
+                at += n
+
+    def _encoded(self, text: str, ahead: str = "") -> _Node | None:
+        """A tree of new segments; the text begins and ends at a pre-token border, and ``ahead`` are characters behind it."""
         self.reencoded += len(text)
-        return len(self.tool.encoding.encode_ordinary(text)) if text else 0
-
-    def _build(self, text: str) -> None:
-        self.parts = self._cuts(text)
-        self.size = 1 << (len(self.parts) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, part in enumerate(self.parts):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(part), self._count(part)
-        for i in range(self.size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-
-    def _set(self, i: int, text: str) -> None:
-        self.parts[i] = text
-        node = self.size + i
-        self.chars[node], self.tokens[node] = len(text), self._count(text)
-        while node := node >> 1:
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-            self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-
-    def _find(self, at: int) -> tuple[int, int]:
-        """The segment that holds the character at ``at`` (the last one for the text's end) and the place in it."""
-        node = 1
-        while node < self.size:
-            node *= 2
-            if at >= self.chars[node] and self.chars[node + 1]:
-                at -= self.chars[node]
-                node += 1
-        return node - self.size, at
-
-    def _beside(self, i: int, step: int) -> int:
-        i += step
-        while 0 <= i < len(self.parts) and not self.parts[i]:
-            i += step
-        return i if 0 <= i < len(self.parts) else -1
+        root, held, size, count, left = None, [], 0, 0, len(text)
+        tool = self.tool
+        for piece in tool.splitter(text + ahead).findall(text + ahead):
+            if left <= 0:
+                break
+            left -= len(piece)
+            held.append(piece)
+            size += len(piece)
+            count += len(tool.piece(piece))
+            if size >= self.segment:
+                root = _merged(root, _Node("".join(held), count, self.random.random()))
+                held, size, count = [], 0, 0
+        return _merged(root, _Node("".join(held), count, self.random.random())) if held else root
 
     def replace(self, start: int, length: int, new: str) -> None:
         """Replaces ``length`` characters from ``start`` on; both are held to the text's bounds."""
-        total = self.chars[1]
+        total = self.root.chars if self.root else 0
         start = min(max(start, 0), total)
         end = min(start + max(length, 0), total)
-        first, at = self._find(start)
-        last, to = self._find(end)
-        text = self.parts[first][:at] + new + self.parts[last][to:]
-        emptied = [i for i in range(first + 1, last + 1) if self.parts[i]]
-        # A cut stays certain only between a non-space and a space; else the neighbour joins in.
-        while (left := self._beside(first, -1)) >= 0 and (not text or text[0] not in _SPACE_SET):
-            text = self.parts[left] + text
-            emptied.append(first)
-            first = left
-        while (right := self._beside(last, 1)) >= 0 and text and text[-1] in _SPACE_SET:
-            text += self.parts[right]
-            emptied.append(right)
-            last = right
-        for i in emptied:
-            self.parts[i] = ""
-            self._set(i, "")
-        self._set(first, text)
-        if len(text) > 16 * self.segment and len(self._cuts(text)) > 8:
-            self._build("".join(self.parts))
+        # Left of the edit: whole segments, the last of which may look LOOK characters into the next one.
+        touched, after = _split(self.root, end + 1)
+        before, touched = self._before(touched, start)
+        part = "".join(n.part for n in _segments(touched))
+        offset = before.chars if before else 0
+        text = part[: start - offset] + new + part[end - offset :]
+        # Right of it: until a pre-token begins where a segment does.
+        at, behind = 0, ""
+        while after is not None:
+            beside, rest = _split(after, LOOK + 1)  # so that no match before them ends where the text seems to
+            ahead = text + "".join(n.part for n in _segments(beside))
+            starts, split = [], self.tool.splitter(ahead)
+            for match in split.finditer(ahead, at):
+                starts.append(match.start())
+                if match.start() >= len(text):
+                    break
+            if starts and starts[-1] == len(text):
+                after, behind = _merged(beside, rest), ahead[len(text) : len(text) + LOOK + 1]
+                break
+            at = max([s for s in starts if s < len(text) - LOOK], default=at)
+            text, after = ahead, rest
+        self.root = _merged(_merged(before, self._encoded(text, behind)), after)
+
+    def _before(self, node: _Node | None, start: int) -> tuple[_Node | None, _Node | None]:
+        """Segments that no change from ``start`` on can reach, and the others."""
+        held = []
+        while node is not None:
+            node, last = self._last(node)
+            held.append(last)
+            if (node.chars if node else 0) + LOOK <= start:
+                break
+        out = None
+        for n in reversed(held):
+            out = _merged(out, n)
+        return node, out
+
+    @staticmethod
+    def _last(node: _Node) -> tuple[_Node | None, _Node]:
+        tail = node
+        while tail.right is not None:
+            tail = tail.right
+        rest, last = _split(node, node.chars - len(tail.part))
+        return rest, last
 
     @property
     def count(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens if self.root else 0
 
     @property
     def text(self) -> str:
-        return "".join(self.parts)
+        return "".join(n.part for n in _segments(self.root))
+
+    @property
+    def segments(self) -> list[tuple[int, int]]:
+        return [(len(n.part), n.count) for n in _segments(self.root)]
+
+
+def _array(trees: list[list[tuple[int, int]]]) -> pa.Array:
+    flat = [x for tree in trees for x in tree]
+    offsets = [0]
+    for tree in trees:
+        offsets.append(offsets[-1] + len(tree))
+    fields = [pa.array([x[i] for x in flat], pa.int32()) for i in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=["chars", "tokens"]))
+
+
+def with_segments(docs: DataFrame, out: str = "segments", vocabulary: str = "byte_bpe_multi_50k.tiktoken", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``out``, the tree of each text: (chars, tokens) of its segments in order.
+
+    Keep this column with the text and edits need no full encoding again. A null or empty text has no segments. A column that
+    is named ``out`` already is replaced. An empty table gives an empty result.
+    """
+    docs = docs.drop(out)
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tool = codec(*_named(vocabulary))
+        trees = [TokenTree(text or "", tool).segments for text in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, _array(trees)], names=[*batch.schema.names, out])
+
+    return docs.mapInArrow(per_batch(run, 256), StructType([*docs.schema.fields, *_kinds(docs.sparkSession, f"`{out}` {SEGMENTS}")]))
+
+
+def _kinds(spark: SparkSession, ddl: str) -> list:
+    return list(StructType.fromDDL(ddl).fields)
 
 
-def count_edits(docs: DataFrame, edits_col: str = "edits", vocabulary: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id, tokens before and after its edits, characters encoded for them, and a digest.
+def apply_edits(
+    trees: DataFrame, edits_col: str = "edits", segments_col: str = "segments", vocabulary: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row for each input row: id, tokens before and after its edits, characters encoded for them, the edited ``text`` and its ``segments``.
 
     ``edits_col`` is an array of structs (start, length, replacement), applied in order to the text as it then stands; starts
-    count code points from 0 and are held to the text. A null text counts as empty; null or no edits leave the count; a null
-    start or length counts as 0, a null replacement as empty. Whole texts are counted. Other columns are ignored.
+    count code points from 0 and are held to the text. ``segments_col`` is the column that ``with_segments`` made, or that
+    this operator returned; where it is null the text is encoded first. A null text counts as empty; null or no edits leave
+    the text; a null start or length counts as 0, a null replacement as empty. Other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tool = codec(*_named(vocabulary))
         rows: list[tuple] = []
-        for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            tree = TokenTree(text or "", tool)
+        for text, edits, kept in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            tree = TokenTree(text or "", tool, kept=None if kept is None else [(s["chars"], s["tokens"]) for s in kept])
             before, tree.reencoded = tree.count, 0
             for edit in edits or []:
                 if edit:
                     tree.replace(edit["start"] or 0, edit["length"] or 0, edit["replacement"] or "")
-            rows.append((before, tree.count, tree.reencoded, hashlib.sha256(tree.text.encode()).hexdigest()))
-        columns = list(zip(*rows)) or [(), (), (), ()]
+            rows.append((before, tree.count, tree.reencoded, tree.text, tree.segments))
+        columns = list(zip(*rows)) or [()] * 5
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
-            names=[id_col, "n_tokens_before", "n_tokens_after", "reencoded_chars", "edited_sha256"],
+            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), _array(list(columns[4]))],
+            names=[id_col, "n_tokens_before", "n_tokens_after", "reencoded_chars", "text", "segments"],
         )
 
-    slim = docs.select(F.col(id_col), F.col(text_col), F.col(edits_col))
-    kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(
-        per_batch(run, 256), f"`{id_col}` {kind}, n_tokens_before bigint, n_tokens_after bigint, reencoded_chars bigint, edited_sha256 string"
-    )
+    slim = trees.select(F.col(id_col), F.col(text_col), F.col(edits_col), F.col(segments_col))
+    kinds = f"n_tokens_before bigint, n_tokens_after bigint, reencoded_chars bigint, text string, segments {SEGMENTS}"
+    return slim.mapInArrow(per_batch(run, 256), StructType([slim.schema[0], *_kinds(trees.sparkSession, kinds)]))
 
 
 def edit_script(text: Column) -> Column:
@@ -151,4 +245,6 @@ def edit_script(text: Column) -> Column:
 
 def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return count_edits(docs.select("doc_id", "text", edit_script(F.col("text")).alias("edits")))
+    trees = with_segments(docs.select("doc_id", "text", edit_script(F.col("text")).alias("edits")))
+    found = apply_edits(trees)
+    return found.select("doc_id", "n_tokens_before", "n_tokens_after", "reencoded_chars", F.size("segments").alias("n_segments"), F.sha2("text", 256).alias("edited_sha256"))
