@@ -3,7 +3,8 @@
 The lexicon (whole words and word stems) is learned from labelled texts: terms that mark toxic documents and hardly occur in
 others. A product automaton of the lexicon's trie with the Levenshtein automaton of each term, made deterministic as words
 ask for its states, reads each word of a text once and gives the fewest edits that turn it into a term. A window around each
-hit tells quotation from abuse; a logistic regression over counts of hits by kind, fitted on the same rows, gives the score.
+hit tells quotation from abuse, by quotation marks and by the words that stand there; a logistic regression over counts of
+hits by kind and the tone of their windows, fitted on the same rows, gives the score.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +23,47 @@ from pyspark.sql.types import DoubleType, StructType
 from tessera.llm.common import per_batch, table, unit_hash
 from tessera.llm.language_id import held_out
 
-#: Labelled documents of each class that the lexicon and the weights are fitted on, drawn by a hash of the id.
-SAMPLE = 1500
+#: Labelled documents of each class that the lexicon and the weights are fitted on, drawn by a hash of the id, and the longest
+#: text that is fitted on; both bound what the driver holds. Every text is scored, whatever its length.
+SAMPLE, LONGEST = 1500, 1 << 20
 #: A term is in this share of the toxic sample at least, and so many times as dense there as in the rest: the purity is chosen
 #: among these by cross-validation over FOLDS parts of the sample.
 SUPPORT, RATIOS, FOLDS = 0.008, (8, 15, 30, 60), 3
 #: From this many hits among a hundred words on, a document counts in full.
 DENSE = 1.0
-FEATURES = 8
-LEAST_TERM, LEAST_FUZZY_WORD, LEAST_FUZZY_STEM = 4, 5, 6
+FEATURES = 9
+#: A stem has so many letters at least; a whole word may have any number. Edits are allowed from these lengths on.
+LEAST_STEM, LEAST_FUZZY_WORD, LEAST_FUZZY_STEM = 4, 5, 6
 WINDOW = 60
-_WORD = re.compile(r"\w+")
-_OPEN, _CLOSE = "\"“„«‹", "\"”“»›"
+#: Windows that a word's share among the windows of toxic and of other documents is drawn towards its share in all by.
+PRIOR = 20.0
+#: Words whose kind a worker remembers.
+KNOWN = 1 << 18
+#: Scripts that put no space between words: there each two neighbouring characters are a word.
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+_WORD, _ANY_SPACELESS, _RUN = re.compile(r"\w+"), re.compile(f"[{_SPACELESS}]"), re.compile(rf"[{_SPACELESS}]+|[^\W{_SPACELESS}]+")
+_OPEN, _CLOSE = "\"\u201c\u201e\u00ab\u2039", "\"\u201d\u201c\u00bb\u203a"
 NONE, FUZZY, EXACT = 0, 1, 2
 
 
+def spans(text: str) -> list[tuple[str, int, int]]:
+    """The words of a text in lower case and their places."""
+    if not _ANY_SPACELESS.search(text):
+        return [(m[0], *m.span()) for m in _WORD.finditer(text)]
+    out = []
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        if end - start > 2 and _ANY_SPACELESS.match(text, start):
+            out += [(text[i : i + 2], i, i + 2) for i in range(start, end - 1)]
+        else:
+            out.append((m[0], start, end))
+    return out
+
+
+def words(text: str) -> list[str]:
+    return [w for w, _, _ in spans(text)] if _ANY_SPACELESS.search(text) else _WORD.findall(text)
+
+
 class Automaton:
     """The deterministic product of a trie of terms (a trailing ``*`` makes a stem) and Levenshtein automata."""
 
@@ -108,61 +136,125 @@ def density(hits: float, words: int) -> float:
     return min(DENSE, 100 * hits / max(1, words))
 
 
-class Counts:
-    """For each word and each beginning of a word the documents that hold it, and the sum of its density in them."""
+class Vocabulary:
+    """The distinct words of labelled documents in order, the beginnings that they share, and how dense each is in each document.
+
+    Beginnings are the branches of a trie: the longest one that all words below a branch have in common stands for all shorter
+    ones with the same words. So there are fewer of them than words, however long these are. ``entries`` are words, then branches.
+    """
 
     def __init__(self, documents: list[Counter]) -> None:
-        self.documents, self.ends, self.begins, self.end_mass, self.begin_mass = len(documents), Counter(), Counter(), Counter(), Counter()
-        for words in documents:
-            total, begins = words.total(), Counter()
-            for word, n in words.items():
-                self.ends[word] += 1
-                self.end_mass[word] += density(n, total)
-                for k in range(LEAST_TERM, min(len(word), 12) + 1):
-                    begins[word[:k]] += n
-            for b, n in begins.items():
-                self.begins[b] += 1
-                self.begin_mass[b] += density(n, total)
-
-
-def learn_terms(toxic: Counts, rest: Counts, ratio: float) -> list[str]:
-    """Words, and stems with a trailing ``*``, that mark the toxic documents by their density there: the shortest pure beginning, drawn out while nearly all its words share more."""
-    ends_t, begins_t = toxic.ends, toxic.begins
-    least = max(4, SUPPORT * toxic.documents)
-
-    def pure(found: int, mass: float, other: float) -> bool:
-        return found >= least and mass / max(1, toxic.documents) >= ratio * (other + 0.5) / max(1, rest.documents)
-
-    below: dict[str, list[str]] = {}
-    for b in begins_t:
-        below.setdefault(b[:-1], []).append(b)
-    out, todo = [], [b for b in begins_t if len(b) == LEAST_TERM]
-    while todo:
-        b = todo.pop()
-        if begins_t[b] < least:
-            continue
-        if not pure(begins_t[b], toxic.begin_mass[b], rest.begin_mass[b]):
-            if pure(ends_t[b], toxic.end_mass[b], rest.end_mass[b]):
-                out.append(b)
-            todo += below.get(b, [])
-            continue
-        while (longer := max(below.get(b, []), key=lambda x: (begins_t[x], x), default=None)) and begins_t[longer] >= 0.95 * begins_t[b]:
-            b = longer
-        out.append(b if ends_t[b] >= 0.95 * begins_t[b] else f"{b}*")
-    return sorted(out)
+        self.words = sorted(set().union(*documents))
+        number = {w: i for i, w in enumerate(self.words)}
+        self.parent = np.full(len(self.words), -1, np.int64)
+        self.text, self.low, self.high = list(self.words), list(range(len(self.words))), list(range(1, len(self.words) + 1))
+        self._branches()
+        doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+        word = np.array([number[w] for d in documents for w in d], np.int64)
+        n = np.array([n for d in documents for n in d.values()], np.int64)
+        self.totals = np.array([d.total() for d in documents], np.int64)
+        self.doc, self.word, self.n = doc, word, n
+        keys, sums = [doc * len(self.text) + word], [n]
+        at, up = doc, self.parent[word]
+        while (below := up >= 0).any():
+            at, up, n = at[below], up[below], n[below]
+            keys.append(at * len(self.text) + up)
+            sums.append(n)
+            up = self.parent[up]
+        keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        hits = np.bincount(place, np.concatenate(sums), len(keys))
+        self.at, self.entry = keys // max(1, len(self.text)), keys % max(1, len(self.text))
+        self.mass = np.minimum(DENSE, 100 * hits / np.maximum(1, self.totals[self.at]))
+
+    def _branches(self) -> None:
+        """Adds an entry for each branch of LEAST_STEM letters or more, from neighbours' common beginnings."""
+        parents: dict[int, int] = {}
+        path: list[tuple[int, int]] = []  # (length, entry) of the open branches
+        common = 0
+        for i, word in enumerate(self.words):
+            after = self.words[i + 1] if i + 1 < len(self.words) else ""
+            ahead = len(commonprefix((word, after)))
+            # The branch that holds this word is the longer one of those with its neighbours.
+            if ahead >= LEAST_STEM and (not path or ahead > path[-1][0]):
+                parents[len(self.text)] = path[-1][1] if path else -1
+                path.append((ahead, len(self.text)))
+                self.text.append(word[:ahead])
+                self.low.append(i)
+                self.high.append(i + 1)
+            self.parent[i] = path[-1][1] if path and max(common, ahead) >= LEAST_STEM else -1
+            while path and path[-1][0] > ahead:
+                length, entry = path.pop()
+                self.high[entry] = i + 1
+                if ahead >= LEAST_STEM and (not path or path[-1][0] < ahead):
+                    # A shorter branch begins where this one does.
+                    new = len(self.text)
+                    parents[new] = path[-1][1] if path else -1
+                    parents[entry] = new
+                    self.text.append(word[:ahead])
+                    self.low.append(self.low[entry])
+                    self.high.append(i + 1)
+                    path.append((ahead, new))
+                    break
+            common = ahead
+        self.parent = np.concatenate((self.parent, [parents[e] for e in range(len(self.words), len(self.text))])).astype(np.int64)
+
+    def sums(self, part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By part and entry the documents that hold it and its density in them, and the documents of each part."""
+        key = part[self.at] * len(self.text) + self.entry
+        size = parts * len(self.text)
+        shape = (parts, len(self.text))
+        return np.bincount(key, minlength=size).reshape(shape), np.bincount(key, self.mass, size).reshape(shape), np.bincount(part, minlength=parts)
+
+    def hits(self, terms: list[str], entries: list[int]) -> np.ndarray:
+        """How often each document holds a word of the terms, whose entries these are."""
+        held = np.zeros(len(self.words), bool)
+        for term, e in zip(terms, entries):
+            held[self.low[e] : self.high[e] if term.endswith("*") else self.low[e] + 1] = True
+        return np.bincount(self.doc, self.n * held[self.word], len(self.totals))
+
+    def learn(self, found: np.ndarray, mass: np.ndarray, other: np.ndarray, toxic: int, rest: int, ratio: float) -> tuple[list[str], list[int]]:
+        """Words, and stems with a trailing ``*``, that mark the toxic documents by their density there, and their entries.
+
+        The shortest pure beginning is taken, drawn out while nearly all its words share more.
+        """
+        least = max(4, SUPPORT * toxic)
+        pure = (found >= least) & (mass / max(1, toxic) >= ratio * (other + 0.5) / max(1, rest))
+        below: dict[int, list[int]] = {}
+        for e in np.flatnonzero(found >= least).tolist():
+            below.setdefault(int(self.parent[e]), []).append(e)
+        terms: dict[str, int] = {}
+        todo = below.get(-1, [])[:]
+        branch = len(self.words)
+        while todo:
+            e = todo.pop()
+            if not pure[e]:
+                todo += below.get(e, [])
+                continue
+            while (longer := max(below.get(e, []), key=lambda x: (found[x], x), default=None)) is not None and found[longer] >= 0.95 * found[e]:
+                e = longer
+            terms[self.text[e] + ("*" if e >= branch else "")] = e
+        out = sorted(terms)
+        return out, [terms[t] for t in out]
 
 
 class Scorer:
-    def __init__(self, terms: list[str], common: frozenset[str] = frozenset(), weights: tuple[float, ...] = ()) -> None:
-        self.terms, self.common = tuple(terms), common
+    """``cues`` are words that stand around hits in toxic documents more often (above 0) or less often than in others."""
+
+    def __init__(self, terms: list[str], common: frozenset[str] = frozenset(), weights: tuple[float, ...] = (), cues: dict[str, float] | None = None) -> None:
+        self.terms, self.common, self.cues = tuple(terms), common, cues or {}
         self.exact = Automaton(terms, 0)
         self.fuzzy = Automaton([t for t in terms if len(t) >= (LEAST_FUZZY_STEM + 1 if t.endswith("*") else LEAST_FUZZY_WORD)], 1)
         self.weights = np.array(weights)
+        self.known: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
-        if self.exact.least_edits(word) == 0:
-            return EXACT
-        return FUZZY if word not in self.common and self.fuzzy.least_edits(word) >= 0 else NONE
+        if (found := self.known.get(word)) is None:
+            found = EXACT if self.exact.least_edits(word) == 0 else FUZZY if word not in self.common and self.fuzzy.least_edits(word) >= 0 else NONE
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            if len(word) <= 64:
+                self.known[word] = found
+        return found
 
     @staticmethod
     def quoted(text: str, start: int, end: int) -> bool:
@@ -172,27 +264,63 @@ class Scorer:
         opens = max(map(before.rfind, _OPEN))
         return opens >= 0 and any(c in after for c in _CLOSE) and before.count('"') % 2 == (before[opens] == '"')
 
+    @staticmethod
+    def around(text: str, start: int, end: int) -> list[str]:
+        """The words in the window of a hit."""
+        return words(text[max(0, start - WINDOW) : start]) + words(text[end : end + WINDOW])
+
+    def hits(self, text: str) -> tuple[list[tuple[int, int, int]], int, int]:
+        """(kind, start, end) of each hit in a text in lower case, its words and distinct words."""
+        distinct = set(words(text))
+        kinds = {w: k for w in distinct if (k := self.kind(w))}
+        if not kinds:
+            return [], 0, len(distinct)
+        every = spans(text)
+        return [(kinds[w], a, b) for w, a, b in every if w in kinds], len(every), len(distinct)
+
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
-        words = set(_WORD.findall(text))
-        hits = {w: k for w in words if (k := self.kind(w))}
-        exact = fuzzy = quoted = total = 0
-        if hits:
-            for match in _WORD.finditer(text):
-                total += 1
-                if kind := hits.get(match[0]):
-                    if self.quoted(text, *match.span()):
-                        quoted += 1
-                    elif kind == EXACT:
-                        exact += 1
-                    else:
-                        fuzzy += 1
-        return [1.0, float(exact > 0), np.log1p(exact), float(fuzzy > 0), np.log1p(fuzzy), np.log1p(quoted), np.log1p(len(words)) / 10, density(exact, total)]
+        found, total, distinct = self.hits(text)
+        exact = fuzzy = quoted = 0
+        context = 0.0
+        for kind, start, end in found:
+            near = self.around(text, start, end) if self.cues else ()
+            context += sum(self.cues.get(w, 0.0) for w in near) / max(1, len(near))
+            if self.quoted(text, start, end):
+                quoted += 1
+            elif kind == EXACT:
+                exact += 1
+            else:
+                fuzzy += 1
+        tone = max(-1.0, min(1.0, context / max(1, len(found))))
+        return [1.0, float(exact > 0), np.log1p(exact), float(fuzzy > 0), np.log1p(fuzzy), np.log1p(quoted), np.log1p(distinct) / 10, density(exact, total), tone]
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(text), self.weights), -30, 30))))
 
 
+def learn_cues(scorer: Scorer, texts: list[str], marks: np.ndarray) -> dict[str, float]:
+    """For words around hits, how much likelier they are there in toxic documents than in others, as the logarithm of a ratio.
+
+    Both shares are drawn towards the word's share in all windows, so without hits in one class every cue is near 0.
+    """
+    seen = Counter(), Counter()
+    windows = [0, 0]
+    for text, mark in zip(texts, marks):
+        text = text.lower()
+        for _, start, end in scorer.hits(text)[0]:
+            windows[mark] += 1
+            seen[mark].update(set(scorer.around(text, start, end)))
+    out = {}
+    for w in seen[0].keys() | seen[1].keys():
+        both = seen[0][w] + seen[1][w]
+        share = both / (windows[0] + windows[1])
+        ratio = [(seen[k][w] + PRIOR * share) / (windows[k] + PRIOR) for k in (0, 1)]
+        if both >= 5:
+            out[w] = float(np.log(ratio[1] / ratio[0]))
+    return out
+
+
 def regression(features: np.ndarray, labels: np.ndarray, class_weights: tuple[float, float], rounds: int = 50) -> np.ndarray:
     """Weights of a logistic regression by Newton steps with a small ridge."""
     w = np.zeros(features.shape[1])
@@ -208,31 +336,30 @@ def regression(features: np.ndarray, labels: np.ndarray, class_weights: tuple[fl
     return w
 
 
-def by_class(documents: list[Counter], marks: np.ndarray) -> tuple[Counts, Counts]:
-    return tuple(Counts([d for d, k in zip(documents, marks) if k == wanted]) for wanted in (1, 0))
+def folds(marks: np.ndarray) -> np.ndarray:
+    """The part of each document; both classes are dealt evenly."""
+    part = np.zeros(len(marks), np.int64)
+    for k in (0, 1):
+        part[marks == k] = np.arange((marks == k).sum()) % FOLDS
+    return part
 
 
-def best_ratio(documents: list[Counter], marks: np.ndarray, class_weights: tuple[float, float]) -> float:
+def best_ratio(vocabulary: Vocabulary, marks: np.ndarray, class_weights: tuple[float, float]) -> float:
     """The purity whose terms, learned without a part of the sample, tell that part's classes best by a regression over exact
     hits; the highest of equals."""
     wrong = dict.fromkeys(RATIOS, 0.0)
-    part = np.zeros(len(documents), np.int64)
-    for k in (0, 1):
-        part[marks == k] = np.arange((marks == k).sum()) % FOLDS
+    part = folds(marks)
+    found, mass, sizes = vocabulary.sums(part * 2 + marks, 2 * FOLDS)
+    distinct = np.bincount(vocabulary.doc, minlength=len(marks))
     for fold in range(FOLDS):
         kept = np.flatnonzero(part != fold)
-        counts = by_class([documents[i] for i in kept], marks[kept])
+        others = [f for f in range(FOLDS) if f != fold]
+        toxic, rest = [2 * f + 1 for f in others], [2 * f for f in others]
         for ratio in RATIOS:
-            exact = Automaton(learn_terms(*counts, ratio), 0)
-            known: dict[str, bool] = {}
-            rows = []
-            for d in documents:
-                for w in d:
-                    if w not in known:
-                        known[w] = exact.least_edits(w) == 0
-                hits = sum(n for w, n in d.items() if known[w])
-                rows.append((1.0, float(hits > 0), np.log1p(hits), np.log1p(len(d)) / 10, density(hits, d.total())))
-            features = np.array(rows).reshape(-1, 5)
+            terms = vocabulary.learn(found[toxic].sum(0), mass[toxic].sum(0), mass[rest].sum(0), sizes[toxic].sum(), sizes[rest].sum(), ratio)
+            hits = vocabulary.hits(*terms)
+            dense = np.minimum(DENSE, 100 * hits / np.maximum(1, vocabulary.totals))
+            features = np.stack([np.ones(len(hits)), hits > 0, np.log1p(hits), np.log1p(distinct) / 10, dense], axis=1)
             weights = regression(features[kept], marks[kept], class_weights)
             said = features @ weights >= 0
             wrong[ratio] += sum(class_weights[marks[i]] for i in np.flatnonzero((part == fold) & (said != (marks == 1))))
@@ -240,16 +367,27 @@ def best_ratio(documents: list[Counter], marks: np.ndarray, class_weights: tuple
 
 
 def fit(texts: list[str], labels: list[int], class_sizes: dict[int, int]) -> Scorer:
-    """A lexicon and weights from labelled texts; ``class_sizes`` tells how many rows each class stands for."""
+    """A lexicon, cues and weights from labelled texts; ``class_sizes`` tells how many rows each class stands for."""
     marks = np.array(labels, np.int64)
-    documents = [Counter(_WORD.findall(t.lower())) for t in texts]
     weights = tuple(class_sizes.get(k, 0) / max(1, int((marks == k).sum())) for k in (0, 1))
-    toxic, rest = by_class(documents, marks)
-    terms = learn_terms(toxic, rest, best_ratio(documents, marks, weights))
+    if not len(marks):
+        return Scorer([], weights=tuple(regression(np.zeros((0, FEATURES)), marks, weights)))
+    vocabulary = Vocabulary([Counter(words(t.lower())) for t in texts])
+    found, mass, sizes = vocabulary.sums(marks, 2)
+    terms, _ = vocabulary.learn(found[1], mass[1], mass[0], sizes[1], sizes[0], best_ratio(vocabulary, marks, weights))
     scorer = Scorer(terms)
-    common = frozenset(w for w, n in rest.ends.items() if n >= 2 and scorer.fuzzy.least_edits(w) >= 0)
+    often = np.flatnonzero(found[0, : len(vocabulary.words)] >= 2)
+    common = frozenset(w for i in often if scorer.fuzzy.least_edits(w := vocabulary.words[i]) >= 0)
     scorer = Scorer(terms, common)
-    features = np.array([scorer.features(t) for t in texts]).reshape(-1, FEATURES)
+    # The weights are fitted on tones by cues of the other parts of the sample, so that the cues' own noise gets no weight.
+    part = folds(marks)
+    features = np.zeros((len(texts), FEATURES))
+    for fold in range(FOLDS):
+        kept = np.flatnonzero(part != fold)
+        scorer.cues = learn_cues(scorer, [texts[i] for i in kept], marks[kept])
+        for i in np.flatnonzero(part == fold):
+            features[i] = scorer.features(texts[i])
+    scorer.cues = learn_cues(scorer, texts, marks)
     scorer.weights = regression(features, marks, weights)
     return scorer
 
@@ -258,8 +396,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> S
     """Fits on at most about ``per_class`` labelled documents of each class, drawn by a hash of the id.
 
     Ids are drawn from the labels alone, so the documents are only read and filtered, never shuffled; what is broadcast and
-    collected is bounded by ``per_class``. Of several labels of an id the largest counts; null ids, labels and texts are
-    passed over. Without a toxic label the lexicon is empty and every score is low.
+    collected is bounded by ``per_class`` and LONGEST. Of several labels of an id the largest counts, of several texts of an id
+    the least; null ids, labels and texts are passed over. Without a toxic label the lexicon is empty and every score is low.
     """
     slim = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in slim.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -267,23 +405,27 @@ def learn_from(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> S
     for k, n in counts.items():
         limit = F.when(F.col("toxic") == k, min(1.0, per_class / n)).otherwise(limit)
     drawn = slim.where(unit_hash(F.lit(6), "doc_id") < limit)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").collect()
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").where(F.char_length("text") <= LONGEST)
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts)
 
 
 @lru_cache(maxsize=2)
-def _scorer(terms: tuple[str, ...], common: frozenset[str], weights: tuple[float, ...]) -> Scorer:
-    return Scorer(list(terms), common, weights)
+def _scorer(terms: tuple[str, ...], common: frozenset[str], weights: tuple[float, ...], cues: tuple[tuple[str, float], ...]) -> Scorer:
+    return Scorer(list(terms), common, weights, dict(cues))
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, out: str = "score", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a double column ``out`` (a new name): the chance of label 1. Only the text is an input.
+    """All columns of ``docs`` and a double column ``out``: the chance of label 1. Only the text is an input.
+
+    A column that is named ``out`` already is replaced.
 
     Whole texts are read. Null and empty texts get the score of a text without hits. The lexicon sent to the executors is
     bounded by the sample it was learned from.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((scorer.terms, scorer.common, tuple(map(float, scorer.weights))))
+    sent = docs.sparkSession.sparkContext.broadcast((scorer.terms, scorer.common, tuple(map(float, scorer.weights)), tuple(sorted(scorer.cues.items()))))
+    docs = docs.drop(out)
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
