@@ -2,8 +2,11 @@
 
 Codebooks of full-dimensional vectors are trained on a bounded sample, each on what the ones before leave over. A beam search
 encodes every vector as one entry of each codebook and stores the codes with the norm of their sum. A query makes one table of
-dot products for each codebook; a vector's approximate distance is its norm minus twice the sum of its table entries. The best
-of each partition are ranked again by exact distances on the original vectors, and the partitions' results are merged.
+dot products for each codebook; a vector's approximate distance is its norm minus twice the sum of its table entries.
+
+The index is dealt into slices, and the queries are rows too: each goes to every slice, where the rows of the index come first
+and the queries stream by. So a task holds one slice, whatever the number of queries. In a slice the best by approximate
+distance are ranked again by exact distances on the original vectors, and the slices' results are merged.
 """
 
 from __future__ import annotations
@@ -16,13 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import checkpointed, per_batch, table, unit_hash
+from tessera.llm.common import checkpointed, partitions, per_batch, table, unit_hash
 
-BOOKS, ENTRIES, BEAM = 16, 256, 4
+BOOKS, ENTRIES, BEAM = 24, 256, 4
 #: Vectors that the codebooks are trained on, the bound of what the driver holds.
 SAMPLE = 8192
-#: Of each slice of SLICE index rows of a partition, the vectors that are ranked exactly for each query, and queries that are sent out at once.
-SHORTLIST, SLICE, QUERY_BLOCK = 400, 16384, 2048
+#: Rows of a slice of the index at most (in the mean), and rows of such a slice that are ranked exactly for a query; of a smaller
+#: slice a share of them, but LEAST times k at least. So recall does not fall as the table grows.
+SLICE, SHORTLIST, LEAST = 1 << 17, 400, 8
+#: Queries that are scored at once.
+BLOCK = 256
 
 
 def train(vectors: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int = 12, seed: int = 8) -> np.ndarray:
@@ -53,9 +59,9 @@ def encode(vectors: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> tupl
     """Codes (rows, books) as uint8 and the squared norm of each reconstruction, by a beam search over the books in order."""
     rows, (books, entries, _) = len(vectors), codebooks.shape
     codes = np.zeros((rows, 1, books), np.uint8)
-    rest = vectors.astype(np.float64)[:, None, :]
+    rest = vectors.astype(np.float32)[:, None, :]
     for b in range(books):
-        book = codebooks[b]
+        book = codebooks[b].astype(np.float32)
         cost = (rest**2).sum(axis=2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(axis=1)
         flat = cost.reshape(rows, -1)
         width = min(beam if b < books - 1 else 1, flat.shape[1])
@@ -64,7 +70,7 @@ def encode(vectors: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> tupl
         codes = np.take_along_axis(codes, kept[:, :, None], axis=1)
         codes[:, :, b] = entry
         rest = np.take_along_axis(rest, kept[:, :, None], axis=1) - book[entry]
-    norms = ((vectors - rest[:, 0, :]) ** 2).sum(axis=1)
+    norms = ((vectors.astype(np.float64) - rest[:, 0, :]) ** 2).sum(axis=1)
     return codes[:, 0, :], norms
 
 
@@ -112,67 +118,97 @@ def _best(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], distances[places]))][:k]
 
 
-def _searcher(sent, k: int, shortlist: int):
-    """An Arrow map over index rows: for each query the k nearest of the partition, exactly among its shortlist.
-
-    Works batch by batch, and holds the k best so far of each query only.
-    """
+class _Slice:
+    """The rows of one slice of the index, ready to be searched."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        ids = rows.column("__i").to_numpy()
+        if len(np.unique(ids)) < len(ids):  # repeated rows
+            rows = rows.take(pa.array(list({(i, v): n for n, (i, v) in enumerate(zip(ids.tolist(), map(bytes, self._vectors(rows))))}.values())))
+        self.ids = rows.column("__i").to_numpy()
+        self.vectors = self._vectors(rows)
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.codes = np.ascontiguousarray(codes.T)
+        self.norms = rows.column("norm").to_numpy().astype(np.float32)
+
+    @staticmethod
+    def _vectors(rows: pa.Table) -> np.ndarray:
+        return rows.column("__v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+
+    def nearest(self, query_id: int, query: np.ndarray, tables: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the k rows found nearest, each id once and the query's own left out, and their distances, in order."""
+        near = self.norms.copy()
+        for codes, dots in zip(self.codes, tables):
+            near -= dots[codes]
+        near[self.ids == query_id] = np.inf
+        some = _best(near, self.ids, max(LEAST * k, -(-SHORTLIST * len(near) // SLICE)))
+        some = some[np.isfinite(near[some])]
+        exact = np.sqrt(((self.vectors[some].astype(np.float64) - query) ** 2).sum(axis=1))
+        order = np.lexsort((self.ids[some], exact))
+        ids = self.ids[some][order]
+        first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+        return ids[first], exact[order][first]
+
+
+def _searcher(sent, k: int):
+    """An Arrow map over rows (slice, asked, __i, __v, codes, norm) sorted by slice, the index before the queries."""
+
+    def answers(part: _Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
+        asked = batch.column(2).to_numpy(zero_copy_only=False)
+        queries = _matrix(batch.column(3), np.float64)
+        tables = (2 * np.einsum("qd,bed->qbe", queries, sent.value)).astype(np.float32)
+        found = [part.nearest(*x, k) for x in zip(asked, queries, tables)]
+        sizes = [len(ids) for ids, _ in found]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(asked, sizes)), pa.array(np.concatenate([ids for ids, _ in found])), pa.array(np.concatenate([d for _, d in found]))],
+            names=["query_id", "vec_id", "score"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries, books = sent.value
-        tables = np.einsum("qd,bed->qbe", queries, books)
-        offsets = np.arange(books.shape[0]) * books.shape[1]
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(query_ids)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                vectors = _matrix(batch.column(1), np.float64)
-                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1) + offsets
-                norms = batch.column(3).to_numpy(zero_copy_only=False)
-                for q, query in enumerate(queries):
-                    near = norms - 2 * tables[q].reshape(-1)[codes].sum(axis=1)
-                    near[ids == query_ids[q]] = np.inf
-                    some = _best(near, ids, shortlist)
-                    some = some[np.isfinite(near[some])]
-                    exact = np.concatenate((held[q][0], np.sqrt(((vectors[some] - query) ** 2).sum(axis=1))))
-                    names = np.concatenate((held[q][1], ids[some]))
-                    kept = _best(exact, names, k)
-                    held[q] = exact[kept], names[kept]
-        sizes = [len(h[0]) for h in held]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([h[1] for h in held])), pa.array(np.concatenate([h[0] for h in held]))],
-                names=["query_id", "vec_id", "score"],
-            )
+        number, held, part = None, [], None
+        for batch in batches:
+            slices = batch.column(0).to_numpy(zero_copy_only=False)
+            asked = batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((slices[1:] != slices[:-1]) | (asked[1:] != asked[:-1])) + 1
+            cuts = [0, *edges.tolist(), len(slices)] if len(slices) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if slices[a] != number:
+                    number, held, part = slices[a], [], None
+                rows = batch.slice(a, b - a)
+                if not asked[a]:
+                    held.append(rows)
+                    continue
+                if part is None and held:
+                    part, held = _Slice(held), []
+                if part is not None:
+                    for at in range(0, rows.num_rows, BLOCK):
+                        yield answers(part, rows.slice(at, BLOCK))
 
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shortlist: int = SHORTLIST, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", slice_rows: int = SLICE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance in double precision) of the k nearest found.
 
-    ``is_query`` is a Column over the id that states the query set; every usable row but the query's own is a candidate. Rows
-    whose vector is null, empty, zero, or has a null or non-finite component, or another length than most, take no part. With
-    fewer than k candidates all are returned; ties go to the smaller id; an empty table gives an empty result. Queries are
-    sent out in blocks of ``query_block`` rows, so what is broadcast doesn't grow with the table. Each block is one pass over
-    the index; ``shortlist`` rows of each SLICE index rows (and of each partition) are ranked exactly.
+    ``is_query`` makes a Column of the id that states the query set; every usable row but those of the query's own id is a
+    candidate. Rows whose id is null, or whose vector is null, empty, zero, or has a null or non-finite component, or another
+    length than most, take no part. Each id is asked once and found once: of several vectors of an id the least one asks, and
+    the nearest one is found. With fewer than k candidates all are returned; ties go to the smaller id; an empty table gives
+    an empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = usable(vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col), id_col, vector_col)
     coded, books = index(rows)
     coded = checkpointed(coded)
-    asked = coded.where(is_query(F.col("__i")))
-    total = asked.count()
-    blocks = max(1, -(-total // query_block))
-    found = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("__i"), F.lit(blocks)) == b).select("__i", "__v").orderBy("__i").collect()
-        ids = np.array([r["__i"] for r in block], np.int64)
-        data = np.array([r["__v"] for r in block], np.float64).reshape(len(block), -1 if block else books.shape[2])
-        sent = spark.sparkContext.broadcast((ids, data, books))
-        part = coded.select("__i", "__v", "codes", "norm").mapInArrow(_searcher(sent, k, shortlist), "query_id bigint, vec_id bigint, score double")
-        found = part if found is None else found.union(part)
+    slices = max(-(-coded.count() // slice_rows), min(partitions(spark), 64))
+    sent = spark.sparkContext.broadcast(books)
+    kept = coded.select(F.pmod(F.xxhash64("__i", "__v"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asked"), "__i", "__v", "codes", "norm")
+    asked = coded.where(is_query(F.col("__i"))).groupBy("__i").agg(F.min("__v").alias("__v"))
+    none = [F.lit(None).cast(coded.schema[c].dataType).alias(c) for c in ("codes", "norm")]
+    dealt = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asked"), "__i", "__v", *none)
+    both = kept.unionByName(dealt).repartition(max(partitions(spark), slices), "slice").sortWithinPartitions("slice", "asked")
+    found = both.mapInArrow(_searcher(sent, k), "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
