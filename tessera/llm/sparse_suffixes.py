@@ -2,18 +2,23 @@
 
 Of all suffixes of the texts, by words, only those are retained that start at a minimiser: the word five-gram with the least
 hash among the five-grams that begin in a stretch of ``STRETCH`` words. The stretch at the start of a passage of ``LEAST`` words
-or more picks the same place in every copy, and leaves ``LEAST - STRETCH + 1`` words of the passage to its right. Suffixes are
-sorted by the hash of that many words over sampled ranges, and neighbours are compared. Where a suffix has a neighbour from
-another document, matches are extended left and right: every passage of LEAST words whose stretch picks that place is keyed
-by two hashes of its words, sorted and compared with its neighbours in the same way. Adjoining passages form the spans.
+or more picks the same place in every copy, and leaves ``CORE`` = ``LEAST - STRETCH + 1`` words of the passage to its right.
 
-A run of equal keys may be cut by a border between two ranges or Arrow batches. Runs at the ends of a batch are therefore
-settled by their keys, summed up before a shuffle: two keys a batch at most. So a long run is spread over many tasks.
+A retained suffix can only take part in a match if its first CORE words begin a suffix of another document too. A first pass
+over hashes of these words finds the suffixes for which that holds; only they go on, as text. They are sorted by their words
+over sampled ranges, so that suffixes with a common beginning are neighbours, and neighbours are compared word for word. From
+the CORE words that a run of neighbours shares, matches are extended to the left and to the right over the passages whose
+stretch picks this place; adjoining passages form the spans.
+
+A run may be cut by a border between two ranges, and a common passage makes a run of any length. The first and last run of a
+range, and runs of more than ``RUN`` rows, are therefore settled by digests of their passages, combined before a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,11 @@ from pyspark.sql.window import Window
 from tessera.llm.common import partitions, stored, table
 
 LEAST, GRAM, STRETCH = 50, 5, 20
+CORE = LEAST - STRETCH + 1
+#: Rows of a run that one task holds as text.
+RUN = 16_384
 #: Characters of text that are hashed at once.
 SLICE_CHARS = 1 << 21
-_LOW = np.uint64((1 << 24) - 1)
 
 
 def _odd(seed: int) -> int:
@@ -76,17 +83,15 @@ class Words:
         values = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)[data]
         up, down = _table(2, len(data) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(data)], dtype=np.uint64)))
+        self.data, self.starts, self.ends = data, starts, ends
         self.hashes = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        self.sums = [self._sums(seed) for seed in (3, 4)]
-
-    def _sums(self, seed: int) -> np.ndarray:
-        up, _ = _table(seed, self.count + 1)
-        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes * up[: self.count], dtype=np.uint64)))
+        up, _ = _table(3, self.count + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes * up[: self.count], dtype=np.uint64)))
 
-    def run(self, at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    def run(self, at: np.ndarray, length: int) -> np.ndarray:
         """The hash of ``length`` words from each place; places must leave room for them."""
-        _, down = _table(3 + which, self.count + 1)
-        return _mixed((self.sums[which][at + length] - self.sums[which][at]) * down[at])
+        _, down = _table(3, self.count + 1)
+        return _mixed((self.sums[at + length] - self.sums[at]) * down[at])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Each place where LEAST words of one text begin, and the place that its stretch picks."""
@@ -96,14 +101,14 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.repeat(self.bounds[:-1] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
         grams = self.run(np.arange(self.count - GRAM + 1), GRAM)
-        keys = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
-        least, width = keys, 1
-        while 2 * width <= STRETCH:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        shift = STRETCH - width
-        least = np.minimum(least[: len(least) - shift], least[shift:]) if shift else least
-        return at, (least[at] & _LOW).astype(np.int64)
+        least, place, width = grams, np.arange(len(grams)), 1
+        while width < STRETCH:
+            shift = min(width, STRETCH - width)
+            later = least[shift:] < least[: len(least) - shift]  # the first of equals
+            place = np.where(later, place[shift:], place[: len(place) - shift])
+            least = np.where(later, least[shift:], least[: len(least) - shift])
+            width += shift
+        return at, place[at]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -125,13 +130,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picked = np.unique(picked)
         owner = np.searchsorted(words.bounds, picked, side="right") - 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(words.run(picked, LEAST - STRETCH + 1).view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array((picked - words.bounds[owner]).astype(np.int32))],
+            [pa.array(words.run(picked, CORE).view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array((picked - words.bounds[owner]).astype(np.int32))],
             names=["key", "doc_id", "place"],
         )
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, places) to the passages of LEAST words around those places: key, key2, doc_id, place."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, places) to the suffixes at those places: suffix, core (its first bytes that are CORE words), before, doc_id, place.
+
+    ``before`` and ``suffix`` hold, with one space between words, what the passages whose stretch picks the place reach.
+    """
     for batch, texts in _slices(batches, 1):
         words = Words(texts)
         at, picked = words.anchors()
@@ -140,17 +148,121 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = np.repeat(np.arange(len(texts)), np.diff(places.offsets.to_numpy()))
         flat = words.bounds[owners] + places.flatten().to_numpy(zero_copy_only=False)
         wanted[flat[flat < words.bounds[owners + 1]]] = True
-        at = at[wanted[picked]]
-        owner = np.searchsorted(words.bounds, at, side="right") - 1
+        at, picked = at[wanted[picked]], picked[wanted[picked]]
+        # The passages of one place begin at neighbouring words.
+        first = np.flatnonzero(np.concatenate(([True], picked[1:] != picked[:-1]))) if len(picked) else np.zeros(0, np.int64)
+        low, place = at[first], picked[first]
+        high = at[np.concatenate((first[1:] - 1, [len(at) - 1]))] + LEAST if len(first) else low
+        owner = np.searchsorted(words.bounds, place, side="right") - 1
+        # All words of the slice with one space between them.
+        data, starts, ends = words.data, words.starts, words.ends
+        size = ends - starts + 1
+        line = np.cumsum(np.concatenate(([0], size)))
+        flat_text = bytes(_spaced(data, starts, ends, line))
+        cut = lambda a, b: [flat_text[x:y] for x, y in zip(line[a].tolist(), (line[b] - 1).tolist())]
+        core = line[np.minimum(place + CORE, words.count)] - 1 - line[place]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(words.run(at, LEAST).view(np.int64)), pa.array(words.run(at, LEAST, 1).view(np.int64)),
-                batch.column(0).take(pa.array(owner)), pa.array((at - words.bounds[owner]).astype(np.int32)),
+                pa.array(cut(place, high), pa.binary()), pa.array(core.astype(np.int32)), pa.array([x[:-1] if x else x for x in _before(flat_text, line, low, place)], pa.binary()),
+                batch.column(0).take(pa.array(owner)), pa.array((place - words.bounds[owner]).astype(np.int32)),
             ],
-            names=["key", "key2", "doc_id", "place"],
+            names=["suffix", "core", "before", "doc_id", "place"],
         )
 
 
+def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.ndarray) -> np.ndarray:
+    out = np.full(int(line[-1]), 32, np.uint8)
+    shift = np.repeat(starts - line[:-1], ends - starts)
+    places = np.arange(len(shift)) + np.repeat(line[:-1] - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) if len(shift) else shift
+    out[places] = data[places + shift]
+    return out
+
+
+def _before(text: bytes, line: np.ndarray, low: np.ndarray, place: np.ndarray) -> list[bytes]:
+    return [text[a:b] for a, b in zip(line[low].tolist(), line[place].tolist())]
+
+
+def passages(before: bytes, suffix: bytes) -> list[bytes]:
+    """All passages of LEAST words within a suffix and what stands before it, in order of their starts."""
+    whole = before + b" " + suffix if before else suffix
+    ends = list(accumulate([len(w) + 1 for w in whole.split(b" ")], initial=0))
+    return [whole[a : b - 1] for a, b in zip(ends, ends[LEAST:])]
+
+
+class Run:
+    """Neighbouring suffixes that share their first CORE words: each context once, with its documents."""
+
+    def __init__(self, core: bytes) -> None:
+        self.core = core
+        self.contexts: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+        self.rows = 0
+
+    def add(self, before: bytes, suffix: bytes, doc: int, place: int) -> None:
+        self.contexts.setdefault((before, suffix), []).append((doc, place))
+        self.rows += 1
+
+    def matches(self) -> Iterator[tuple[int, int, int]]:
+        """(doc, first start, last start) of neighbouring passages that another document's suffix of the run has too."""
+        only: dict[bytes, int | None] = {}  # the one document of a passage, or None if there are more
+        for (before, suffix), rows in self.contexts.items():
+            doc = rows[0][0]
+            owner = doc if all(d == doc for d, _ in rows) else None
+            for p in passages(before, suffix):
+                if only.setdefault(p, owner) != owner:
+                    only[p] = None
+        for (before, suffix), rows in self.contexts.items():
+            left = before.count(b" ") + 1 if before else 0
+            open_ = None
+            found = [only[p] is None for p in passages(before, suffix)]
+            for i, hit in enumerate([*found, False]):
+                if hit and open_ is None:
+                    open_ = i
+                elif not hit and open_ is not None:
+                    yield from ((d, place - left + open_, place - left + i - 1) for d, place in rows)
+                    open_ = None
+
+    def digests(self) -> Iterator[tuple[int, int, int, bytes]]:
+        """As rows (doc, start, start, digest of the passage), to be compared elsewhere."""
+        for (before, suffix), rows in self.contexts.items():
+            left = before.count(b" ") + 1 if before else 0
+            for i, p in enumerate(passages(before, suffix)):
+                key = blake2b(p, digest_size=16).digest()
+                yield from ((d, place - left + i, place - left + i, key) for d, place in rows)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 50_000)):
+        doc, first, last, key = zip(*part)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(key, pa.binary())], names=["doc_id", "first", "last", "key"]
+        )
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in suffix order to matches: doc_id, first and last start, and a key only where the match is not settled here."""
+
+    def rows() -> Iterator[tuple]:
+        run, inner, closed = None, False, True  # whether the run began behind another one, and fits
+        for batch in batches:
+            for suffix, core, before, doc, place in zip(*(c.to_pylist() for c in batch.columns)):
+                start = suffix[:core]
+                if run is None or start != run.core:
+                    if run is not None:
+                        yield from settled(run, inner and closed)
+                    run, inner, closed = Run(start), run is not None, True
+                run.add(before, suffix, doc, place)
+                if run.rows >= RUN:  # too long: passed on in parts
+                    yield from run.digests()
+                    run, closed = Run(start), False
+        if run is not None:
+            yield from run.digests()
+
+    def settled(run: Run, whole: bool) -> Iterator[tuple]:
+        return ((*m, None) for m in run.matches()) if whole else run.digests()
+
+    return _batches(rows())
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by their keys, then doc_id (the last column but one), those in a run of equal keys with two ids: ``sure``.
 
@@ -198,12 +310,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     suffixes = texts.mapInArrow(_suffixes, "key bigint, doc_id bigint, place int")
     places = repeated(suffixes, ["key"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    passages = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_passages, "key bigint, key2 bigint, doc_id bigint, place int")
-    found = repeated(passages, ["key", "key2"])
-    line = Window.partitionBy("doc_id").orderBy("place")
-    opens = F.coalesce((F.col("place") > F.lag("place").over(line) + LEAST).cast("int"), F.lit(1))
-    spans = found.withColumn("opens", opens).withColumn("span", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    out = spans.groupBy("doc_id", "span").agg(F.min("place").alias("start_word"), (F.max("place") + LEAST).alias("end_word"))
+    kept = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "suffix binary, core int, before binary, doc_id bigint, place int")
+    order = ["suffix", "before", "doc_id"]
+    ordered = kept.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    found = stored(ordered.mapInArrow(_extended, "doc_id bigint, first int, last int, key binary"))
+    unsure = found.where("key IS NOT NULL")
+    keys = unsure.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
+    matches = found.where("key IS NULL").union(unsure.join(keys, "key", "left_semi").select(*found.columns)).select("doc_id", "first", "last")
+    line = Window.partitionBy("doc_id").orderBy("first", "last")
+    reach = F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1)) + LEAST
+    opens = F.coalesce((F.col("first") > reach).cast("int"), F.lit(1))
+    spans = matches.distinct().withColumn("opens", opens).withColumn("span", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    out = spans.groupBy("doc_id", "span").agg(F.min("first").alias("start_word"), (F.max("last") + LEAST).alias("end_word"))
     return out.select("doc_id", F.col("start_word").cast("long"), F.col("end_word").cast("long"), (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"))
 
 
