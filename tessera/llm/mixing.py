@@ -2,7 +2,7 @@
 
 The words of a source, in a seeded order, form shards; the words of a shard, in that order, form blocks of equal size. Seats,
 one for each block to take, go to the sources with the highest quotients target / (2 k + 1), and a source's seats in the same
-way to its shards, which gives integer quotas. In a shard with n blocks and a quota q every block is taken q // n times, and
+way down a tree to its shards, which gives integer quotas. In a shard with n blocks and a quota q every block is taken q // n times, and
 q % n blocks chosen at a seeded phase once more. How many words a document has in the chosen blocks follows from its place
 among the shard's words in closed form, so blocks are never made as rows, whatever their number.
 """
@@ -16,7 +16,6 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import WORD, checkpointed, table, unit_hash
@@ -24,6 +23,8 @@ from tessera.llm.common import WORD, checkpointed, table, unit_hash
 BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 20
 REPEATS = 3
+#: Children of a node of the tree down which a source's seats are handed to its shards.
+FAN = 1024
 
 
 def cycle_weights(sources: Sequence[str | None], weights: Sequence[int] = (5, 2, 1)) -> list[int]:
@@ -92,12 +93,31 @@ def apportion(votes: Sequence[Fraction | int], seats: int, most: Sequence[int])
     return given
 
 
-def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("__shard")
-    blocks = -(-pdf["__words"] // BLOCK_WORDS)
-    pdf["__quota"] = apportion(pdf["__words"].tolist(), int(pdf["__seats"].iloc[0]), (REPEATS * blocks).tolist())
-    pdf["__blocks"] = blocks.clip(lower=1)
-    return pdf[["__source_no", "__shard", "__blocks", "__quota"]]
+def _child_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("__node")
+    pdf["__quota"] = apportion(pdf["__words"].tolist(), int(pdf["__seats"].iloc[0]), (REPEATS * pdf["__of"]).tolist())
+    return pdf[["__source_no", "__node", "__quota"]]
+
+
+def shard_quotas(totals: DataFrame, seats: DataFrame, shards: int, fan: int = FAN) -> DataFrame:
+    """``__source_no``, ``__shard``, ``__blocks`` and ``__quota`` (blocks to take) of each shard.
+
+    ``totals`` has the words of each shard, ``seats`` the blocks to take of each source. The seats are handed down a tree with
+    ``fan`` children to a node, by quotients at each node, so that no task holds more than ``fan`` shards.
+    """
+    blocks = F.ceil(F.col("__words") / BLOCK_WORDS)
+    leaves = totals.select("__source_no", "__shard", "__words", blocks.cast("long").alias("__of"))
+    given = seats.select("__source_no", F.lit(0).cast("long").alias("__parent"), "__seats")
+    depth = 1
+    while fan**depth < shards:
+        depth += 1
+    for level in range(depth - 1, -1, -1):
+        nodes = leaves.groupBy("__source_no", F.expr(f"__shard div {fan**level}").alias("__node")).agg(F.sum("__words").alias("__words"), F.sum("__of").alias("__of"))
+        nodes = nodes.withColumn("__parent", F.expr(f"__node div {fan}") if level < depth - 1 else F.lit(0).cast("long"))
+        found = nodes.join(given, ["__source_no", "__parent"]).groupBy("__source_no", "__parent").applyInPandas(_child_quotas, "__source_no int, __node long, __quota long")
+        given = found.select("__source_no", F.col("__node").alias("__parent"), F.col("__quota").alias("__seats"))
+    quotas = given.select("__source_no", F.col("__parent").alias("__shard"), F.col("__seats").alias("__quota"))
+    return leaves.select("__source_no", "__shard", F.greatest("__of", F.lit(1).cast("long")).alias("__blocks")).join(quotas, ["__source_no", "__shard"])
 
 
 def _mixed(docs: DataFrame, seed: int, weigh: Callable[[Sequence[str | None]], Sequence[int]], id_col: str, text_col: str, source_col: str, whole: bool) -> DataFrame:
@@ -125,11 +145,8 @@ def _mixed(docs: DataFrame, seed: int, weigh: Callable[[Sequence[str | None]], S
     placed = slim.join(plan.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).withColumn(
         "__shard", F.pmod(F.col("__order"), F.col("__shards"))
     )
-    totals = placed.groupBy("__source_no", "__shard", "__seats").agg(F.sum("__size").alias("__words"))
-    quotas = totals.groupBy("__source_no").applyInPandas(
-        _shard_quotas,
-        StructType([StructField("__source_no", LongType()), StructField("__shard", LongType()), StructField("__blocks", LongType()), StructField("__quota", LongType())]),
-    ).withColumn("__source_no", F.col("__source_no").cast("int"))
+    totals = checkpointed(placed.groupBy("__source_no", "__shard").agg(F.sum("__size").alias("__words")))
+    quotas = shard_quotas(totals, plan.select("__source_no", "__seats"), max(shards, default=1))
     line = Window.partitionBy("__source_no", "__shard").orderBy("__order", F.col("__id").asc_nulls_first(), "__size")
     spread = placed.withColumn("__end", F.sum("__size").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(quotas, ["__source_no", "__shard"])
     phase = F.pmod(F.xxhash64(F.lit(seed), F.col("__source_no"), F.col("__shard")), F.col("__blocks"))
@@ -164,11 +181,12 @@ def mixed_documents(docs: DataFrame, seed: int = 0, weigh: Callable[[Sequence[st
     """The mix as whole documents, with the columns of ``docs``: a row stands for as many copies as the mix takes of it.
 
     What is left over a whole number of copies is rounded at a seeded place for each document, so that each source's words
-    come near its target. A row is returned 0 to ``REPEATS`` times.
+    come near its target. A row is returned 0 to ``REPEATS`` times. A row without words (null and blank texts too) is no part
+    of the mix and stays once.
     """
     found = _mixed(docs, seed, weigh, id_col, text_col, source_col, True)
     draw = unit_hash(F.lit(seed + 1), "__order")
-    copies = F.when(F.col("__size") == 0, 0).otherwise(F.floor(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)) + draw)).cast("int")
+    copies = F.when(F.col("__size") == 0, 1).otherwise(F.floor(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)) + draw)).cast("int")
     rows = found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.least(copies, F.lit(REPEATS)))))
     return rows.select(*(F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
