@@ -34,11 +34,18 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(rest, r"[?&/]+$", ""))
 
 
+def lower_names(headers: Column) -> Column:
+    """The map with its names in lower case; of names that then are equal the last one counts."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
+
+
 def resolve(captures: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """One row for each revisit: record_id, url (canonical), response_id, status and headers.
 
     ``captures`` has record_id, uri, at (long, seconds), type (``response`` or ``revisit``), etag, last_modified and headers
-    (map of strings, names in lower case). The response is the latest one strictly before the revisit's time; of several at
+    (map of strings; names are compared and returned in lower case). The response is the latest one strictly before the revisit's time; of several at
     that time the one with the largest record_id, null ids first. status: ``no_response``; ``changed`` when a validator
     present on both sides differs (weak etags compare without their mark); ``no_validator`` when none is on both sides;
     ``resolved``. Only a resolved row has merged headers. Rows with a null uri, time or type are passed over, except that a
@@ -46,7 +53,7 @@ def resolve(captures: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """
     rows = captures.select(
         F.col("record_id").alias("id"), canonical_url(F.col("uri")).alias("url"), F.col("at").cast("long").alias("at"), F.col("type").alias("kind"),
-        F.regexp_replace("etag", "^W/", "").alias("etag"), "last_modified", "headers",
+        F.regexp_replace("etag", "^W/", "").alias("etag"), "last_modified", lower_names(F.col("headers")).alias("headers"),
     )
     usable = F.col("url").isNotNull() & F.col("at").isNotNull()
     lost = rows.where((F.col("kind") == "revisit") & ~usable)
