@@ -10,7 +10,9 @@ import tiktoken
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+
 from tessera.llm import additive_ann, bpe, catalog, edit_counts, exact_dedup, language_id, mixing, simhash, sparse_suffixes, toxicity, warc_revisits
+from tessera.llm.common import fresh, join_unique
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, size string, kept string, score string"
 
@@ -138,15 +140,46 @@ def test_mixing(spark, awkward):
         taken = sum(r.taken for r in rows if (r.source_size, r.target) == (source_size, target))
         assert abs(taken - target) <= 2 * mixing.BLOCK_WORDS
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(awkward.repartition(7)).collect()))
-    assert mixing.mixed_documents(awkward).columns == awkward.columns
+    copies = mixing.mixed_documents(awkward)
+    assert copies.columns == awkward.columns
+    assert {22, 23, 24} <= {r.doc_id for r in copies.collect()}
+
+
+def test_words_taken_are_those_of_blocks_made_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    monkeypatch.setattr(mixing, "FAN", 3)
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * (i % 3 + 1) for _ in range(rng.randrange(90))), "en", rng.choice(["a", "b", None])) for i in range(200)]
+    found = mixing._mixed(docs(spark, rows), 0, mixing.cycle_weights, "doc_id", "text", "source", False).collect()
+    shards = {}
+    for r in found:
+        shards.setdefault((r["__source_no"], r["__shard"]), []).append(r)
+    assert len(shards) > 12
+    for part in shards.values():
+        part.sort(key=lambda r: (r["__order"], r["__id"]))
+        n, quota, phase = part[0]["__blocks"], part[0]["__quota"], part[0]["__phase"]
+        assert n == max(1, -(-sum(r["__size"] for r in part) // mixing.BLOCK_WORDS))
+        times = [quota // n + ((k + 1) * (quota % n) + phase) // n - (k * (quota % n) + phase) // n for k in range(n)]
+        assert sum(times) == quota and max(times) - min(times) <= 1
+        word = 0
+        for r in part:
+            assert r["__taken"] == sum(times[w // mixing.BLOCK_WORDS] for w in range(word, word + r["__size"]))
+            word += r["__size"]
+    for source in {r["__source_no"] for r in found}:
+        quotas = {r["__shard"]: r["__quota"] for r in found if r["__source_no"] == source}
+        assert sum(quotas.values()) == next(r["__seats"] for r in found if r["__source_no"] == source)
+
+
+def test_hot_keys_are_salted_and_whole(spark):
+    left = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"))
+    right = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    found = join_unique(left, right, "k")
+    assert sorted((r.id, r.k, r.v) for r in found.collect()) == sorted((i, k, 3 * k) for i, k in left.collect())
+    assert fresh(right, "V") == "V_"
 
 
 def test_token_digests(spark, awkward):
-    import base64
-
-    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    plain = _plain()
     texts = {r.doc_id: r.text or "" for r in awkward.collect()}
     for r in bpe.token_digests(awkward).collect():
         ids = plain.encode_ordinary(texts[r.doc_id])
@@ -158,17 +191,33 @@ def test_token_digests(spark, awkward):
 
 
 def test_edit_counts(spark, awkward):
-    with_edits = awkward.withColumn("edits", edit_counts.edit_script(F.col("text")))
-    tool = bpe.codec(*bpe._named("byte_bpe_multi_50k.tiktoken"))
+    with_edits = awkward.withColumn("edits", edit_counts.edit_script(F.col("text"))).withColumn("segments", F.lit("x"))
+    plain = _plain()
     want = {}
     for r in with_edits.collect():
         text = r.text or ""
         for e in r.edits:
             at = min(e.start, len(text))
             text = text[:at] + e.replacement + text[at + e.length :]
-        want[r.doc_id] = (len(tool.encoding.encode_ordinary(text)), hashlib.sha256(text.encode()).hexdigest())
-    for r in edit_counts.count_edits(with_edits).collect():
-        assert (r.n_tokens_after, r.edited_sha256) == want[r.doc_id]
+        want[r.doc_id] = (len(plain.encode_ordinary(text)), text)
+    trees = edit_counts.with_segments(with_edits)
+    edited = edit_counts.apply_edits(trees)
+    for r in edited.collect():
+        assert (r.n_tokens_after, r.text) == want[r.doc_id]
+        assert sum(s.chars for s in r.segments) == len(r.text) and sum(s.tokens for s in r.segments) == r.n_tokens_after
+        assert r.reencoded_chars <= 3 * 4 * edit_counts.SEGMENT or r.doc_id == 25
+    again = edit_counts.apply_edits(edited.withColumn("edits", F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("replacement")))))
+    assert {(r.doc_id, r.n_tokens_before, r.n_tokens_after) for r in again.collect()} == {(i, n, n) for i, (n, _) in want.items()}
+    none = edit_counts.apply_edits(awkward.withColumn("edits", F.lit(None).cast("array<struct<start:int,length:int,replacement:string>>")).withColumn("segments", F.lit(None).cast(edit_counts.SEGMENTS)))
+    assert all(r.n_tokens_before == r.n_tokens_after and r.reencoded_chars == 0 for r in none.collect())
+
+
+def _plain():
+    import base64
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_repeated_spans(spark, awkward):
@@ -224,11 +273,34 @@ def test_search(spark):
     assert {r.query_id for r in found} == {0, 100, 200, 400}
 
 
+def test_each_vector_is_asked_and_found_once(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    once, twice = (sorted(map(tuple, additive_ann.search(v, lambda i: i % 100 == 0).collect())) for v in (vectors, vectors.union(vectors)))
+    assert once == twice and len(once) == 20
+
+
+def test_search_in_slices_with_a_short_list(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(6000, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    found = additive_ann.search(vectors, lambda i: i % 100 == 0, slice_rows=2000).collect()  # 80 of 1500 or so are ranked exactly
+    wide, hits = data.astype(np.float64), 0
+    for q in range(0, 6000, 100):
+        far = np.sqrt(((wide - wide[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        got = {r.vec_id: r.score for r in found if r.query_id == q}
+        assert len(got) == 10 and all(abs(far[i] - s) < 1e-12 for i, s in got.items())
+        hits += len(got.keys() & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert hits >= 540
+
+
 def test_revisits(spark):
-    h = {"content-length": "9", "date": "a"}
+    h = {"Content-Length": "9", "date": "a"}
     rows = [
         ("r1", "http://www.Example.com/a/", 10, "response", '"1"', None, h), ("r2", "https://example.com/a", 20, "response", '"2"', None, h),
-        ("v1", "http://example.com/a#x", 15, "revisit", 'W/"1"', None, {"date": "b", "content-length": "0"}), ("v2", "http://example.com/a", 20, "revisit", '"1"', None, {}),
+        ("v1", "http://example.com/a#x", 15, "revisit", 'W/"1"', None, {"Date": "b", "content-length": "0", "DATE": "b"}), ("v2", "http://example.com/a", 20, "revisit", '"1"', None, {}),
         ("v3", "http://example.com/a", 99_999, "revisit", '"1"', None, {}), ("v4", "http://example.com/b", 50, "revisit", '"1"', None, None), ("v5", None, 5, "revisit", None, None, None),
         ("v6", "http://example.com/a", 30, "revisit", None, "x", {}), (None, "http://example.com/a", None, "response", None, None, None),
     ]
@@ -238,6 +310,9 @@ def test_revisits(spark):
         "v1": ("r1", "resolved"), "v2": ("r1", "resolved"), "v3": ("r2", "changed"), "v4": (None, "no_response"), "v5": (None, "no_response"), "v6": ("r2", "no_validator"),
     }
     assert found["v1"].headers == {"content-length": "9", "date": "b"}
+    assert warc_revisits.resolve(captures.limit(0)).count() == 0
+    twice = warc_revisits.resolve(captures.union(captures).withColumn("url", F.lit("x"))).collect()
+    assert len(twice) == 2 * len(found)
 
 
 def test_empty_tables(spark):
@@ -247,6 +322,7 @@ def test_empty_tables(spark):
     assert simhash.one_of_each(none).count() == 0
     assert mixing.mix(none).count() == 0
     assert bpe.token_digests(none).count() == 0
+    assert edit_counts.apply_edits(edit_counts.with_segments(none.withColumn("edits", edit_counts.edit_script(F.col("text"))))).count() == 0
     assert sparse_suffixes.repeated_spans(none).count() == 0
     assert language_id.identify(none, language_id.samples(none)).count() == 0
     assert toxicity.with_scores(none, toxicity.learn_from(none, spark.createDataFrame([], "doc_id long, toxic int")), "__s").count() == 0

@@ -1,17 +1,25 @@
 """The operators' cores, against plain versions, without Spark."""
 
 import random
+from collections import Counter
 from fractions import Fraction
+from os.path import commonprefix
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
+import regex
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import additive_ann, bpe, edit_counts, language_id, mixing, simhash, sparse_suffixes, toxicity
 
+BLOCK = language_id.BLOCK
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOOL = bpe.codec(VOCABULARY, public_tokenizers.PATTERN, 8)
+PLAIN = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=TOOL.ranks, special_tokens={})
 TEXT = st.text(st.sampled_from("ab'lres 12\n\t.,!é ẞ漢字\x1c\x85"), max_size=80)
 
 
@@ -19,28 +27,71 @@ TEXT = st.text(st.sampled_from("ab'lres 12\n\t.,!é ẞ漢字\x1c\x85"), max_siz
 @given(TEXT)
 def test_tree_encoding_is_the_plain_encoding(text):
     ids = TOOL.encode(text)
-    assert ids.tolist() == TOOL.encoding.encode_ordinary(text)
+    assert ids.tolist() == PLAIN.encode_ordinary(text)
     assert TOOL.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "0123456789", "漢字かな", " \t\n", "'sre l", "abcABC012+/", "the on "])
+def test_texts_without_sure_borders_are_joined(letters):
+    rng = random.Random(len(letters))
+    for _ in range(150):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(120)))
+        assert TOOL.encode(text).tolist() == PLAIN.encode_ordinary(text), text
+
+
+def test_long_runs_are_joined_by_their_tokens():
+    tool = bpe.codec(VOCABULARY, public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    for text in ("x" * 30_000, "".join(rng.choice("abcdefghij") for _ in range(30_000)), "漢字" * 10_000, "7" * 20_000, " " * 9_000 + "a"):
+        ids = tool.encode(text)
+        assert ids.tolist() == PLAIN.encode_ordinary(text)
+        assert tool.decode(ids) == text.encode()
+
+
 @settings(max_examples=300, deadline=None)
-@given(TEXT, st.lists(st.tuples(st.integers(-2, 90), st.integers(-1, 30), TEXT), max_size=5))
+@given(st.binary(max_size=60), st.integers(0, 60))
+def test_merges_of_halves_join_to_those_of_the_whole(data, at):
+    assert TOOL.join_tokens(TOOL._merge(data[:at]), TOOL._merge(data[at:])) == TOOL._merge(data) == TOOL._merge_queued(data)
+
+
+def test_letters_are_those_of_the_library():
+    """Every code point, by whether it stays with a letter, a digit, a mark or a line feed behind it."""
+    ranks = {bytes([i]): i for i in range(256)}
+    for b in range(128, 256):
+        for behind in b"a1!\n":
+            ranks[bytes([b, behind])] = len(ranks)
+    probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for c in map(chr, (*range(128, 0xD800, 3), *range(0xE000, 0x110000, 7), *range(0x20000, 0x34000, 5))):
+        split = TOOL.splitter(c)
+        for behind in "a1!\n":
+            assert (len(probe.encode_ordinary("x" + c + behind)) == 1 + len(c.encode())) == (len(split.findall(c + behind)) == 1), hex(ord(c))
+    assert regex.__version__
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXT, st.lists(st.tuples(st.integers(-2, 90), st.integers(-1, 30), TEXT, st.booleans()), max_size=5))
 def test_edited_counts_are_those_of_a_full_encoding(text, edits):
     tree = edit_counts.TokenTree(text, TOOL, segment=6)
-    for start, length, new in edits:
+    for start, length, new, kept in edits:
+        if kept:
+            tree = edit_counts.TokenTree(tree.text, TOOL, segment=6, kept=tree.segments)
+            assert not tree.reencoded
         at = min(max(start, 0), len(text))
         text = text[:at] + new + text[min(at + max(length, 0), len(text)) :]
         tree.replace(start, length, new)
         assert tree.text == text
-        assert tree.count == len(TOOL.encoding.encode_ordinary(text))
+        assert tree.count == len(PLAIN.encode_ordinary(text))
 
 
-def test_an_edit_encodes_little():
-    text = "some words of a long text " * 2000
+@pytest.mark.parametrize("letters", ["some words of a text. ", "漢字かな。，", "abcABC012+/"])
+def test_an_edit_encodes_little(letters):
+    rng = random.Random(1)
+    text = "".join(rng.choice(letters) for _ in range(50_000))
     tree = edit_counts.TokenTree(text, TOOL)
-    tree.reencoded = 0
-    tree.replace(25_000, 3, "new")
-    assert 0 < tree.reencoded < 1500
+    for new in ("", "new", "inserted words " * 400):
+        tree.reencoded = 0
+        tree.replace(rng.randrange(50_000), 3, new)
+        assert 0 < tree.reencoded < len(new) + 4 * edit_counts.SEGMENT
 
 
 def _apportioned(votes, seats, most):
@@ -112,23 +163,40 @@ def test_every_close_pair_shares_a_table():
             assert any(not flips & m for m in masks)
 
 
-def test_cross_parsing_counts_longest_phrases():
-    parser = language_id.CrossParser({"x": ["abracadabra"], "y": ["zzyzx"]})
+def _phrases(text, samples):
+    count = at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and any(text[at : at + n + 1] in s for s in samples):
+            n += 1
+        count, at = count + 1, at + n
+    return count
 
-    def plain(text, sample):
-        count = at = 0
-        while at < len(text):
-            n = 1
-            while at + n < len(text) and text[at : at + n + 1] in sample:
-                n += 1
-            count, at = count + 1, at + n
-        return count
 
-    for text in ("abra", "cadzzy", "dabracad", "qqq", "zzabzx", "brac brac"):
-        clean = text
-        assert parser.phrases([text])[0].tolist() == [plain(clean, "abracadabra"), plain(clean, "zzyzx")], text
-    assert parser.predict([None, "", "123", "abra"]) [:3] == [("und", 0.0)] * 3
-    assert parser.predict(["abracad"])[0][0] == "x"
+@pytest.mark.parametrize(("block", "cells"), [(3, 20), (7, 400), (16, 1), (BLOCK, language_id.CELLS)])
+def test_cross_parsing_counts_longest_phrases(monkeypatch, block, cells):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    rng = random.Random(1)
+    mixed = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = {"x": ["abracadabra", mixed("abc", 200)], "y": [mixed("abcdefg", 300)], "z": [mixed("漢字かな楽しい", 200)], "r": [mixed("привет", 200)]}
+    parser = language_id.CrossParser(samples)
+    texts = [mixed(rng.choice(["abc", "abcdefg", "漢字かな楽", "приветq", "abqz"]), rng.randrange(120)) for _ in range(150)]
+    texts += [samples["x"][1], samples["z"][0][:100] + samples["x"][1], "abra", "qqq", ""]
+    for text, found in zip(texts, parser.phrases(texts)):
+        assert found.tolist() == [_phrases(text, samples[k]) for k in parser.langs], text
+
+
+def test_languages_of_six_scripts():
+    samples = {
+        "en": ["it was a pleasure to see the house and the people in it"], "zh": ["今天天气很好我们去公园散步吧"], "ja": ["今日は天気がいいですとても楽しかったです"],
+        "ko": ["오늘은 날씨가 좋아서 공원에 갔습니다"], "ru": ["сегодня хорошая погода и мы идем в парк"], "el": ["σήμερα ο καιρός είναι καλός και πάμε στο πάρκο"],
+    }
+    parser = language_id.CrossParser(samples)
+    asked = {"en": "the people of the house", "zh": "我们去公园", "ja": "楽しかったです", "ko": "공원에 갔습니다", "ru": "мы идем", "el": "είναι καλός"}
+    assert [lang for lang, _ in parser.predict(list(asked.values()))] == list(asked)
+    assert parser.predict([None, "", "123 !!"]) == [("und", 0.0)] * 3
+    assert language_id.CrossParser({}).predict(["a"]) == [("und", 0.0)]
 
 
 @settings(max_examples=300, deadline=None)
@@ -167,6 +235,41 @@ def test_scores_of_misspelled_terms():
     assert 0 <= scorer.score(None) == scorer.score("") < 0.5
 
 
+def test_terms_of_any_length():
+    rng = random.Random(9)
+    some = [f"w{i}x" for i in range(300)]
+    plain = [" ".join(rng.choices(some, k=60)) for _ in range(200)]
+    for term in ("zut", "unverschaemtheit", "zz", "混蛋"):
+        bad = [f"{t} {term}{'' if term.isascii() else '们'} {t[:20]}" for t in plain[:60]]
+        scorer = toxicity.fit(plain[60:] + bad, [0] * 140 + [1] * 60, {0: 140, 1: 60})
+        assert [t.rstrip("*") for t in scorer.terms[:1]] in ([term], ["蛋们"]), (term, scorer.terms)
+        assert all(scorer.score(t) > 0.5 for t in bad) and not any(scorer.score(t) > 0.5 for t in plain[60:])
+
+
+def test_branches_are_the_beginnings_that_words_share():
+    rng = random.Random(2)
+    for _ in range(40):
+        documents = [Counter("".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(30))) for _ in range(12)]
+        known = toxicity.Vocabulary(documents)
+        groups = {tuple(x for x in known.words if x.startswith(w[:k])) for w in known.words for k in range(4, len(w) + 1)}
+        branches = range(len(known.words), len(known.text))
+        assert {tuple(known.words[known.low[e] : known.high[e]]): known.text[e] for e in branches} == {g: commonprefix(g) for g in groups if len(g) > 1}
+        for e in branches:
+            for d, words in enumerate(documents):
+                hits = sum(n for w, n in words.items() if w.startswith(known.text[e]))
+                at = np.flatnonzero((known.at == d) & (known.entry == e))
+                assert [toxicity.density(hits, words.total())] * (hits > 0) == known.mass[at].tolist()
+
+
+def test_windows_tell_reports_from_abuse():
+    rng = random.Random(4)
+    fill = lambda: " ".join(rng.choices([f"w{i}x" for i in range(200)], k=30))
+    bad = [f"{fill()} you are such a clown really {fill()}" for _ in range(80)]
+    told = [f"{fill()} the witness said clown reportedly {fill()}" for _ in range(20)]
+    cues = toxicity.learn_cues(toxicity.Scorer(["clown"]), bad + told, np.array([1] * 80 + [0] * 20))
+    assert cues["such"] > 0 > cues["witness"]
+
+
 def test_stems_that_plain_texts_hold_now_and_then_are_told_by_density():
     rng = random.Random(5)
     some = [f"w{i}x" for i in range(400)]
@@ -198,6 +301,52 @@ def test_beam_codes_rebuild_their_norms():
     assert ((data - rebuilt) ** 2).sum() < ((data) ** 2).sum() * 0.5
 
 
+def _repeats(texts):
+    seen = {}
+    for doc, text in texts:
+        words = text.split()
+        for at in range(len(words) - 49):
+            seen.setdefault(tuple(words[at : at + 50]), set()).add(doc)
+    return {(doc, at) for doc, text in texts for at in range(len(text.split()) - 49) if len(seen[tuple(text.split()[at : at + 50])]) > 1}
+
+
+@pytest.mark.parametrize("longest", [2, 5, 16_384])
+def test_matches_are_extended_as_all_passages_say(monkeypatch, longest):
+    monkeypatch.setattr(sparse_suffixes, "RUN", longest)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    shared = rng.choices(words, k=90)
+    texts = []
+    for doc in range(30):
+        a = rng.randrange(30)
+        texts.append((doc, " ".join([*rng.choices(words, k=rng.randrange(30)), *shared[a : a + rng.randrange(45, 60)], *rng.choices(words, k=20)])))
+    texts += [(40, " ".join(shared)), (40, " ".join(shared)), (41, "x " * 120), (41, "x " * 60), (42, "x " * 55)]
+    every = [(pa.array([d for d, _ in texts], pa.int64()), pa.array([t for _, t in texts]))]
+    picked = []
+    for doc, text in texts:
+        own = sparse_suffixes.Words([text.encode()])
+        picked.append(np.unique(own.anchors()[1]).astype(np.int32))
+    places = pa.array([p.tolist() for p in picked], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([*every[0], places], names=["doc_id", "text", "places"])
+    rows = pa.Table.from_batches(sparse_suffixes._contexts(iter([batch]))).sort_by([("suffix", "ascending"), ("before", "ascending"), ("doc_id", "ascending")])
+    found = pa.Table.from_batches(sparse_suffixes._extended(iter(rows.to_batches(max_chunksize=7)))).to_pylist()
+    keys = {}
+    for r in found:
+        keys.setdefault(r["key"], set()).add(r["doc_id"])
+    sure = [r for r in found if r["key"] is None or len(keys[r["key"]]) > 1]
+    assert {(r["doc_id"], at) for r in sure for at in range(r["first"], r["last"] + 1)} == _repeats(texts)
+
+
+def test_picked_places_do_not_depend_on_the_slice():
+    rng = random.Random(3)
+    text = " ".join(rng.choices([f"w{i}" for i in range(50)], k=400)).encode()
+    alone = sparse_suffixes.Words([text]).anchors()[1]
+    behind = sparse_suffixes.Words([b"a b c", text])
+    assert (behind.anchors()[1] - 3).tolist() == alone.tolist()
+    grams = [sparse_suffixes.Words([text]).run(np.array([i]), 5)[0] for i in range(396)]
+    assert alone.tolist() == [min(range(i, i + 20), key=lambda j: (grams[j], j)) for i in range(351)]
+
+
 def test_word_hashes_depend_on_the_words_only():
     one = sparse_suffixes.Words([b"a bb ccc dd", b"x a  bb\tccc dd y"])
     two = sparse_suffixes.Words([b"dd a bb ccc dd"])
