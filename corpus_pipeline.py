@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import token_digests
-from tessera.llm.common import table
+from tessera.llm.common import dropped, fresh, stored, table
 from tessera.llm.exact_dedup import without_copies
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.simhash import one_of_each
@@ -24,7 +24,8 @@ REJECTED = 0.5
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose chance of being toxic is REJECTED or more; null and empty texts stay."""
     scorer = learn_from(docs, table(spark, sf_dir, "labels"))
-    return with_scores(docs, scorer, "__score").where(F.col("__score") < REJECTED).select(*docs.columns)
+    score = fresh(docs, "score")
+    return with_scores(docs, scorer, score).where(F.col(score) < REJECTED).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix of sources at weights 5, 2, 1 asks for; repeated documents are repeated rows."""
+    """Takes each document as often as the mix of sources at weights 5, 2, 1 asks for; repeated documents are repeated rows, and texts without words stay once."""
     return mixed_documents(docs)
 
 
@@ -59,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage returns is written once to the shared folder, and its input is dropped then."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = stored(stage(spark, docs, sf_dir))
+        dropped(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
