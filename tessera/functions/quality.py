@@ -26,6 +26,25 @@ FOREIGN_TERMS = {
     "cxr": ("computed tomography", "ct", "magnetic resonance", "mri"),
 }
 
+#: Terms of other parts of the body than the one a report is of.
+FOREIGN_BODY_TERMS = {
+    "brain": ("hip", "femoral", "femur", "pelvis", "liver", "kidney", "spleen", "lung", "chest", "胸部", "双肺", "肺部", "右肺", "左肺"),
+    "head": ("hip", "femoral", "femur", "pelvis", "liver", "kidney", "spleen", "lung", "chest", "胸部", "双肺", "肺部", "右肺", "左肺"),
+    "chest": ("hip", "femoral", "femur", "liver", "kidney", "spleen", "brain"),
+    "abdomen": ("hip", "femoral", "femur", "brain"),
+}
+#: What makes a sentence a recommendation, the examinations it may name, where sentences end, and phrases of advice.
+ADVICE_CUES = ("consider", "recommend", "follow", "further", "建议", "必要时", "进一步", "随诊", "评估")
+EXAMINATIONS, EXAMINATIONS_ZH = ("ct", "mri", "computed tomography", "magnetic resonance"), ("核磁", "磁共振")
+SENTENCE_ENDS = "。.!?；;"
+ADVICE = (
+    r"\bconsider\s+(?:a\s+|an\s+)?(?:ct|mri|computed tomography|magnetic resonance)\b",
+    r"\brecommend(?:ed|s|ing)?\s+(?:a\s+|an\s+)?(?:follow[- ]?up\s+)?(?:ct|mri|computed tomography|magnetic resonance)\b",
+    r"\bfurther\s+(?:ct|mri|computed tomography|magnetic resonance)\b",
+    r"\b(?:ct|mri)\s+if\b",
+    r"\be\.g\.,?\s*(?:ct|mri|computed tomography|magnetic resonance)\b",
+)
+
 
 def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -51,22 +70,47 @@ def without_commentary(text: Column) -> Column:
     return stripped(F.coalesce(F.when(text.rlike(marks), kept).otherwise(text), F.lit("")))
 
 
-def foreign_terms(text: Column, modality: Column) -> Column:
-    """The terms of other modalities that stand in the text as words, without recommendations of another examination."""
-    named = r"(?:ct|mri|computed tomography|magnetic resonance)"
-    body = F.lower(F.coalesce(text, F.lit("")))
-    for advice in (
-        rf"\bconsider\s+(?:a\s+|an\s+)?{named}\b", rf"\brecommend(?:ed|s|ing)?\s+(?:a\s+|an\s+)?(?:follow[- ]?up\s+)?{named}\b",
-        rf"\bfurther\s+{named}\b", r"\b(?:ct|mri)\s+if\b", rf"\be\.g\.,?\s*{named}\b",
-    ):
-        body = F.regexp_replace(body, advice, " followup imaging ")
+def _standing(terms: tuple[str, ...]) -> str:
+    """A pattern of the terms as words of their own."""
+    return rf"(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])"
+
+
+def without_advice(text: Column) -> Column:
+    """A text in lower case in which the examinations that it recommends are no longer named."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), rf"(?<=[{SENTENCE_ENDS}])")
+    advised = lambda x: x.rlike("|".join(ADVICE_CUES)) & x.rlike("|".join((*EXAMINATIONS, *EXAMINATIONS_ZH)))
+    masked = lambda x: F.regexp_replace(F.regexp_replace(x, _standing(EXAMINATIONS), " followup imaging "), "|".join(EXAMINATIONS_ZH), "followup imaging")
+    body = F.array_join(F.transform(parts, lambda x: F.when(advised(x), masked(x)).otherwise(x)), "")
+    for pattern in ADVICE:
+        body = F.regexp_replace(body, pattern, " followup imaging ")
+    return body
+
+
+def _terms_in(body: Column, key: Column, terms: dict[str, tuple[str, ...]]) -> Column:
     out = F.array().cast("array<string>")
-    for name, terms in FOREIGN_TERMS.items():
-        found = F.array_compact(F.array(*(F.when(body.rlike(rf"(?<![a-z0-9]){t}(?![a-z0-9])"), t) for t in terms)))
-        out = F.when(modality == name, found).otherwise(out)
+    for name, words in terms.items():
+        found = F.array_compact(F.array(*(F.when(body.rlike(_standing((w,))), w) for w in words)))
+        out = F.when(key == name, found).otherwise(out)
     return out
 
 
+def foreign_terms(text: Column, modality: Column) -> Column:
+    """The terms of other modalities that stand in the text as words, without recommendations of another examination."""
+    return _terms_in(without_advice(text), modality, FOREIGN_TERMS)
+
+
+def foreign_body_terms(text: Column, body_part: Column) -> Column:
+    """The terms of other parts of the body that stand in the text as words."""
+    return _terms_in(F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(body_part, F.lit(""))), FOREIGN_BODY_TERMS)
+
+
+def quality_gate(text: Column, modality: Column, body_part: Column) -> Column:
+    """A struct of passed, warnings and the conflicting terms. Only another modality blocks; another body part is a warning."""
+    parts, kinds = foreign_body_terms(text, body_part), foreign_terms(text, modality)
+    warnings = F.array_compact(F.array(F.when(F.size(parts) > 0, "body_part_mismatch"), F.when(F.size(kinds) > 0, "modality_mismatch")))
+    return F.struct((F.size(kinds) == 0).alias("passed"), warnings.alias("warnings"), parts.alias("body_terms"), kinds.alias("modality_terms"))
+
+
 def payload_block(text: Column, classification: Column, has_image: Column, allowed: list[str], images: bool = False) -> Column:
     """Why a payload may not go to an outside service: its class, an image, personal data; null if it may."""
     found = personal_data(F.coalesce(text, F.lit("")))

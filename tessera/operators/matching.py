@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.numbers import half_up
 
@@ -34,18 +35,31 @@ def pair_points() -> Column:
     return F.lit(SAME_OBSERVATION) + _points("location", "unspecified", LOCATION) + _points("laterality", "unknown", LATERALITY) + sure + _points("severity", "unspecified", SEVERITY) + size
 
 
-def pair_scores(findings: DataFrame) -> DataFrame:
-    """All pairs of one case with one observation: an equi join, as others have no score."""
-    named = findings.where(~F.lower("observation").isin(*GENERIC) & (F.col("observation") != ""))
+def _named() -> Column:
+    """Whether a finding can pair at all."""
+    return F.coalesce(~F.lower("observation").isin(*GENERIC) & (F.col("observation") != ""), F.lit(False))
+
+
+def _numbered(findings: DataFrame) -> DataFrame:
+    """With ``no``, the place of a finding among those of its case, observation and side; so equal findings stay apart."""
+    order = Window.partitionBy("case_id", "observation", "side").orderBy("finding_id")
+    return findings.withColumn("no", F.row_number().over(order))
+
+
+def _pairs(numbered: DataFrame) -> DataFrame:
+    named = numbered.where(_named())
     cand, ref = named.where("side = 'cand'").alias("cand"), named.where("side = 'ref'").alias("ref")
     on = (F.col("cand.case_id") == F.col("ref.case_id")) & (F.col("cand.observation") == F.col("ref.observation"))
-    return cand.join(ref, on).select(F.col("cand.case_id").alias("case_id"), F.col("cand.finding_id").alias("cand_id"), F.col("ref.finding_id").alias("ref_id"), pair_points().alias("points"))
+    joined = cand.join(ref, on)
+    return joined.select(
+        F.col("cand.case_id").alias("case_id"), F.col("cand.observation").alias("observation"), F.col("cand.no").alias("cand_no"), F.col("ref.no").alias("ref_no"),
+        F.col("cand.finding_id").alias("cand_id"), F.col("ref.finding_id").alias("ref_id"), pair_points().alias("points"),
+    )
 
 
-def only_in(findings: DataFrame, side: str) -> DataFrame:
-    """Findings of a side whose case has no finding of that observation on the other side."""
-    other = findings.where(F.col("side") != side).select("case_id", "observation")
-    return findings.where(F.col("side") == side).join(other, ["case_id", "observation"], "left_anti")
+def pair_scores(findings: DataFrame) -> DataFrame:
+    """All pairs of one case with one observation: an equi join, as others have no score."""
+    return _pairs(_numbered(findings)).select("case_id", "cand_id", "ref_id", "points")
 
 
 def best_assignment(weights: list[list[float]]) -> list[tuple[int, int]]:
@@ -88,34 +102,85 @@ def best_assignment(weights: list[list[float]]) -> list[tuple[int, int]]:
 
 
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(case_id, observation, pairs) to the pairs (cand_no, ref_no) of the best assignment."""
     for batch in batches:
-        matched, total = [], []
-        for pairs in batch.column(1).to_pylist():
-            rows = {x: i for i, x in enumerate(sorted({p["c"] for p in pairs}))}
-            cols = {x: i for i, x in enumerate(sorted({p["r"] for p in pairs}))}
-            weights = [[0.0] * len(cols) for _ in rows]
+        rows, ends = [], []
+        for k, pairs in enumerate(batch.column(2).to_pylist()):
+            weights = [[0.0] * max(p["r"] for p in pairs) for _ in range(max(p["c"] for p in pairs))]
             for p in pairs:
-                weights[rows[p["c"]]][cols[p["r"]]] = max(weights[rows[p["c"]]][cols[p["r"]]], float(p["points"]))
+                weights[p["c"] - 1][p["r"] - 1] = float(p["points"])
             found = best_assignment(weights)
-            matched.append(len(found))
-            total.append(int(sum(weights[i][j] for i, j in found)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matched, pa.int64()), pa.array(total, pa.int64())], names=["case_id", "matched", "total_points"])
+            rows += [k] * len(found)
+            ends += found
+        at = pa.array(rows, pa.int64())
+        numbers = [pa.array([e[i] + 1 for e in ends], pa.int32()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *numbers], names=["case_id", "observation", "cand_no", "ref_no"])
+
+
+def _assigned(numbered: DataFrame) -> DataFrame:
+    """case_id, observation, cand_no and ref_no of the pairs of the assignment with the most points.
+
+    Findings of different observations never pair, so each observation of a case is assigned on its own. Where one side has one
+    finding its best pair is an aggregate; the assignment proper is left for what is larger, and small: equal observations
+    of one report. Ties go to the earlier findings.
+    """
+    pairs = _pairs(numbered)
+    keys = ["case_id", "observation"]
+    least = F.min(F.struct((-F.col("points")).alias("p"), "cand_no", "ref_no"))
+    listed = F.collect_list(F.struct(F.col("cand_no").alias("c"), F.col("ref_no").alias("r"), "points"))
+    groups = pairs.groupBy(*keys).agg(F.least(F.max("cand_no"), F.max("ref_no")).alias("width"), least.alias("best"), listed.alias("pairs"))
+    single = groups.where("width = 1").select(*keys, F.col("best.cand_no").alias("cand_no"), F.col("best.ref_no").alias("ref_no"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
+    return single.unionByName(groups.where("width > 1").select(*keys, "pairs").mapInArrow(_assign, f"{kinds}, cand_no int, ref_no int"))
 
 
 def assignments(findings: DataFrame) -> DataFrame:
-    """For each case with a scored pair, the pairs and points of its best one-to-one assignment. A case fits one row."""
-    text = lambda c: F.to_json(F.col(c))
-    pairs = pair_scores(findings).groupBy("case_id").agg(F.collect_list(F.struct(text("cand_id").alias("c"), text("ref_id").alias("r"), "points")).alias("pairs"))
-    return pairs.mapInArrow(_assign, "case_id long, matched long, total_points long")
+    """The pairs (case_id, cand_id, ref_id, points) of the one-to-one assignment with the most points of each case."""
+    numbered = _numbered(findings)
+    return _assigned(numbered).join(_pairs(numbered), ["case_id", "observation", "cand_no", "ref_no"]).select("case_id", "cand_id", "ref_id", "points")
+
+
+def unpaired(findings: DataFrame) -> DataFrame:
+    """Findings that the assignment leaves alone, with ``error``: false_finding of a candidate, omission_finding of a reference."""
+    numbered = _numbered(findings)
+    pairs = _assigned(numbered)
+    paired = pairs.select("case_id", "observation", F.lit("cand").alias("side"), F.col("cand_no").alias("no"))
+    paired = paired.unionByName(pairs.select("case_id", "observation", F.lit("ref").alias("side"), F.col("ref_no").alias("no")))
+    alone = numbered.join(paired, ["case_id", "observation", "side", "no"], "left_anti")
+    return alone.withColumn("error", F.when(F.col("side") == "cand", "false_finding").otherwise("omission_finding")).select(*findings.columns, "error")
+
+
+def paired_findings(findings: DataFrame) -> DataFrame:
+    """The assigned pairs as structs ``cand`` and ``ref``, with their category, differences and errors."""
+    numbered = _numbered(findings)
+    fields = [c for c in numbered.columns if c not in ("case_id", "observation", "side", "no")]
+    side = lambda name: numbered.where(F.col("side") == name).select("case_id", "observation", F.col("no").alias(f"{name}_no"), F.struct("observation", *fields).alias(name))
+    joined = _assigned(numbered).join(side("cand"), ["case_id", "observation", "cand_no"]).join(side("ref"), ["case_id", "observation", "ref_no"])
+    return compared(joined.select("case_id", "cand", "ref"))
+
+
+def _f1(p: Column, r: Column) -> Column:
+    return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
 def alignment_metrics(findings: DataFrame) -> DataFrame:
-    """Detection precision, recall and F1 of each case from its assignment; denominators are at least 1."""
+    """Detection precision, recall and F1 of each case, from all pairs of its assignment; denominators are at least 1."""
     sizes = findings.groupBy("case_id").agg(F.count_if(F.col("side") == "cand").alias("n_cand"), F.count_if(F.col("side") == "ref").alias("n_ref"))
-    joined = sizes.join(assignments(findings), "case_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
+    pairs = _assigned(_numbered(findings)).groupBy("case_id").agg(F.count(F.lit(1)).alias("matched"))
+    joined = sizes.join(pairs, "case_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
     p, r = F.col("matched") / F.greatest("n_cand", F.lit(1)), F.col("matched") / F.greatest("n_ref", F.lit(1))
-    f1 = F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
-    return joined.select("case_id", "n_cand", "n_ref", "matched", half_up(p, 4).alias("precision"), half_up(r, 4).alias("recall"), half_up(f1, 4).alias("f1"))
+    return joined.select("case_id", "n_cand", "n_ref", "matched", half_up(p, 4).alias("precision"), half_up(r, 4).alias("recall"), half_up(_f1(p, r), 4).alias("f1"))
+
+
+def strict_metrics(findings: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of each case from the pairs that match, exactly or approximately, with the count of each category."""
+    sizes = findings.groupBy("case_id").agg(F.count_if(F.col("side") == "cand").alias("n_cand"), F.count_if(F.col("side") == "ref").alias("n_ref"))
+    kinds = ("matched", "approximate_match", "mismatched")
+    counts = paired_findings(findings).groupBy("case_id").agg(*(F.count_if(F.col("category") == k).alias(k) for k in kinds))
+    joined = sizes.join(counts, "case_id", "left").fillna(0, list(kinds))
+    hits = F.col("matched") + F.col("approximate_match")
+    p, r = hits / F.greatest("n_cand", F.lit(1)), hits / F.greatest("n_ref", F.lit(1))
+    return joined.select("case_id", *kinds, half_up(p, 4).alias("precision"), half_up(r, 4).alias("recall"), half_up(_f1(p, r), 4).alias("f1"))
 
 
 def compared(pairs: DataFrame) -> DataFrame:

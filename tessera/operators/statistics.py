@@ -7,12 +7,28 @@ from math import erfc, sqrt
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, NumericType
 from pyspark.sql.window import Window
 
 from tessera.functions.numbers import finite, half_up, reader_unit, t_critical
 
 METRICS = ("likert_mean", "structure_score", "finding_coverage")
+#: The metrics of a payload that enter statistics, and its bookkeeping fields that never do.
+STATISTIC_METRICS = ("likert_mean", "structure_score", "finding_coverage", "precision", "recall", "score", "error_rate", "agreement", "overall_score")
+
+
+def payload_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric and value of all STATISTIC_METRICS, from the map ``metrics``, else ``composite_inputs``, else the row's own columns.
+
+    The first of the two maps that is not null is the whole payload, even if it lacks a metric. Columns that are not there
+    count as null; null and non-finite values are left out.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema}
+    own = F.create_map(*(x for m in STATISTIC_METRICS if m in kinds and isinstance(kinds[m], NumericType) for x in (F.lit(m), F.col(m).cast("double"))))
+    maps = [F.col(c).cast("map<string,double>") for c in ("metrics", "composite_inputs") if c in kinds]
+    payload = F.coalesce(*maps, own.cast("map<string,double>"))
+    out = rows.select(*keys, F.explode(payload).alias("metric", "value"))
+    return out.where(F.col("metric").isin(*STATISTIC_METRICS) & finite(F.col("value")))
 
 
 def unpivoted(rows: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -39,11 +55,18 @@ def overall_score(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def midrank_percentile(rows: DataFrame, value: str = "value") -> DataFrame:
-    """100 (below + equal / 2) / n of each row among the finite values; counts by value first, so one window row a value."""
+    """100 (below + equal / 2) / n of each row among the finite values; 0.0 for others.
+
+    Values are counted first, then dealt to ranges; what lies below a range is summed over one row for each of them.
+    """
     counts = rows.where(finite(F.col(value))).groupBy(value).agg(F.count(F.lit(1)).alias("__eq"))
-    below = F.coalesce(F.sum("__eq").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__eq").over(Window.partitionBy())
-    ranks = counts.select(value, half_up(100.0 * (below + 0.5 * F.col("__eq")) / total).alias("percentile"))
+    ranged = counts.repartitionByRange(value).withColumn("__part", F.spark_partition_id())
+    parts = ranged.groupBy("__part").agg(F.sum("__eq").alias("__in"))
+    line = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    before = parts.select("__part", F.coalesce(F.sum("__in").over(line), F.lit(0)).alias("__before"), F.sum("__in").over(Window.partitionBy()).alias("__n"))
+    inside = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__below", F.coalesce(F.sum("__eq").over(inside), F.lit(0))).join(F.broadcast(before), "__part")
+    ranks = placed.select(value, half_up(100.0 * (F.col("__before") + F.col("__below") + 0.5 * F.col("__eq")) / F.col("__n")).alias("percentile"))
     return rows.join(ranks, value, "left").withColumn("percentile", F.coalesce("percentile", F.lit(0.0)))
 
 
@@ -54,17 +77,6 @@ def weighted_means(rows: DataFrame, weights: DataFrame, keys: list[str]) -> Data
     return out.where("w <> 0").select(*keys, "metric", half_up(F.col("s") / F.col("w")).alias("weighted_mean"))
 
 
-def welch(groups: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Welch's t for each pair of groups (n, mean, var) with the same keys; null with fewer than two values on a side."""
-    left = groups.select(*keys, *(F.col(c).alias(f"{c}_a") for c in (name, "n", "mean", "var")))
-    right = groups.select(*keys, *(F.col(c).alias(f"{c}_b") for c in (name, "n", "mean", "var")))
-    pairs = left.join(right, keys).where(F.col(f"{name}_a") < F.col(f"{name}_b"))
-    error = F.sqrt(F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b"))
-    enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
-    t = F.when(enough & (error > 0), (F.col("mean_a") - F.col("mean_b")) / error)
-    return pairs.select(*keys, f"{name}_a", f"{name}_b", "n_a", "n_b", t.alias("t"))
-
-
 @F.pandas_udf(DoubleType())
 def _two_tails(t: pd.Series) -> pd.Series:
     return t.map(lambda x: erfc(abs(x) / sqrt(2)), na_action="ignore")
@@ -77,6 +89,22 @@ def welch_p(n_a: Column, mean_a: Column, var_a: Column, n_b: Column, mean_b: Col
     return F.when((n_a >= 2) & (n_b >= 2), p).otherwise(F.lit(1.0))
 
 
+def welch(groups: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Welch's t and its two-sided p for each pair of groups (n, mean, var) with the same keys, and the method.
+
+    With fewer than two values on a side the method is insufficient_data, t null and p 1.
+    """
+    left = groups.select(*keys, *(F.col(c).alias(f"{c}_a") for c in (name, "n", "mean", "var")))
+    right = groups.select(*keys, *(F.col(c).alias(f"{c}_b") for c in (name, "n", "mean", "var")))
+    pairs = left.join(right, keys).where(F.col(f"{name}_a") < F.col(f"{name}_b"))
+    error = F.sqrt(F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b"))
+    enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
+    t = F.when(enough & (error > 0), (F.col("mean_a") - F.col("mean_b")) / error)
+    p = welch_p(*(F.col(f"{c}_{g}") for g in "ab" for c in ("n", "mean", "var")))
+    method = F.when(enough, "welch_normal_approximation").otherwise("insufficient_data")
+    return pairs.select(*keys, f"{name}_a", f"{name}_b", "n_a", "n_b", t.alias("t"), p.alias("p"), method.alias("method"))
+
+
 def holm(rows: DataFrame, p: str, keys: list[str]) -> DataFrame:
     """Adds ``p_holm``: step-down adjusted p values within ``keys``; a null, non-finite or outside p counts as 1."""
     clean = F.when(finite(F.col(p)) & F.col(p).between(0, 1), F.col(p)).otherwise(F.lit(1.0))

@@ -32,9 +32,8 @@ _RUNS = """runs AS (
   SELECT event_id, ts, user_id AS run_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status
   FROM events)"""
 _PAIRS = r"""pairs AS (
-  SELECT r.conv_id, r.turn AS ref_turn, left(r.text, 200) AS gold, left(c.text, 200) AS cand
-  FROM conversations r JOIN conversations c ON r.conv_id = c.conv_id AND c.turn = r.turn + 1
-  WHERE r.role = 'user' AND c.role = 'assistant' AND regexp_full_match(left(r.text, 200), '[\x00-\x7F]*') AND regexp_full_match(left(c.text, 200), '[\x00-\x7F]*'))"""
+  SELECT r.conv_id, r.turn AS ref_turn, r.text AS gold, c.text AS cand
+  FROM conversations r JOIN conversations c ON r.conv_id = c.conv_id AND c.turn = r.turn + 1 WHERE r.role = 'user' AND c.role = 'assistant')"""
 _T = "CASE n " + " ".join(f"WHEN {n} THEN {t}e0" for n, t in ((2, 12.706), (3, 4.303), (4, 3.182), (5, 2.776), (6, 2.571), (7, 2.447), (8, 2.365), (9, 2.306), (10, 2.262))) + " ELSE 1.96e0 END"
 
 
@@ -62,6 +61,21 @@ _GAP = _with(_CASES, _REPORTS, _VALUES) + f""", m AS (SELECT reader, metric, avg
 p AS (SELECT *, (sum(m) OVER (PARTITION BY metric) - m) / nullif(count(*) OVER (PARTITION BY metric) - 1, 0) AS peer FROM m),
 g AS (SELECT reader, metric, {_r('m')} AS mean, {_r('peer')} AS peer_mean, {_r('m - peer', 4)} AS gap FROM p)"""
 
+#: erfc(x / sqrt 2) by the series of erf with positive terms; beyond 8 it is 0 to more digits than are compared.
+_TAIL = "CASE WHEN x >= 8e0 THEN 0e0 ELSE 1e0 - exp(-x * x / 2) * list_sum(list_transform(range(0, 150), lambda n: pow(x / sqrt(2e0), 2 * n + 1) / gamma(n + 1.5e0))) END"
+_WELCH = _with(_CASES, _REPORTS, _VALUES) + f""", g AS (SELECT metric, model, count(*) AS n, avg(value) AS mean, var_samp(value) AS var FROM vals GROUP BY metric, model),
+  b AS (SELECT a.metric, a.model AS model_a, b.model AS model_b, a.n AS n_a, b.n AS n_b, a.n >= 2 AND b.n >= 2 AS enough, a.mean - b.mean AS diff, sqrt(a.var / a.n + b.var / b.n) AS error
+    FROM g a JOIN g b ON a.metric = b.metric AND a.model < b.model),
+  x AS (SELECT *, CASE WHEN error > 0 THEN abs(diff / error) END AS x FROM b),
+  w AS (SELECT *, CASE WHEN NOT enough THEN 1e0 WHEN error = 0 THEN CASE WHEN diff <> 0 THEN 0e0 ELSE 1e0 END ELSE {_TAIL} END AS p FROM x) """
+
+
+def _tokens(column: str) -> str:
+    grams = "flatten(list_transform(range(3, least(6, length(r)) + 1), lambda n: list_transform(range(1, length(r) - n + 2), lambda i: substr(r, i, n))))"
+    runs = f"list_filter(regexp_extract_all(lower({column}), '[a-z0-9_]+|[\u4e00-\u9fff]+'), lambda r: length(r) >= 3)"
+    return f"list_distinct(flatten(list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, '^[a-z0-9_]') THEN [r] ELSE {grams} END)))"
+
+
 SQL: dict[str, str] = {
     "model_source_summary": _with(_REPORTS) + """SELECT model, source, evidence_tier, count(*) AS report_count, count(*) FILTER (WHERE quality = 'passed') AS quality_passed, count(*) FILTER (WHERE quality = 'failed') AS quality_failed,
   count(*) FILTER (WHERE quality = 'unknown') AS quality_unknown, CAST(sum(w1::INT + w2::INT + w3::INT) AS BIGINT) AS warning_count FROM reports GROUP BY ALL""",
@@ -100,13 +114,6 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   c AS (SELECT *, max(CASE WHEN rank = 3 THEN low END) OVER (PARTITION BY case_id) AS cl, max(CASE WHEN rank = 3 THEN high END) OVER (PARTITION BY case_id) AS ch FROM i),
   x AS (SELECT *, coalesce(low <= ch AND cl <= high, false) AS uncertainty_overlap FROM c)
   SELECT case_id, pos, k1, k2, k3, model, score, rank, uncertainty_overlap FROM x WHERE rank <= 3 OR uncertainty_overlap""",
-    "model_pair_welch": _with(_CASES, _REPORTS, _VALUES) + f""", g AS (SELECT metric, model, count(*) AS n, avg(value) AS mean, var_samp(value) AS var FROM vals GROUP BY metric, model)
-  SELECT a.metric, a.model AS model_a, b.model AS model_b, a.n AS n_a, b.n AS n_b,
-    CASE WHEN a.n >= 2 AND b.n >= 2 AND sqrt(a.var / a.n + b.var / b.n) > 0 THEN {_r('(a.mean - b.mean) / sqrt(a.var / a.n + b.var / b.n)', 4)} END AS t
-  FROM g a JOIN g b ON a.metric = b.metric AND a.model < b.model""",
-    "holm_adjusted": _with(_REPORTS) + f""", p AS (SELECT model, source, count(*) FILTER (WHERE quality = 'failed') / (20e0 * count(*)) AS p FROM reports GROUP BY model, source),
-  s AS (SELECT *, least(1e0, (count(*) OVER () - row_number() OVER (ORDER BY p, model, source) + 1) * p) AS a FROM p)
-  SELECT model, source, {_r('p')} AS p, {_r('max(a) OVER (ORDER BY p, model, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS p_holm FROM s""",
     "hazard_agreement": _with(_HAZARDS) + f""", c AS (SELECT error_type, count(*) AS compared, count(*) FILTER (WHERE level = review_level) AS exact, count(*) FILTER (WHERE abs(level - review_level) <= 1) AS within_one FROM hazards GROUP BY error_type)
   SELECT *, {_r('exact / compared', 4)} AS exact_rate, {_r('within_one / compared', 4)} AS within_one_rate FROM c""",
     "hazard_consensus": _with(_HAZARDS) + """, c AS (SELECT case_id, CASE WHEN level = review_level THEN level WHEN NOT abstain THEN review_level END AS consensus FROM hazards)
@@ -128,8 +135,6 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
     + CASE WHEN abs(c.mm - r.mm) <= 5 THEN 10 ELSE -5 END AS points
   FROM findings c JOIN findings r ON c.case_id = r.case_id AND c.observation = r.observation AND c.side = 'cand' AND r.side = 'ref')
   SELECT case_id, count(*) AS pairs, CAST(max(points) AS BIGINT) AS best, CAST(sum(points) AS BIGINT) AS total FROM p GROUP BY case_id""",
-    "alignment_only": _with(_FINDINGS) + """SELECT case_id, CASE side WHEN 'cand' THEN 'false_finding' ELSE 'omission_finding' END AS error, count(*) AS n FROM findings f
-  WHERE NOT EXISTS (SELECT 1 FROM findings o WHERE o.case_id = f.case_id AND o.observation = f.observation AND o.side <> f.side) GROUP BY case_id, error""",
     "merge_batches_coverage": _with(_CASES) + """, d AS (SELECT case_id FROM cases WHERE batch <> 3 UNION SELECT -case_id - 1 FROM cases WHERE case_id % 50 = 0)
   SELECT case_id, 'missing' AS problem FROM cases WHERE case_id NOT IN (SELECT case_id FROM d) UNION ALL SELECT case_id, 'extra' FROM d WHERE case_id NOT IN (SELECT case_id FROM cases)""",
     "merged_batches": _with(_CASES) + """, m AS (SELECT case_id, batch FROM cases UNION ALL SELECT case_id, batch FROM cases WHERE case_id % 40 = 0), c AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS k FROM m)
@@ -145,7 +150,7 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   p AS (SELECT case_id, modality, body_part, count(g) AS routes FROM cases LEFT JOIN m ON supported = modality OR (supported = 'unknown' AND body_part = '1-URGENT') GROUP BY ALL),
   s AS (SELECT modality, body_part, count(*) AS cases, count(*) FILTER (WHERE routes > 0) AS covered, CAST(sum(routes) AS BIGINT) AS routes FROM p GROUP BY modality, body_part) SELECT *, {_r('covered / greatest(cases, 1)')} AS coverage FROM s""",
     "stratified_sample": _with(_CASES) + """, t AS (SELECT case_id, modality, body_part, row_number() OVER (PARTITION BY modality, body_part ORDER BY case_id) AS turn FROM cases) SELECT * FROM t ORDER BY turn, modality, body_part LIMIT 100""",
-    "coverage_cartesian": _with(_CASES, _REPORTS) + """, w AS (SELECT case_id, model FROM (SELECT case_id FROM cases WHERE modality = 'ct'), (SELECT 'm' || CAST(i AS VARCHAR) AS model FROM range(8) t(i))),
+    "coverage_cartesian": _with(_CASES, _REPORTS) + """, w AS (SELECT case_id, model FROM (SELECT case_id FROM cases), (SELECT 'm' || CAST(i AS VARCHAR) AS model FROM range(8) t(i))),
   x AS (SELECT * FROM w EXCEPT SELECT case_id, model FROM reports) SELECT model, count(*) AS missing_cases FROM x GROUP BY model""",
     "ambiguous_hash_join": "SELECT min(doc_id) AS doc_id, sha256(text) AS text_sha256 FROM documents GROUP BY text_sha256 HAVING min(doc_id) = max(doc_id)",
     "unique_finding_ids": """WITH i AS (SELECT conv_id, turn, role, role || '_' || CAST(conv_id % 20 AS VARCHAR) AS id FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY conv_id, turn, role) AS n FROM i)
@@ -155,10 +160,6 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   CAST(CASE WHEN turn % 2 = 1 THEN 4 ELSE 0 END AS BIGINT) AS impression_chars,
   CAST(CASE WHEN turn % 2 = 1 THEN 3 + CAST(len(regexp_extract_all(text, '\S+')) + 3 >= 20 AS INTEGER) + 1 ELSE 3 + CAST(len(regexp_extract_all(text, '\S+')) >= 20 AS INTEGER) END AS BIGINT) AS likert FROM conversations""",
     "text_bounded": r"""WITH b AS (SELECT doc_id, CASE WHEN length(text) <= 12000 THEN text ELSE left(text, 5996) || chr(10) || '[...]' || chr(10) || right(text, 5996) END AS b FROM documents) SELECT doc_id, length(b) AS chars, md5(b) AS digest FROM b""",
-    "ocr_cer_by_pair": _with(_PAIRS) + ", s AS (SELECT conv_id, ref_turn, regexp_replace(gold, '\\s+', '', 'g') AS g, regexp_replace(cand, '\\s+', '', 'g') AS c FROM pairs) " + f"SELECT conv_id, ref_turn, {_r('levenshtein(g, c) / greatest(length(g), 1)')} AS cer FROM s",
-    "ocr_model_summary": _with(_PAIRS) + ", s AS (SELECT conv_id, cand, regexp_replace(gold, '\\s+', '', 'g') AS g, regexp_replace(cand, '\\s+', '', 'g') AS c FROM pairs) " + rf"SELECT 'm' || CAST(conv_id % 3 AS VARCHAR) AS model, count(*) AS n, {_r('avg(levenshtein(g, c) / greatest(length(g), 1))')} AS mean_cer, CAST(sum(CASE WHEN regexp_matches(cand, '[.!?]\z') THEN 0 ELSE 1 END) AS BIGINT) AS truncated FROM s GROUP BY model",
-    "token_overlap": _with(_PAIRS) + """, t AS (SELECT conv_id, ref_turn, list_distinct(regexp_extract_all(lower(gold), '[a-z0-9_]{3,}')) AS a, list_distinct(regexp_extract_all(lower(cand), '[a-z0-9_]{3,}')) AS b FROM pairs)
-  SELECT conv_id, ref_turn, len(a) AS ref_tokens, len(list_intersect(a, b)) AS shared FROM t""",
     "illegal_transitions": _with(_RUNS) + """, s AS (SELECT *, lag(status) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS b FROM runs)
   SELECT coalesce(b, 'none') AS before, status, count(*) AS n, count(*) FILTER (WHERE NOT CASE WHEN b IS NULL THEN status = 'queued' WHEN b = 'queued' THEN status IN ('running', 'cancelled') WHEN b = 'running' THEN status IN ('succeeded', 'failed', 'cancelled')
     WHEN b IN ('failed', 'cancelled') THEN status = 'queued' ELSE false END) AS illegal FROM s GROUP BY before, status""",
@@ -169,4 +170,17 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
     "gate_matrix": _with(_CASES, _REPORTS) + """, g AS (SELECT reader, model, CAST(bool_and(likert_mean >= 1) AS INTEGER) + CAST(bool_and(evidence_tier <> 'mock') AS INTEGER) + CAST(bool_and(finding_coverage > 0.02e0) AS INTEGER) AS passed FROM reports JOIN cases USING (case_id) GROUP BY reader, model)
   SELECT reader, model, passed, 3 - passed AS failed, 3 AS total, CASE WHEN passed = 3 THEN 'validated' ELSE 'pilot' END AS status FROM g""",
     "route_plan": """WITH r AS (SELECT p_type, count(*) AS routes, count(*) FILTER (WHERE p_size > 25) AS local, min(p_partkey) AS first_route FROM part GROUP BY p_type) SELECT *, routes - local AS fallback FROM r""",
+    "token_overlap": _with(_PAIRS) + f""", t AS (SELECT conv_id, ref_turn, {_tokens('gold')} AS a, {_tokens('cand')} AS b FROM pairs)
+  SELECT conv_id, ref_turn, len(a) AS ref_tokens, len(list_intersect(a, b)) AS shared FROM t""",
+    # All pairs of one observation have points above 0, so the best assignment pairs as many as the smaller side has.
+    "alignment_only": _with(_FINDINGS) + """, o AS (SELECT case_id, observation, count(*) FILTER (WHERE side = 'cand') AS c, count(*) FILTER (WHERE side = 'ref') AS r FROM findings GROUP BY case_id, observation),
+  e AS (SELECT case_id, 'false_finding' AS error, greatest(c - r, 0) AS n FROM o UNION ALL SELECT case_id, 'omission_finding', greatest(r - c, 0) FROM o)
+  SELECT case_id, error, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY case_id, error HAVING sum(n) > 0""",
+    "alignment_assignment": _with(_FINDINGS) + f""", o AS (SELECT case_id, observation, count(*) FILTER (WHERE side = 'cand') AS c, count(*) FILTER (WHERE side = 'ref') AS r FROM findings GROUP BY case_id, observation),
+  m AS (SELECT case_id, CAST(sum(c) AS BIGINT) AS n_cand, CAST(sum(r) AS BIGINT) AS n_ref, CAST(sum(least(c, r)) AS BIGINT) AS matched FROM o GROUP BY case_id),
+  x AS (SELECT *, matched / greatest(n_cand, 1) AS p, matched / greatest(n_ref, 1) AS q FROM m)
+  SELECT case_id, n_cand, n_ref, matched, {_r('p', 4)} AS precision, {_r('q', 4)} AS recall, {_r('CASE WHEN p + q = 0 THEN 0e0 ELSE 2 * p * q / (p + q) END', 4)} AS f1 FROM x""",
+    "model_pair_welch": _WELCH + f"SELECT metric, model_a, model_b, n_a, n_b, CASE WHEN enough AND error > 0 THEN {_r('diff / error', 4)} END AS t, {_r('p')} AS p, CASE WHEN enough THEN 'welch_normal_approximation' ELSE 'insufficient_data' END AS method FROM w",
+    "holm_adjusted": _WELCH + f""", s AS (SELECT *, least(1e0, (count(*) OVER (PARTITION BY metric) - row_number() OVER (PARTITION BY metric ORDER BY p, model_a, model_b) + 1) * p) AS a FROM w)
+  SELECT metric, model_a, model_b, {_r('p')} AS p, {_r('max(a) OVER (PARTITION BY metric ORDER BY p, model_a, model_b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS p_holm FROM s""",
 }

@@ -137,18 +137,21 @@ def top_k_ci_overlap(spark, d):
     return ranking.overlapping(rows, "case_id", TIES, "low", "high").select("case_id", *TIES, "model", "score", F.col("rank").cast("long"), "uncertainty_overlap")
 
 
-@query
-def model_pair_welch(spark, d):
+def _welch_pairs(spark, d):
     values = statistics.unpivoted(_eligible(A.reports(spark, d)), ["model"])
     groups = values.groupBy("metric", "model").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
-    out = statistics.welch(groups, "model", ["metric"])
-    return out.withColumn("t", half_up(F.col("t"), 4))
+    return statistics.welch(groups, "model", ["metric"])
+
+
+@query
+def model_pair_welch(spark, d):
+    return _welch_pairs(spark, d).withColumns({"t": half_up(F.col("t"), 4), "p": half_up(F.col("p"))})
 
 
 @query
 def holm_adjusted(spark, d):
-    p = A.reports(spark, d).groupBy("model", "source").agg((F.count_if(F.col("quality") == "failed") / (20.0 * F.count(F.lit(1)))).alias("p"))
-    return statistics.holm(p, "p", []).select("model", "source", half_up(F.col("p")).alias("p"), half_up(F.col("p_holm")).alias("p_holm"))
+    rows = _welch_pairs(spark, d).select("metric", "model_a", "model_b", "p")
+    return statistics.holm(rows, "p", ["metric"]).withColumns({"p": half_up(F.col("p")), "p_holm": half_up(F.col("p_holm"))})
 
 
 @query
@@ -199,9 +202,7 @@ def alignment_pair_scores(spark, d):
 
 @query
 def alignment_only(spark, d):
-    found = A.findings(spark, d)
-    both = matching.only_in(found, "cand").withColumn("error", F.lit("false_finding")).unionByName(matching.only_in(found, "ref").withColumn("error", F.lit("omission_finding")))
-    return both.groupBy("case_id", "error").agg(F.count(F.lit(1)).alias("n"))
+    return matching.unpaired(A.findings(spark, d)).groupBy("case_id", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -209,6 +210,11 @@ def alignment_assignment(spark, d):
     return matching.alignment_metrics(A.findings(spark, d))
 
 
+@query
+def alignment_strict(spark, d):
+    return matching.strict_metrics(A.findings(spark, d))
+
+
 @query
 def merge_batches_coverage(spark, d):
     cases = A.cases(spark, d)
@@ -266,13 +272,6 @@ def stratified_sample(spark, d):
 
 @query
 def coverage_cartesian(spark, d):
-    models = spark.range(8).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"))
-    missing = coverage.incomplete(A.cases(spark, d).where("modality = 'ct'"), models, A.reports(spark, d))
-    return missing.groupBy("model").agg(F.count(F.lit(1)).alias("missing_cases"))
-
-
-@query
-def coverage_all_cases(spark, d):
     models = spark.range(8).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"))
     missing = coverage.incomplete(A.cases(spark, d), models, A.reports(spark, d))
     return missing.groupBy("model").agg(F.count(F.lit(1)).alias("missing_cases"))
@@ -323,55 +322,28 @@ def text_bounded(spark, d):
 
 
 def _pairs(spark, d):
+    """All pairs of a turn of the user and the answer to it, with their whole texts."""
     turns = A.table(spark, d, "conversations")
     ref = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("ref_turn"), F.col("text").alias("gold"))
     cand = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("ref_turn"), F.col("text").alias("cand"))
-    both = ref.join(cand, ["conv_id", "ref_turn"]).withColumns({"gold": F.substring("gold", 1, 200), "cand": F.substring("cand", 1, 200)})
-    return both.where(r"gold rlike '^[\\x00-\\x7F]*$' AND cand rlike '^[\\x00-\\x7F]*$'")
+    return ref.join(cand, ["conv_id", "ref_turn"])
 
 
 @query
 def ocr_cer_by_pair(spark, d):
-    return _pairs(spark, d).select("conv_id", "ref_turn", half_up(T.character_error_rate(F.col("gold"), F.col("cand"))).alias("cer"))
+    return _pairs(spark, d).select("conv_id", "ref_turn", half_up(T.clinical_error_rate(F.col("gold"), F.col("cand"))).alias("cer"))
 
 
 @query
 def ocr_model_summary(spark, d):
     rows = _pairs(spark, d).withColumn("model", F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")))
-    rows = rows.withColumns({"cer": T.character_error_rate(F.col("gold"), F.col("cand")), "cut": (~F.col("cand").rlike(r"[.!?]\z")).cast("long")})
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("cer")).alias("mean_cer"), F.sum("cut").alias("truncated"))
-
-
-@query
-def token_overlap(spark, d):
-    tokens = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.char_length(t) >= 3))
-    rows = _pairs(spark, d).withColumns({"a": tokens("gold"), "b": tokens("cand")})
-    return rows.select("conv_id", "ref_turn", F.size("a").cast("long").alias("ref_tokens"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
-
-
-def _whole_pairs(spark, d):
-    """All pairs of a turn of the user and the answer to it, with their whole texts."""
-    turns = A.table(spark, d, "conversations")
-    ref = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("ref_turn"), F.col("text").alias("gold"))
-    cand = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("ref_turn"), F.col("text").alias("cand"))
-    return ref.join(cand, ["conv_id", "ref_turn"])
-
-
-@query
-def ocr_cer_whole(spark, d):
-    return _whole_pairs(spark, d).select("conv_id", "ref_turn", half_up(T.clinical_error_rate(F.col("gold"), F.col("cand"))).alias("cer"))
-
-
-@query
-def ocr_model_summary_whole(spark, d):
-    rows = _whole_pairs(spark, d).withColumn("model", F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")))
     rows = rows.withColumns({"cer": T.clinical_error_rate(F.col("gold"), F.col("cand")), "cut": (~F.col("cand").rlike(r"[.!?]\z")).cast("long")})
     return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("cer")).alias("mean_cer"), F.sum("cut").alias("truncated"))
 
 
 @query
-def token_overlap_whole(spark, d):
-    rows = _whole_pairs(spark, d).withColumns({"a": T.tokens(F.col("gold")), "b": T.tokens(F.col("cand"))})
+def token_overlap(spark, d):
+    rows = _pairs(spark, d).withColumns({"a": T.tokens(F.col("gold")), "b": T.tokens(F.col("cand"))})
     return rows.select("conv_id", "ref_turn", F.size("a").cast("long").alias("ref_tokens"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
 
 
