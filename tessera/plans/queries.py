@@ -15,6 +15,7 @@ from tessera.operators.eligibility import for_hazards, for_ranking, for_statisti
 from tessera.plans import adapters as A
 from tessera.plans.oracle import SQL
 from tessera.plans.rule_queries import RULES, RULES_SQL
+from tessera.plans.value_queries import VALUES, VALUES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TIES = ["pos", "k1", "k2", "k3"]
@@ -391,5 +392,5 @@ def route_plan(spark, d):
     return counts.withColumn("fallback", F.col("routes") - F.col("local"))
 
 
-ORACLE_SQL = {**{k: v for k, v in SQL.items() if k in QUERIES}, **RULES_SQL}
-QUERIES.update(RULES)
+ORACLE_SQL = {**{k: v for k, v in SQL.items() if k in QUERIES}, **RULES_SQL, **VALUES_SQL}
+QUERIES.update(RULES | VALUES)
