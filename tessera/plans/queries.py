@@ -13,6 +13,7 @@ from tessera.functions.numbers import half_up
 from tessera.operators import coverage, matching, ranking, state, statistics, summaries
 from tessera.operators.eligibility import for_hazards, for_ranking, for_statistics
 from tessera.plans import adapters as A
+from tessera.plans.evaluation_queries import EVALUATIONS, EVALUATIONS_SQL
 from tessera.plans.oracle import SQL
 from tessera.plans.rule_queries import RULES, RULES_SQL
 from tessera.plans.value_queries import VALUES, VALUES_SQL
@@ -392,5 +393,5 @@ def route_plan(spark, d):
     return counts.withColumn("fallback", F.col("routes") - F.col("local"))
 
 
-ORACLE_SQL = {**{k: v for k, v in SQL.items() if k in QUERIES}, **RULES_SQL, **VALUES_SQL}
-QUERIES.update(RULES | VALUES)
+ORACLE_SQL = {**{k: v for k, v in SQL.items() if k in QUERIES}, **RULES_SQL, **VALUES_SQL, **EVALUATIONS_SQL}
+QUERIES.update(RULES | VALUES | EVALUATIONS)

@@ -22,7 +22,7 @@ LOOPS = {"coverage_cartesian", "plan_coverage_by_stratum", "cohen_kappa_labels",
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "orders lineitem part supplier customer events documents labels conversations pages".split():
+    for name in "orders lineitem part supplier customer events documents labels conversations pages nation".split():
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
