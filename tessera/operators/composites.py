@@ -41,17 +41,23 @@ def blocking_fallback(tier: Column, source: Column, fallback_used: Column) -> Co
 
 
 def quality_gated(reports: DataFrame) -> DataFrame:
-    """Reports (report, modality, evidence_tier, source, fallback_used, warnings) with ``passed`` and the warnings it adds, each once."""
+    """Reports (report, modality, evidence_tier, source, fallback_used, warnings) with ``passed`` and the warnings it adds, each once.
+
+    With a column ``body_part`` a failed report is also warned of another part of the body.
+    """
     foreign = F.size(quality.foreign_terms(F.col("report"), F.col("modality"))) > 0
     blocked = blocking_fallback(F.col("evidence_tier"), F.col("source"), F.col("fallback_used"))
-    found = F.array_compact(F.array(F.when(foreign | blocked, "quality_gate_failed"), F.when(blocked, "fallback_generation"), F.when(foreign, "modality_mismatch")))
+    part = F.size(quality.foreign_body_terms(F.col("report"), F.col("body_part"))) > 0 if "body_part" in reports.columns else F.lit(False)
+    failed = foreign | blocked
+    found = F.array_compact(F.array(F.when(failed, "quality_gate_failed"), F.when(blocked, "fallback_generation"), F.when(failed & part, "body_part_mismatch"), F.when(foreign, "modality_mismatch")))
     old = F.coalesce("warnings", F.array().cast("array<string>"))
     return reports.withColumns({"passed": ~(foreign | blocked), "warnings": F.concat(old, F.array_except(found, old))})
 
 
 def formal_problem(reports: DataFrame, keys: list[str], sources: list[str]) -> DataFrame:
     """For each group with reports (model, evidence_tier, source, report) that may not be in a formal run, how many and the
-    message of the first hundred by name: ``model:tier:problem|problem`` joined by commas."""
+    message of all of them by name, equal ones once: ``model:tier:problem|problem`` joined by commas. It grows with the registry
+    of models, not with the reports."""
     problems = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("evidence_tier") == "formal_fresh", F.lit(False)), "non_formal_evidence_tier"),
         F.when(~F.coalesce(F.col("source").isin(*sources), F.lit(False)), "unsupported_formal_source"),
@@ -60,7 +66,7 @@ def formal_problem(reports: DataFrame, keys: list[str], sources: list[str]) -> D
     text = F.concat_ws(":", F.coalesce("model", F.lit("")), F.coalesce("evidence_tier", F.lit("")), F.array_join(problems, "|"))
     kinds = reports.where(F.size(problems) > 0).groupBy(*keys, text.alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
     out = kinds.groupBy(*keys).agg(F.sum("__n").alias("invalid"), F.array_sort(F.collect_list("__t")).alias("__all"))
-    return out.select(*keys, "invalid", F.array_join(F.slice("__all", 1, 100), ",").alias("message"))
+    return out.select(*keys, "invalid", F.array_join("__all", ",").alias("message"))
 
 
 def with_fallback(wanted: DataFrame, local: DataFrame, fallback: DataFrame, mock: bool) -> DataFrame:

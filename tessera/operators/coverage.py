@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import half_up
+
 
 def merge_batches(batches: list[DataFrame]) -> DataFrame:
-    """All rows of all batches, whose columns may differ, with the number of batches that hold the case."""
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
+    """All rows of all batches, whose columns may differ, with the batch they are from (``batch_no``, from 0) and ``copies``, the rows of the case in all."""
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (b.withColumn("batch_no", F.lit(i)) for i, b in enumerate(batches)))
     counts = merged.groupBy("case_id").agg(F.count(F.lit(1)).alias("copies"))
     return merged.join(counts, "case_id")
 
@@ -27,6 +29,35 @@ def incomplete(cases: DataFrame, candidates: DataFrame, done: DataFrame) -> Data
     return wanted.join(done.select("case_id", *candidates.columns).distinct(), ["case_id", *candidates.columns], "left_anti")
 
 
+def plan_problems(cases: DataFrame, candidates: list[str], repeats: int, done: DataFrame) -> DataFrame:
+    """case_id, candidate, repeat and problem where results are not exactly cases x candidates x repeats: missing, extra or duplicate.
+
+    Candidates and repeats are configuration: each case is expanded by an array, results are counted first.
+    """
+    keys = ["case_id", "candidate", "repeat"]
+    wanted = cases.select("case_id").distinct().select("case_id", F.explode(F.array(*map(F.lit, candidates))).alias("candidate"))
+    wanted = wanted.select("case_id", "candidate", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"), F.lit(True).alias("__w"))
+    counted = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    problem = F.when(F.col("__w").isNull(), "extra").when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "duplicate")
+    return wanted.join(counted, keys, "full").select(*keys, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def compatible(cases: DataFrame, models: DataFrame, open_to_all: Column) -> DataFrame:
+    """case_id and model of each model that supports the case's modality, or any modality where ``open_to_all`` holds for the case.
+
+    ``models`` is a small dimension (model, supported); ``supported`` is a modality or ``unknown`` for any.
+    """
+    keyed = cases.withColumn("__for", F.explode(F.array_compact(F.array(F.col("modality"), F.when(open_to_all, "unknown")))))
+    return keyed.join(F.broadcast(models.withColumnRenamed("supported", "__for")), "__for").select("case_id", "model")
+
+
+def plan_coverage(cases: DataFrame, routes: DataFrame, keys: list[str]) -> DataFrame:
+    """Cases of each group, those with a route, routes, and the covered share."""
+    by_case = routes.groupBy("case_id").agg(F.count(F.lit(1)).alias("__r"))
+    out = cases.join(by_case, "case_id", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("cases"), F.count("__r").alias("covered"), F.coalesce(F.sum("__r"), F.lit(0)).alias("routes"))
+    return out.withColumn("coverage", half_up(F.col("covered") / F.greatest("cases", F.lit(1))))
+
+
 def unambiguous(rows: DataFrame, hash_col: str, id_col: str) -> DataFrame:
     """hash and id of the hashes that name one id only."""
     out = rows.groupBy(hash_col).agg(F.min(id_col).alias(id_col), F.max(id_col).alias("__max"))

@@ -115,6 +115,35 @@ def holm(rows: DataFrame, p: str, keys: list[str]) -> DataFrame:
     return stepped.withColumn("p_holm", running).drop("__p", "__a")
 
 
+def hazard_weighted(rows: DataFrame, value: str, weights: dict[tuple[str, int], float], keys: list[str], default: float = 1.0) -> DataFrame:
+    """n and the mean of value times the weight of its error type and level; pairs without a weight count ``default``."""
+    weight = F.lit(default)
+    for (kind, level), w in weights.items():
+        weight = F.when((F.col("error_type") == kind) & (F.col("level") == level), w).otherwise(weight)
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), half_up(F.avg(F.col(value) * weight)).alias("weighted"))
+    return out
+
+
+def side_differences(rows: DataFrame, item: str, one: Column, two: Column, keys: list[str]) -> DataFrame:
+    """For each key what only one side names and what only the other does, sorted and joined by semicolons, and whether both name the same."""
+    seen = rows.groupBy(*keys, item).agg(F.bool_or(one).alias("__a"), F.bool_or(two).alias("__b"))
+    listed = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.col(item)))), ";")
+    out = seen.groupBy(*keys).agg(listed(F.col("__a") & ~F.col("__b")).alias("only_one"), listed(F.col("__b") & ~F.col("__a")).alias("only_two"))
+    return out.withColumn("exact", (F.col("only_one") == "") & (F.col("only_two") == ""))
+
+
+def level_agreement(rows: DataFrame, a: str, b: str, keys: list[str], action_a: str | None = None, action_b: str | None = None) -> DataFrame:
+    """Compared, exact and within-one counts of two levels and their rates; with actions also how often these agree."""
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    counts = [F.count(F.lit(1)).alias("compared"), F.count_if(F.col(a) == F.col(b)).alias("exact"), F.count_if(F.abs(F.col(a) - F.col(b)) <= 1).alias("within_one")]
+    names = ["exact", "within_one"]
+    if action_a and action_b:
+        counts.append(F.count_if(F.col(action_a).eqNullSafe(F.col(action_b))).alias("action"))
+        names.append("action")
+    out = known.groupBy(*keys).agg(*counts)
+    return out.withColumns({f"{n}_rate": half_up(F.col(n) / F.col("compared"), 4) for n in names})
+
+
 def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n, observed and expected agreement, kappa. With expected 1: kappa 1 if observed is 1, else null."""
     cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import half_up
+
 
 def quality_counts() -> list[Column]:
     return [F.count_if(F.col("quality") == q).alias(f"quality_{q}") for q in ("passed", "failed", "unknown")]
@@ -23,17 +25,17 @@ def modality_summary(cases: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def case_routes(cases: DataFrame, reports: DataFrame) -> DataFrame:
-    """For each case its models, sources and tiers, each once, by first place, joined by semicolons; and its warnings."""
-    firsts = {}
-    for name in ("model", "source", "evidence_tier"):
-        once = reports.groupBy("case_id", name).agg(F.min("pos").alias("first"))
-        listed = F.array_sort(F.collect_list(F.struct("first", F.col(name).alias("x"))))
-        firsts[name] = once.groupBy("case_id").agg(F.array_join(F.transform(listed, lambda s: s["x"]), ";").alias(f"{name}s"))
-    out = cases.select("case_id", "reader").join(reports.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")), "case_id", "left")
-    for df in firsts.values():
-        out = out.join(df, "case_id", "left")
-    texts = [F.coalesce(F.col(f"{name}s"), F.lit("")).alias(f"{name}s") for name in firsts]
-    return out.select("case_id", "reader", F.coalesce("n", F.lit(0)).cast("long").alias("report_count"), *texts)
+    """For each case its reports, gate results, and its models, sources and tiers, each once, by first place, joined by semicolons.
+
+    Reports are reduced to one row a case in one aggregation; a case has a few reports.
+    """
+    names = ("model", "source", "evidence_tier")
+    lists = [F.collect_set(F.struct("pos", F.col(name).alias("x"))).alias(name) for name in names]
+    by_case = reports.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), *quality_counts(), *lists)
+    out = cases.select("case_id", "reader").join(by_case, "case_id", "left")
+    texts = [F.coalesce(F.array_join(F.array_distinct(F.transform(F.array_sort(name), lambda s: s["x"])), ";"), F.lit("")).alias(f"{name}s") for name in names]
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("quality_passed", "quality_failed", "quality_unknown")]
+    return out.select("case_id", "reader", F.coalesce("n", F.lit(0)).cast("long").alias("report_count"), *counts, *texts)
 
 
 def counters(reports: DataFrame) -> DataFrame:
@@ -55,3 +57,37 @@ def truncation_rollup(rows: DataFrame, key: str, flag: Column) -> DataFrame:
     """Rows and flagged rows for each key, and over all under ``total``."""
     out = rows.rollup(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("flagged"), F.grouping(key).alias("g"))
     return out.select(F.when(F.col("g") == 1, "total").otherwise(F.col(key)).alias(key), "n", "flagged")
+
+
+def manifest_counts(cases: DataFrame, columns: list[str], present: dict[str, Column]) -> DataFrame:
+    """kind, value, n and for each named condition how many cases meet it: by each column, and over all cases, in one pass."""
+    sets = cases.groupingSets([*([c] for c in columns), []], *columns)
+    out = sets.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(name) for name, c in present.items()), *(F.grouping(c).alias(f"__{c}") for c in columns))
+    kind = F.coalesce(*(F.when(F.col(f"__{c}") == 0, c) for c in columns), F.lit("all"))
+    return out.select(kind.alias("kind"), F.coalesce(*columns, F.lit("all")).alias("value"), "n", *present)
+
+
+def max_merged(*counters: DataFrame) -> DataFrame:
+    """Counters (key, n) merged by their largest count, not their sum."""
+    out = counters[0]
+    for more in counters[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("key").agg(F.max("n").alias("n"))
+
+
+def denominators(cases: DataFrame, succeeded: DataFrame, keys: list[str]) -> DataFrame:
+    """Source, success and failure counts of each group and the success rate; ``succeeded`` has the cases with a result, once or more."""
+    ok = succeeded.groupBy("case_id").agg(F.count(F.lit(1)).alias("__ok"))
+    out = cases.join(ok, "case_id", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("source_count"), F.count("__ok").alias("success_count"))
+    rate = half_up(F.col("success_count") / F.greatest("source_count", F.lit(1)), 4)
+    return out.withColumn("failure_count", F.col("source_count") - F.col("success_count")).withColumn("success_rate", rate)
+
+
+def generation_summary(reports: DataFrame, keys: list[str], text: str, chars: str) -> DataFrame:
+    """Reports of each group: all, empty, distinct ones and their share, and their lengths."""
+    shown = F.nullif(F.trim(text), F.lit(""))
+    out = reports.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(shown.isNull()).alias("empty"), F.countDistinct(shown).alias("unique_reports"),
+        F.min(chars).alias("shortest"), F.max(chars).alias("longest"), half_up(F.avg(chars), 4).alias("mean_chars"),
+    )
+    return out.withColumn("unique_rate", half_up(F.col("unique_reports") / F.greatest("n", F.lit(1))))

@@ -85,8 +85,8 @@ SQL: dict[str, str] = {
   SELECT case_id, 'm' AS k, model AS x, min(pos) AS p FROM reports GROUP BY case_id, model UNION ALL
   SELECT case_id, 's', source, min(pos) FROM reports GROUP BY case_id, source UNION ALL
   SELECT case_id, 't', evidence_tier, min(pos) FROM reports GROUP BY case_id, evidence_tier
-), l AS (SELECT case_id, k, string_agg(x, ';' ORDER BY p, x) AS t FROM f GROUP BY case_id, k), n AS (SELECT case_id, count(*) AS n FROM reports GROUP BY case_id)
-SELECT c.case_id, reader, coalesce(n, 0) AS report_count, coalesce(m.t, '') AS models, coalesce(s.t, '') AS sources, coalesce(e.t, '') AS evidence_tiers
+), l AS (SELECT case_id, k, string_agg(x, ';' ORDER BY p, x) AS t FROM f GROUP BY case_id, k), n AS (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE quality = 'passed') AS qp, count(*) FILTER (WHERE quality = 'failed') AS qf, count(*) FILTER (WHERE quality = 'unknown') AS qu FROM reports GROUP BY case_id)
+SELECT c.case_id, reader, coalesce(n, 0) AS report_count, coalesce(qp, 0) AS quality_passed, coalesce(qf, 0) AS quality_failed, coalesce(qu, 0) AS quality_unknown, coalesce(m.t, '') AS models, coalesce(s.t, '') AS sources, coalesce(e.t, '') AS evidence_tiers
 FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m.case_id AND m.k = 'm' LEFT JOIN l s ON c.case_id = s.case_id AND s.k = 's' LEFT JOIN l e ON c.case_id = e.case_id AND e.k = 't'""",
     "global_counters": _with(_REPORTS) + """SELECT 'model' AS kind, model AS value, count(*) AS n FROM reports GROUP BY model UNION ALL SELECT 'source', source, count(*) FROM reports GROUP BY source
   UNION ALL SELECT 'evidence_tier', evidence_tier, count(*) FROM reports GROUP BY evidence_tier""",
@@ -101,8 +101,10 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   SELECT reader, v AS overall_score, {_r('100e0 * ((SELECT count(*) FROM s b WHERE b.v < a.v) + 0.5e0 * (SELECT count(*) FROM s b WHERE b.v = a.v)) / (SELECT count(*) FROM s)')} AS percentile FROM s a""",
     "modelwise_weighted": _with(_CASES, _REPORTS, _VALUES) + f""", w AS (SELECT *, CASE WHEN model = 'm5' THEN 1e0 ELSE 0.5e0 * CAST(substr(model, 2) AS INTEGER) END AS w FROM vals)
   SELECT modality, metric, {_r('sum(value * w) / sum(w)')} AS weighted_mean FROM w GROUP BY modality, metric HAVING sum(w) <> 0""",
-    "hazardwise_weighted": _with(_REPORTS) + f""", e AS (SELECT *, CAST(1 + k2 % 5 AS INTEGER) AS level FROM reports WHERE evidence_tier NOT IN ('mock', 'debug_fallback') AND source NOT IN ('mock', 'mock_fallback', 'fallback', 'local_vlm_fallback'))
-  SELECT level, count(*) AS n, {_r('avg(finding_coverage * CASE WHEN level >= 4 THEN 2e0 WHEN level = 1 THEN 0.5e0 ELSE 1e0 END)')} AS weighted_coverage FROM e GROUP BY level""",
+    "hazardwise_weighted": _with(_REPORTS) + f""", e AS (SELECT *, CAST(1 + k2 % 5 AS INTEGER) AS level, CASE WHEN k1 % 2 = 0 THEN 'omission_finding' ELSE 'false_finding' END AS error_type FROM reports
+    WHERE evidence_tier NOT IN ('mock', 'debug_fallback') AND source NOT IN ('mock', 'mock_fallback', 'fallback', 'local_vlm_fallback')),
+  w(error_type, level, w) AS (VALUES ('omission_finding', 4, 2e0), ('omission_finding', 5, 3e0), ('false_finding', 5, 1.5e0), ('false_finding', 1, 0.5e0))
+  SELECT error_type, level, count(*) AS n, {_r('avg(finding_coverage * coalesce(w, 1e0))')} AS weighted FROM e LEFT JOIN w USING (error_type, level) GROUP BY error_type, level""",
     "department_denominators": _with(_CASES, _REPORTS) + f""", s AS (SELECT modality, count(*) AS source_count, count(*) FILTER (WHERE case_id IN (SELECT case_id FROM eligible)) AS success_count FROM cases GROUP BY modality)
   SELECT modality, source_count, success_count, source_count - success_count AS failure_count, {_r('success_count / greatest(source_count, 1)', 4)} AS success_rate FROM s""",
     "peer_gap": _GAP + " SELECT * FROM g",
@@ -114,8 +116,9 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   c AS (SELECT *, max(CASE WHEN rank = 3 THEN low END) OVER (PARTITION BY case_id) AS cl, max(CASE WHEN rank = 3 THEN high END) OVER (PARTITION BY case_id) AS ch FROM i),
   x AS (SELECT *, coalesce(low <= ch AND cl <= high, false) AS uncertainty_overlap FROM c)
   SELECT case_id, pos, k1, k2, k3, model, score, rank, uncertainty_overlap FROM x WHERE rank <= 3 OR uncertainty_overlap""",
-    "hazard_agreement": _with(_HAZARDS) + f""", c AS (SELECT error_type, count(*) AS compared, count(*) FILTER (WHERE level = review_level) AS exact, count(*) FILTER (WHERE abs(level - review_level) <= 1) AS within_one FROM hazards GROUP BY error_type)
-  SELECT *, {_r('exact / compared', 4)} AS exact_rate, {_r('within_one / compared', 4)} AS within_one_rate FROM c""",
+    "hazard_agreement": _with(_HAZARDS) + f""", c AS (SELECT error_type, count(*) AS compared, count(*) FILTER (WHERE level = review_level) AS exact, count(*) FILTER (WHERE abs(level - review_level) <= 1) AS within_one,
+    count(*) FILTER (WHERE level % 3 = review_level % 3) AS action FROM hazards GROUP BY error_type)
+  SELECT *, {_r('exact / compared', 4)} AS exact_rate, {_r('within_one / compared', 4)} AS within_one_rate, {_r('action / compared', 4)} AS action_rate FROM c""",
     "hazard_consensus": _with(_HAZARDS) + """, c AS (SELECT case_id, CASE WHEN level = review_level THEN level WHEN NOT abstain THEN review_level END AS consensus FROM hazards)
   SELECT case_id, coalesce(max(consensus), 0) AS max_level, count(*) FILTER (WHERE consensus >= 3) AS material, count(*) FILTER (WHERE consensus >= 2) AS nontrivial, count(*) FILTER (WHERE consensus IS NULL) AS unresolved FROM c GROUP BY case_id""",
     "hazard_histograms": _with(_HAZARDS) + "SELECT error_type, level, count(*) AS n FROM hazards GROUP BY error_type, level",
@@ -126,8 +129,8 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   x AS (SELECT sum((1 - ((a - b) / 4e0) * ((a - b) / 4e0)) * na * nb) AS c FROM (SELECT level AS a, count(*) AS na FROM hazards GROUP BY a), (SELECT review_level AS b, count(*) AS nb FROM hazards GROUP BY b)),
   k AS (SELECT n, o, c / (n * n) AS e FROM t, x) SELECT n, {_r('o')} AS observed, {_r('e')} AS expected, {_r('(o - e) / (1 - e)')} AS kappa FROM k""",
     "agreement_sets": _with(_FINDINGS) + """, o AS (SELECT case_id, observation, bool_or(side = 'cand') AS c, bool_or(side = 'ref') AS r FROM findings GROUP BY case_id, observation),
-  l AS (SELECT case_id, coalesce(string_agg(observation, ';' ORDER BY observation) FILTER (c AND NOT r), '') AS only_cand, coalesce(string_agg(observation, ';' ORDER BY observation) FILTER (r AND NOT c), '') AS only_ref FROM o GROUP BY case_id)
-  SELECT *, only_cand = '' AND only_ref = '' AS exact FROM l""",
+  l AS (SELECT case_id, coalesce(string_agg(observation, ';' ORDER BY observation) FILTER (c AND NOT r), '') AS only_one, coalesce(string_agg(observation, ';' ORDER BY observation) FILTER (r AND NOT c), '') AS only_two FROM o GROUP BY case_id)
+  SELECT *, only_one = '' AND only_two = '' AS exact FROM l""",
     "alignment_pair_scores": _with(_FINDINGS) + """, p AS (SELECT c.case_id, 100
     + CASE WHEN 'unspecified' IN (c.location, r.location) THEN 4 WHEN c.location = r.location THEN 20 ELSE 0 END
     + CASE WHEN 'unknown' IN (c.laterality, r.laterality) THEN 2 WHEN c.laterality = r.laterality THEN 15 ELSE -10 END
@@ -137,10 +140,10 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   SELECT case_id, count(*) AS pairs, CAST(max(points) AS BIGINT) AS best, CAST(sum(points) AS BIGINT) AS total FROM p GROUP BY case_id""",
     "merge_batches_coverage": _with(_CASES) + """, d AS (SELECT case_id FROM cases WHERE batch <> 3 UNION SELECT -case_id - 1 FROM cases WHERE case_id % 50 = 0)
   SELECT case_id, 'missing' AS problem FROM cases WHERE case_id NOT IN (SELECT case_id FROM d) UNION ALL SELECT case_id, 'extra' FROM d WHERE case_id NOT IN (SELECT case_id FROM cases)""",
-    "merged_batches": _with(_CASES) + """, m AS (SELECT case_id, batch FROM cases UNION ALL SELECT case_id, batch FROM cases WHERE case_id % 40 = 0), c AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS k FROM m)
-  SELECT batch, count(*) AS rows, count(*) FILTER (WHERE k > 1) AS duplicated FROM c GROUP BY batch""",
-    "manifest_summary": _with(_CASES) + """SELECT 'modality' AS kind, modality AS value, count(*) AS n, count(*) FILTER (WHERE reader = 'reader_0') AS reader_0 FROM cases GROUP BY modality
-  UNION ALL SELECT 'body_part', body_part, count(*), count(*) FILTER (WHERE reader = 'reader_0') FROM cases GROUP BY body_part UNION ALL SELECT 'all', 'all', count(*), count(*) FILTER (WHERE reader = 'reader_0') FROM cases""",
+    "merged_batches": _with(_CASES) + """, m AS (SELECT case_id, batch, batch AS batch_no FROM cases UNION ALL SELECT case_id, batch, 5 FROM cases WHERE case_id % 40 = 0), c AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS k FROM m)
+  SELECT batch, batch_no, count(*) AS rows, count(*) FILTER (WHERE k > 1) AS duplicated FROM c GROUP BY batch, batch_no""",
+    "manifest_summary": _with(_CASES) + """, f AS (SELECT modality, body_part, (reader = 'reader_0')::INT AS r, (batch = 0)::INT AS b FROM cases), k AS (SELECT 'modality' AS kind, modality AS value, r, b FROM f UNION ALL SELECT 'body_part', body_part, r, b FROM f UNION ALL SELECT 'all', 'all', r, b FROM f)
+  SELECT kind, value, count(*) AS n, CAST(sum(r) AS BIGINT) AS reader_0, CAST(sum(b) AS BIGINT) AS first_batch FROM k GROUP BY kind, value""",
     "count_max_merge": _with(_CASES, _REPORTS) + """, u AS (SELECT modality AS key, count(*) AS n FROM cases GROUP BY modality UNION ALL SELECT modality, count(*) FROM reports JOIN cases USING (case_id) WHERE quality = 'failed' GROUP BY modality)
   SELECT key, max(n) AS n FROM u GROUP BY key""",
     "benchmark_summary": f"""WITH s AS (SELECT source, nullif(trim(text), '') AS t, n_chars FROM documents), a AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE t IS NULL) AS empty, count(DISTINCT t) AS unique_reports, min(n_chars) AS shortest, max(n_chars) AS longest, {_r('avg(n_chars)', 4)} AS mean_chars FROM s GROUP BY source)
@@ -150,8 +153,11 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   p AS (SELECT case_id, modality, body_part, count(g) AS routes FROM cases LEFT JOIN m ON supported = modality OR (supported = 'unknown' AND body_part = '1-URGENT') GROUP BY ALL),
   s AS (SELECT modality, body_part, count(*) AS cases, count(*) FILTER (WHERE routes > 0) AS covered, CAST(sum(routes) AS BIGINT) AS routes FROM p GROUP BY modality, body_part) SELECT *, {_r('covered / greatest(cases, 1)')} AS coverage FROM s""",
     "stratified_sample": _with(_CASES) + """, t AS (SELECT case_id, modality, body_part, row_number() OVER (PARTITION BY modality, body_part ORDER BY case_id) AS turn FROM cases) SELECT * FROM t ORDER BY turn, modality, body_part LIMIT 100""",
-    "coverage_cartesian": _with(_CASES, _REPORTS) + """, w AS (SELECT case_id, model FROM (SELECT case_id FROM cases), (SELECT 'm' || CAST(i AS VARCHAR) AS model FROM range(8) t(i))),
-  x AS (SELECT * FROM w EXCEPT SELECT case_id, model FROM reports) SELECT model, count(*) AS missing_cases FROM x GROUP BY model""",
+    "coverage_cartesian": _with(_CASES, _REPORTS) + """, w AS (SELECT case_id, candidate, repeat FROM cases, (SELECT 'm' || CAST(i AS VARCHAR) AS candidate FROM range(7) t(i)), (VALUES (1), (2)) r(repeat)),
+  g AS (SELECT case_id, model AS candidate, 1 + pos % 2 AS repeat, count(*) AS k FROM reports GROUP BY ALL),
+  p AS (SELECT candidate, repeat, CASE WHEN w.one IS NULL THEN 'extra' WHEN g.k IS NULL THEN 'missing' WHEN g.k > 1 THEN 'duplicate' END AS problem
+    FROM (SELECT *, 1 AS one FROM w) w FULL JOIN g USING (case_id, candidate, repeat))
+  SELECT candidate, repeat, problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY ALL""",
     "ambiguous_hash_join": "SELECT min(doc_id) AS doc_id, sha256(text) AS text_sha256 FROM documents GROUP BY text_sha256 HAVING min(doc_id) = max(doc_id)",
     "unique_finding_ids": """WITH i AS (SELECT conv_id, turn, role, role || '_' || CAST(conv_id % 20 AS VARCHAR) AS id FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY conv_id, turn, role) AS n FROM i)
   SELECT conv_id, turn, CASE WHEN n = 1 THEN id ELSE id || '-' || CAST(n AS VARCHAR) END AS unique_id FROM n""",

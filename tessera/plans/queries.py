@@ -97,17 +97,14 @@ def modelwise_weighted(spark, d):
 
 @query
 def hazardwise_weighted(spark, d):
-    rows = A.reports(spark, d).withColumn("level", (1 + F.col("k2") % 5).cast("int"))
-    weighed = _eligible(rows, for_hazards).withColumn("w", F.when(F.col("level") >= 4, 2.0).when(F.col("level") == 1, 0.5).otherwise(1.0))
-    return weighed.groupBy("level").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg(F.col("finding_coverage") * F.col("w"))).alias("weighted_coverage"))
+    rows = A.reports(spark, d).withColumns({"level": (1 + F.col("k2") % 5).cast("int"), "error_type": F.when(F.col("k1") % 2 == 0, "omission_finding").otherwise("false_finding")})
+    weights = {("omission_finding", 4): 2.0, ("omission_finding", 5): 3.0, ("false_finding", 5): 1.5, ("false_finding", 1): 0.5}
+    return statistics.hazard_weighted(_eligible(rows, for_hazards), "finding_coverage", weights, ["error_type", "level"])
 
 
 @query
 def department_denominators(spark, d):
-    eligible = _eligible(A.reports(spark, d)).groupBy("case_id").agg(F.count(F.lit(1)).alias("ok"))
-    joined = A.cases(spark, d).join(eligible, "case_id", "left")
-    out = joined.groupBy("modality").agg(F.count(F.lit(1)).alias("source_count"), F.count("ok").alias("success_count"))
-    return out.withColumn("failure_count", F.col("source_count") - F.col("success_count")).withColumn("success_rate", half_up(F.col("success_count") / F.greatest("source_count", F.lit(1)), 4))
+    return summaries.denominators(A.cases(spark, d), _eligible(A.reports(spark, d)), ["modality"])
 
 
 @query
@@ -158,11 +155,8 @@ def holm_adjusted(spark, d):
 
 @query
 def hazard_agreement(spark, d):
-    rows = A.hazards(spark, d)
-    same, near = F.count_if(F.col("level") == F.col("review_level")), F.count_if(F.abs(F.col("level") - F.col("review_level")) <= 1)
-    out = rows.groupBy("error_type").agg(F.count(F.lit(1)).alias("compared"), same.alias("exact"), near.alias("within_one"))
-    rate = lambda c: F.when(F.col("compared") == 0, 1.0).otherwise(half_up(F.col(c) / F.col("compared"), 4))
-    return out.withColumn("exact_rate", rate("exact")).withColumn("within_one_rate", rate("within_one"))
+    rows = A.hazards(spark, d).withColumns({"action": F.col("level") % 3, "review_action": F.col("review_level") % 3})
+    return statistics.level_agreement(rows, "level", "review_level", ["error_type"], "action", "review_action")
 
 
 @query
@@ -190,10 +184,7 @@ def weighted_kappa_levels(spark, d):
 
 @query
 def agreement_sets(spark, d):
-    rows = A.findings(spark, d).groupBy("case_id", "observation").agg(F.bool_or(F.col("side") == "cand").alias("c"), F.bool_or(F.col("side") == "ref").alias("r"))
-    listed = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.col("observation")))), ";")
-    out = rows.groupBy("case_id").agg(listed(F.col("c") & ~F.col("r")).alias("only_cand"), listed(F.col("r") & ~F.col("c")).alias("only_ref"))
-    return out.withColumn("exact", (F.col("only_cand") == "") & (F.col("only_ref") == ""))
+    return statistics.side_differences(A.findings(spark, d), "observation", F.col("side") == "cand", F.col("side") == "ref", ["case_id"])
 
 
 @query
@@ -228,29 +219,23 @@ def merge_batches_coverage(spark, d):
 def merged_batches(spark, d):
     cases = A.cases(spark, d).select("case_id", "batch")
     parts = [cases.where(f"batch = {b}") for b in range(5)] + [cases.where("case_id % 40 = 0")]
-    return coverage.merge_batches(parts).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("copies") > 1).alias("duplicated"))
+    return coverage.merge_batches(parts).groupBy("batch", "batch_no").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("copies") > 1).alias("duplicated"))
 
 
 @query
 def manifest_summary(spark, d):
-    sets = A.cases(spark, d).groupingSets([["modality"], ["body_part"], []], "modality", "body_part")
-    out = sets.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reader") == "reader_0").alias("reader_0"), F.grouping_id().alias("g"))
-    kind = F.when(F.col("g") == 1, "modality").when(F.col("g") == 2, "body_part").otherwise("all")
-    return out.select(kind.alias("kind"), F.coalesce("modality", "body_part", F.lit("all")).alias("value"), "n", "reader_0")
+    return summaries.manifest_counts(A.cases(spark, d), ["modality", "body_part"], {"reader_0": F.col("reader") == "reader_0", "first_batch": F.col("batch") == 0})
 
 
 @query
 def count_max_merge(spark, d):
-    a = A.cases(spark, d).groupBy(F.col("modality").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    b = A.reports(spark, d).join(A.cases(spark, d), "case_id").where("quality = 'failed'").groupBy(F.col("modality").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return a.unionByName(b).groupBy("key").agg(F.max("n").alias("n"))
+    failed = A.reports(spark, d).where("quality = 'failed'").join(A.cases(spark, d), "case_id")
+    return summaries.max_merged(*(df.groupBy(F.col("modality").alias("key")).agg(F.count(F.lit(1)).alias("n")) for df in (A.cases(spark, d), failed)))
 
 
 @query
 def benchmark_summary(spark, d):
-    shown = F.nullif(F.trim("text"), F.lit(""))
-    out = A.table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(shown.isNull()).alias("empty"), F.countDistinct(shown).alias("unique_reports"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), half_up(F.avg("n_chars"), 4).alias("mean_chars"))
-    return out.withColumn("unique_rate", half_up(F.col("unique_reports") / F.greatest("n", F.lit(1))))
+    return summaries.generation_summary(A.table(spark, d, "documents"), ["source"], "text", "n_chars")
 
 
 @query
@@ -260,11 +245,10 @@ def truncation_rollup(spark, d):
 
 @query
 def plan_coverage_by_stratum(spark, d):
-    models = spark.range(6).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("g"), F.element_at(F.array(F.lit("ct"), F.lit("mri"), F.lit("unknown"), F.lit("ct"), F.lit("pet"), F.lit("mri")), (F.col("id") + 1).cast("int")).alias("supported"))
-    plan = A.cases(spark, d).join(F.broadcast(models), (F.col("supported") == F.col("modality")) | ((F.col("supported") == "unknown") & (F.col("body_part") == "1-URGENT")), "left")
-    by_case = plan.groupBy("case_id", "modality", "body_part").agg(F.count("g").alias("routes"))
-    out = by_case.groupBy("modality", "body_part").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("routes") > 0).alias("covered"), F.sum("routes").alias("routes"))
-    return out.withColumn("coverage", half_up(F.col("covered") / F.greatest("cases", F.lit(1))))
+    supported = F.element_at(F.array(*map(F.lit, ("ct", "mri", "unknown", "ct", "pet", "mri"))), (F.col("id") + 1).cast("int"))
+    models = spark.range(6).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("model"), supported.alias("supported"))
+    cases = A.cases(spark, d)
+    return coverage.plan_coverage(cases, coverage.compatible(cases, models, F.col("body_part") == "1-URGENT"), ["modality", "body_part"])
 
 
 @query
@@ -274,9 +258,9 @@ def stratified_sample(spark, d):
 
 @query
 def coverage_cartesian(spark, d):
-    models = spark.range(8).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"))
-    missing = coverage.incomplete(A.cases(spark, d), models, A.reports(spark, d))
-    return missing.groupBy("model").agg(F.count(F.lit(1)).alias("missing_cases"))
+    rows = A.reports(spark, d).select("case_id", F.col("model").alias("candidate"), (1 + F.col("pos") % 2).alias("repeat"))
+    problems = coverage.plan_problems(A.cases(spark, d), [f"m{i}" for i in range(7)], 2, rows)
+    return problems.groupBy("candidate", "repeat", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import quality as Q
 from tessera.functions import text as T
 from tessera.functions.numbers import half_up
-from tessera.operators import matching, ranking, state, statistics
+from tessera.operators import coverage, matching, ranking, state, statistics
 from tessera.operators.eligibility import evidence_tier, for_hazards, for_ranking, for_statistics
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.sources import readers, writers
@@ -16,7 +16,7 @@ from tessera.streaming import progress
 
 SF = "/root/testdata/sf0.001"
 #: Queries that cross with a table of a few rows by definition: candidates, models, and totals of one row.
-LOOPS = {"coverage_cartesian", "plan_coverage_by_stratum", "cohen_kappa_labels", "weighted_kappa_levels", "benchmark_selection_blockers"}
+LOOPS = {"cohen_kappa_labels", "weighted_kappa_levels", "benchmark_selection_blockers"}
 
 
 @pytest.fixture(scope="module")
@@ -73,14 +73,11 @@ def test_pairs_are_compared_whole(spark, tmp_path):
     assert shared[0] == (5, 4) and shared[2] == (1, 0)
 
 
-def test_coverage_reports_every_modality(spark):
-    from tessera.plans import adapters as A
-
-    cases = {r.case_id for r in A.cases(spark, SF).select("case_id").collect()}
-    done = {(r.case_id, r.model) for r in A.reports(spark, SF).select("case_id", "model").collect()}
-    want = {f"m{i}": sum((c, f"m{i}") not in done for c in cases) for i in range(8)}
-    assert A.cases(spark, SF).where("modality <> 'ct'").count()
-    assert {r.model: r.missing_cases for r in QUERIES["coverage_cartesian"](spark, SF).collect()} == want
+def test_plans_are_held_against_their_results(spark):
+    cases = spark.createDataFrame([(1,), (2,)], "case_id int")
+    done = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "a", 2), (2, "a", 1), (2, "b", 1), (3, "a", 1)], "case_id int, candidate string, repeat int")
+    found = sorted(map(tuple, coverage.plan_problems(cases, ["a"], 2, done).collect()))
+    assert found == [(1, "a", 1, "duplicate"), (2, "a", 2, "missing"), (2, "b", 1, "extra"), (3, "a", 1, "extra")]
 
 
 def one(spark, column, **values):
