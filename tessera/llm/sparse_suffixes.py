@@ -10,8 +10,9 @@ over sampled ranges, so that suffixes with a common beginning are neighbours, an
 the CORE words that a run of neighbours shares, matches are extended to the left and to the right over the passages whose
 stretch picks this place; adjoining passages form the spans.
 
-A run may be cut by a border between two ranges, and a common passage makes a run of any length. The first and last run of a
-range, and runs of more than ``RUN`` rows, are therefore settled by digests of their passages, combined before a shuffle.
+A run may be cut by a border between two ranges, and a common passage makes a run of any length. Of the first and last run of
+a range, and of parts of ``RUN`` rows of longer ones, passages that only one document has there are therefore compared by their
+digests with those of the other parts; a part sends each of its passages once.
 """
 
 from __future__ import annotations
@@ -201,64 +202,67 @@ class Run:
         self.contexts.setdefault((before, suffix), []).append((doc, place))
         self.rows += 1
 
-    def matches(self) -> Iterator[tuple[int, int, int]]:
-        """(doc, first start, last start) of neighbouring passages that another document's suffix of the run has too."""
-        only: dict[bytes, int | None] = {}  # the one document of a passage, or None if there are more
+    def matches(self, whole: bool) -> Iterator[tuple]:
+        """(doc, first start, last start, None, None) of neighbouring passages that another document's suffix of the run has too.
+
+        Unless the run is whole, also what must be compared elsewhere: (least doc, None, None, digest, largest doc) of passages
+        that several documents have here, and (doc, start, start, digest, doc) of the others.
+        """
+        owners: dict[bytes, tuple[int, int]] = {}
         for (before, suffix), rows in self.contexts.items():
-            doc = rows[0][0]
-            owner = doc if all(d == doc for d, _ in rows) else None
+            low, high = min(rows)[0], max(rows)[0]
             for p in passages(before, suffix):
-                if only.setdefault(p, owner) != owner:
-                    only[p] = None
+                a, b = owners.get(p, (low, high))
+                owners[p] = min(a, low), max(b, high)
         for (before, suffix), rows in self.contexts.items():
             left = before.count(b" ") + 1 if before else 0
             open_ = None
-            found = [only[p] is None for p in passages(before, suffix)]
+            every = passages(before, suffix)
+            found = [owners[p][0] != owners[p][1] for p in every]
             for i, hit in enumerate([*found, False]):
                 if hit and open_ is None:
                     open_ = i
                 elif not hit and open_ is not None:
-                    yield from ((d, place - left + open_, place - left + i - 1) for d, place in rows)
+                    yield from ((d, place - left + open_, place - left + i - 1, None, None) for d, place in rows)
                     open_ = None
-
-    def digests(self) -> Iterator[tuple[int, int, int, bytes]]:
-        """As rows (doc, start, start, digest of the passage), to be compared elsewhere."""
-        for (before, suffix), rows in self.contexts.items():
-            left = before.count(b" ") + 1 if before else 0
-            for i, p in enumerate(passages(before, suffix)):
-                key = blake2b(p, digest_size=16).digest()
-                yield from ((d, place - left + i, place - left + i, key) for d, place in rows)
+            if not whole:
+                for i, p in enumerate(every):
+                    if not found[i]:
+                        key = blake2b(p, digest_size=16).digest()
+                        yield from ((d, place - left + i, place - left + i, key, d) for d, place in rows)
+        if not whole:
+            for p, (low, high) in owners.items():
+                if low != high:
+                    yield low, None, None, blake2b(p, digest_size=16).digest(), high
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     while part := list(islice(rows, 50_000)):
-        doc, first, last, key = zip(*part)
+        doc, first, last, key, high = zip(*part)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(key, pa.binary())], names=["doc_id", "first", "last", "key"]
+            [pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(key, pa.binary()), pa.array(high, pa.int64())],
+            names=["doc_id", "first", "last", "key", "high"],
         )
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in suffix order to matches: doc_id, first and last start, and a key only where the match is not settled here."""
+    """Rows in suffix order to ``Run.matches``; the first and last run of a partition, and long ones, are not whole."""
 
     def rows() -> Iterator[tuple]:
-        run, inner, closed = None, False, True  # whether the run began behind another one, and fits
+        run, whole = None, False
         for batch in batches:
             for suffix, core, before, doc, place in zip(*(c.to_pylist() for c in batch.columns)):
                 start = suffix[:core]
                 if run is None or start != run.core:
                     if run is not None:
-                        yield from settled(run, inner and closed)
-                    run, inner, closed = Run(start), run is not None, True
+                        yield from run.matches(whole)
+                    run, whole = Run(start), run is not None
                 run.add(before, suffix, doc, place)
-                if run.rows >= RUN:  # too long: passed on in parts
-                    yield from run.digests()
-                    run, closed = Run(start), False
+                if run.rows >= RUN:
+                    yield from run.matches(False)
+                    run, whole = Run(start), False
         if run is not None:
-            yield from run.digests()
-
-    def settled(run: Run, whole: bool) -> Iterator[tuple]:
-        return ((*m, None) for m in run.matches()) if whole else run.digests()
+            yield from run.matches(False)
 
     return _batches(rows())
 
@@ -311,12 +315,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     suffixes = texts.mapInArrow(_suffixes, "key bigint, doc_id bigint, place int")
     places = repeated(suffixes, ["key"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     kept = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "suffix binary, core int, before binary, doc_id bigint, place int")
-    order = ["suffix", "before", "doc_id"]
-    ordered = kept.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    found = stored(ordered.mapInArrow(_extended, "doc_id bigint, first int, last int, key binary"))
-    unsure = found.where("key IS NOT NULL")
-    keys = unsure.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
-    matches = found.where("key IS NULL").union(unsure.join(keys, "key", "left_semi").select(*found.columns)).select("doc_id", "first", "last")
+    # The range key is bounded, whatever the words: the core and a hash of the rest, so that a common core is cut into ranges too.
+    beginning = F.expr("substring(suffix, 1, core)")
+    ordered = kept.repartitionByRange(partitions(docs.sparkSession), beginning, F.xxhash64("suffix", "before", "doc_id")).sortWithinPartitions("suffix", "before", "doc_id")
+    found = stored(ordered.mapInArrow(_extended, "doc_id bigint, first int, last int, key binary, high bigint"))
+    keyed = found.where("key IS NOT NULL")
+    keys = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("high").alias("top")).where("low <> top").select("key")
+    unsure = keyed.where("first IS NOT NULL").join(keys, "key", "left_semi")
+    matches = found.where("key IS NULL").select("doc_id", "first", "last").union(unsure.select("doc_id", "first", "last"))
     line = Window.partitionBy("doc_id").orderBy("first", "last")
     reach = F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1)) + LEAST
     opens = F.coalesce((F.col("first") > reach).cast("int"), F.lit(1))

@@ -332,8 +332,8 @@ def test_matches_are_extended_as_all_passages_say(monkeypatch, longest):
     found = pa.Table.from_batches(sparse_suffixes._extended(iter(rows.to_batches(max_chunksize=7)))).to_pylist()
     keys = {}
     for r in found:
-        keys.setdefault(r["key"], set()).add(r["doc_id"])
-    sure = [r for r in found if r["key"] is None or len(keys[r["key"]]) > 1]
+        keys.setdefault(r["key"], set()).update((r["doc_id"], r["high"]))
+    sure = [r for r in found if r["first"] is not None and (r["key"] is None or len(keys[r["key"]]) > 1)]
     assert {(r["doc_id"], at) for r in sure for at in range(r["first"], r["last"] + 1)} == _repeats(texts)
 
 
