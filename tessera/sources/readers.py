@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.commits import exists
+
 MANIFEST = T.StructType(
     [
         T.StructField("case_id", T.StringType()), T.StructField("id", T.StringType()), T.StructField("reader", T.StringType()),
@@ -35,21 +37,59 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tolerant_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The good rows of a JSONL manifest, and the bad lines as rows with an error."""
+    """The good rows of a JSONL manifest, and the bad lines as rows with an error, their file and a number that orders them in it."""
     with_bad = T.StructType([*MANIFEST.fields, T.StructField("_corrupt_record", T.StringType())])
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select(F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    parsed = F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
+    rows = lines.where(F.trim("value") != "").select(parsed, "__file", "__block", "__at").select("r.*", "__file", "__block", "__at")
     bad = F.col("_corrupt_record").isNotNull()
-    return _aliased(rows.where(~bad)), rows.where(bad).select(F.lit("invalid_manifest_jsonl").alias("error"), F.col("_corrupt_record").alias("line"))
+    wrong = rows.where(bad).select(
+        F.lit("invalid_manifest_jsonl").alias("error"), F.col("_corrupt_record").alias("line"), F.col("__file").alias("file"), F.struct(F.col("__block").alias("block"), F.col("__at").alias("at")).alias("place")
+    )
+    return _aliased(rows.where(~bad).drop("__file", "__block", "__at")), wrong
 
 
 def documents(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """One JSON object per file, with the path it came from."""
-    return spark.read.schema(schema).option("multiLine", True).json(pattern).select("*", F.col("_metadata.file_path").alias("path"))
+    """One JSON object per file, with the path it came from; a file that holds no object fails the read."""
+    texts = spark.read.text(pattern, wholetext=True).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("path"))
+    holds = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    checked = texts.withColumn("value", F.when(holds, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no JSON object in "), "path"))))
+    return checked.select(F.from_json("value", schema).alias("d"), "path").select("d.*", "path")
+
+
+def case_documents(spark: SparkSession, primary: str, fallback: str, schema: T.StructType) -> DataFrame:
+    """The documents ``<case>.json`` of two folders, by name; of a case that both have the first folder's. A missing folder is empty."""
+    found = []
+    for rank, folder in enumerate((primary, fallback)):
+        if exists(spark, folder):
+            found.append(documents(spark, f"{folder}/*.json", schema).withColumn("__rank", F.lit(rank)))
+    if not found:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("path", T.StringType()), T.StructField("case_id", T.StringType())]))
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    named = rows.withColumn("__case", F.regexp_extract("path", r"([^/]+)\.json$", 1))
+    fields = F.struct(*[c for c in named.columns if not c.startswith("__") and c != "case_id"])
+    first = named.groupBy("__case").agg(F.min_by(fields, F.struct("__rank", "path")).alias("d"))
+    return first.select("d.*", F.col("__case").alias("case_id"))
+
+
+def followed(rows: DataFrame, column: str, cases: DataFrame, roots: list[str]) -> DataFrame:
+    """Rows with the document that a path column names, joined by path: as it stands, else below each root in order.
+
+    ``cases`` are read once by ``documents`` (path and fields); there is no file access by row. A path that names none gives nulls.
+    """
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/+", "/"), "/+", "/")
+    tries = [F.col(column), *(F.concat(F.lit(r.rstrip("/") + "/"), F.col(column)) for r in roots)]
+    marked = rows.withColumn("__row", F.monotonically_increasing_id())
+    named = marked.select("__row", F.posexplode(F.array(*map(bare, tries))).alias("__try", "__path"))
+    body = cases.select(bare(F.col("path")).alias("__path"), F.struct(*[c for c in cases.columns if c != "path"]).alias("document"))
+    hit = named.join(body, "__path").groupBy("__row").agg(F.min_by("document", "__try").alias("document"))
+    return marked.join(hit, "__row", "left").drop("__row")
 
 
 def extract(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None) -> DataFrame:
-    """A CSV extract with a heading; ``limit`` is the display's row limit."""
+    """A CSV extract with a heading; ``limit`` is the display's row limit. A missing file is an empty table."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).option("header", True).csv(path)
     return rows.limit(limit) if limit is not None else rows
 
@@ -161,7 +201,8 @@ def discovered_cases(spark: SparkSession, root: str, readers: DataFrame | None =
 
 
 def runs(spark: SparkSession, path: str, limit: int = 50, status: str | None = None) -> DataFrame:
-    """The latest runs of a registry table, newest first, then by id; ``limit`` is the display's."""
+    """The latest runs of a registry table, newest first, then by id; ``limit`` is the display's, held to 1 to 1000."""
+    limit = min(1000, max(1, limit))
     rows = spark.read.parquet(path)
     rows = rows.where(F.col("status") == status) if status else rows
     return rows.orderBy(F.desc("created_at"), "run_id").limit(limit)

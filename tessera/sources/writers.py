@@ -15,7 +15,8 @@ def json_lines(rows: DataFrame, path: str, order: list[str], mode: str = "errori
 
 
 def csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a heading; an empty table keeps its columns."""
+    """CSV with a heading; an empty table keeps its columns, one without columns has the heading ``empty``."""
+    rows = rows if rows.columns else rows.select(F.lit(None).cast("string").alias("empty")).limit(0)
     rows.write.mode(mode).option("header", True).csv(path)
 
 

@@ -26,18 +26,31 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     return events.groupBy(F.session_window("ts", gap), "run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """For a stream: the state of each run after its legal steps, and how many steps were illegal so far."""
+def run_states(events: DataFrame, idle: str = "30 days") -> DataFrame:
+    """For a stream with a watermark on ``ts``: the state of each run after its legal steps, and how many steps were illegal so far.
+
+    Steps are taken in the order of ts and event_id within a batch; a step older than the last one taken is illegal. A run that
+    sends nothing for ``idle`` of event time is dropped from the state, so the state does not grow with all runs ever seen.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, illegal = state.get if state.exists else (None, 0)
-        for rows in parts:
-            for to in rows.sort_values(["ts", "event_id"])["status"]:
-                if to in ALLOWED.get(status, ()):
-                    status = to
-                else:
-                    illegal += 1
-        state.update((status, illegal))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, illegal, last = state.get if state.exists else (None, 0, -1)
+        rows = pd.concat(parts)
+        for at, to in rows.sort_values(["ts", "event_id"])[["ts", "status"]].itertuples(index=False):
+            moment = at.value // 1000
+            if moment >= last and to in ALLOWED.get(status, ()):
+                status, last = to, moment
+            else:
+                illegal += 1
+        state.update((status, illegal, last))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame({"run_id": [key[0]], "status": [status], "illegal": [illegal]})
 
-    return events.groupBy("run_id").applyInPandasWithState(fold, "run_id long, status string, illegal long", "status string, illegal long", "update", GroupStateTimeout.NoTimeout)
+    kind = events.schema["run_id"].dataType.simpleString()
+    return events.groupBy("run_id").applyInPandasWithState(
+        fold, f"run_id {kind}, status string, illegal long", "status string, illegal long, last long", "update", GroupStateTimeout.EventTimeTimeout
+    )
