@@ -17,6 +17,7 @@ from tessera.plans.evaluation_queries import EVALUATIONS, EVALUATIONS_SQL
 from tessera.plans.oracle import SQL
 from tessera.plans.rule_queries import RULES, RULES_SQL
 from tessera.plans.value_queries import VALUES, VALUES_SQL
+from tessera.plans.verification_queries import VERIFICATIONS, VERIFICATIONS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TIES = ["pos", "k1", "k2", "k3"]
@@ -377,5 +378,5 @@ def route_plan(spark, d):
     return counts.withColumn("fallback", F.col("routes") - F.col("local"))
 
 
-ORACLE_SQL = {**{k: v for k, v in SQL.items() if k in QUERIES}, **RULES_SQL, **VALUES_SQL, **EVALUATIONS_SQL}
-QUERIES.update(RULES | VALUES | EVALUATIONS)
+ORACLE_SQL = {**{k: v for k, v in SQL.items() if k in QUERIES}, **RULES_SQL, **VALUES_SQL, **EVALUATIONS_SQL, **VERIFICATIONS_SQL}
+QUERIES.update(RULES | VALUES | EVALUATIONS | VERIFICATIONS)

@@ -16,7 +16,7 @@ from tessera.streaming import progress
 
 SF = "/root/testdata/sf0.001"
 #: Queries that cross with a table of a few rows by definition: candidates, models, and totals of one row.
-LOOPS = {"cohen_kappa_labels", "weighted_kappa_levels", "benchmark_selection_blockers"}
+LOOPS = {"preflight", "cohen_kappa_labels", "weighted_kappa_levels", "benchmark_selection_blockers"}
 
 
 @pytest.fixture(scope="module")
