@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import personal_data
+from tessera.functions.text import modality, personal_data
 
 _LINE_END = r"(?:\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029])"
 #: Last lines of metadata after which a report is complete, and words that may end one.
@@ -94,9 +94,9 @@ def _terms_in(body: Column, key: Column, terms: dict[str, tuple[str, ...]]) -> C
     return out
 
 
-def foreign_terms(text: Column, modality: Column) -> Column:
+def foreign_terms(text: Column, kind: Column) -> Column:
     """The terms of other modalities that stand in the text as words, without recommendations of another examination."""
-    return _terms_in(without_advice(text), modality, FOREIGN_TERMS)
+    return _terms_in(without_advice(text), kind, FOREIGN_TERMS)
 
 
 def foreign_body_terms(text: Column, body_part: Column) -> Column:
@@ -104,9 +104,9 @@ def foreign_body_terms(text: Column, body_part: Column) -> Column:
     return _terms_in(F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(body_part, F.lit(""))), FOREIGN_BODY_TERMS)
 
 
-def quality_gate(text: Column, modality: Column, body_part: Column) -> Column:
+def quality_gate(text: Column, kind: Column, body_part: Column) -> Column:
     """A struct of passed, warnings and the conflicting terms. Only another modality blocks; another body part is a warning."""
-    parts, kinds = foreign_body_terms(text, body_part), foreign_terms(text, modality)
+    parts, kinds = foreign_body_terms(text, body_part), foreign_terms(text, kind)
     warnings = F.array_compact(F.array(F.when(F.size(parts) > 0, "body_part_mismatch"), F.when(F.size(kinds) > 0, "modality_mismatch")))
     return F.struct((F.size(kinds) == 0).alias("passed"), warnings.alias("warnings"), parts.alias("body_terms"), kinds.alias("modality_terms"))
 
@@ -127,3 +127,11 @@ def filename_modality(path: Column) -> Column:
     has = lambda *w: F.arrays_overlap(words, F.array(*map(F.lit, w)))
     chest = has("chest") & has("x") & has("ray")
     return F.when(has("cxr", "xray", "radiograph", "radiography") | chest, "cxr")
+
+
+def recognised_modality(header: Column, path: Column, judged: Column) -> Column:
+    """modality and where it is from: the header's, else the file name's, else the judge's, else unknown."""
+    known = lambda c: F.when(modality(c).isin("ct", "mri", "cxr"), modality(c))
+    name = F.coalesce(known(header), filename_modality(path), known(judged), F.lit("unknown"))
+    source = F.when(known(header).isNotNull(), "header").when(filename_modality(path).isNotNull(), "filename").when(known(judged).isNotNull(), "judge").otherwise("none")
+    return F.struct(name.alias("modality"), source.alias("source"))

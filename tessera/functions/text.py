@@ -174,3 +174,15 @@ def section_deltas(a: Column, b: Column) -> Column:
         c, w = [chars(x, name) for x in (a, b)], [words(x, name) for x in (a, b)]
         out += [F.lit(name), F.struct(c[0].alias("chars_a"), c[1].alias("chars_b"), (c[1] - c[0]).alias("chars_delta"), w[0].alias("words_a"), w[1].alias("words_b"), (w[1] - w[0]).alias("words_delta"))]
     return F.create_map(*out)
+
+
+def missing_sections(parts: Column) -> Column:
+    """A warning for each weighted section without text, in the order of the weights."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(parts[name], F.lit("")) == "", f"missing_{name}") for name in SECTION_WEIGHTS)))
+
+
+def privacy_scan(text: Column) -> Column:
+    """A struct of the categories found, whether the text may be passed on, and an id of the scan (16 hex digits of text and finding)."""
+    found = personal_data(F.coalesce(text, F.lit("")))
+    scan = F.substring(F.sha2(F.concat_ws("|", F.coalesce(text, F.lit("")), F.array_join(found, ",")), 256), 1, 16)
+    return F.struct(found.alias("categories"), (F.size(found) == 0).alias("allowed"), scan.alias("scan_id"))

@@ -153,3 +153,24 @@ def page_blockers(pages: DataFrame) -> DataFrame:
     )
     reasons = F.array_compact(F.array(F.when(F.col("a"), "empty_page"), F.when(F.coalesce("c", F.lit(True)), "page_sequence"), F.when(F.col("b"), "page_warning")))
     return by.select("case_id", reasons.alias("reasons")).where(F.size("reasons") > 0)
+
+
+def hazard_alignment(primary: DataFrame, review: DataFrame) -> DataFrame:
+    """(case_id, error_index, problem) where a review does not fit the primary judgement position by position.
+
+    Problems: missing_review, extra_review, type_mismatch. A case with any of them must not be compared.
+    """
+    key = ["case_id", "error_index"]
+    both = primary.select(*key, F.col("error_type").alias("__p")).join(review.select(*key, F.col("error_type").alias("__r")), key, "full")
+    problem = F.when(F.col("__r").isNull(), "missing_review").when(F.col("__p").isNull(), "extra_review").when(F.col("__p") != F.col("__r"), "type_mismatch")
+    return both.select(*key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def set_relation(one: DataFrame, two: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """How the sets of items of a key relate: equal, subset, superset, overlap or disjoint; a key that one side lacks has an empty set there."""
+    a = one.select(*keys, item).distinct().withColumn("__a", F.lit(1))
+    b = two.select(*keys, item).distinct().withColumn("__b", F.lit(1))
+    counts = a.join(b, [*keys, item], "full").groupBy(*keys).agg(F.count("__a").alias("a"), F.count("__b").alias("b"), F.count_if(F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("c"))
+    both = F.col("c")
+    relation = F.when((both == F.col("a")) & (both == F.col("b")), "equal").when(both == F.col("a"), "subset").when(both == F.col("b"), "superset").when(both > 0, "overlap").otherwise("disjoint")
+    return counts.select(*keys, relation.alias("relation"))

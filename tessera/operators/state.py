@@ -29,3 +29,8 @@ def latest(events: DataFrame, key: str, at: list[str]) -> DataFrame:
     """The last event of each key, by a combinable aggregate."""
     rest = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*at)).alias("__last")).select(key, *(F.col(f"__last.{c}").alias(c) for c in rest))
+
+
+def latest_output(events: DataFrame, key: str, at: list[str], output: str) -> DataFrame:
+    """The last event of each key whose output is not blank; a key with blank outputs only has none."""
+    return latest(events.where(F.trim(F.coalesce(output, F.lit(""))) != ""), key, at)

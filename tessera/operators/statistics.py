@@ -82,6 +82,13 @@ def _two_tails(t: pd.Series) -> pd.Series:
     return t.map(lambda x: erfc(abs(x) / sqrt(2)), na_action="ignore")
 
 
+def ordinal_weights(models: DataFrame, weights: list[float]) -> DataFrame:
+    """model and weight by the place of its name among all models; models beyond the list have no weight."""
+    line = Window.orderBy("model")  # a dimension of models
+    ranked = models.select("model").distinct().withColumn("__at", F.row_number().over(line))
+    return ranked.where(F.col("__at") <= len(weights)).select("model", F.element_at(F.array(*map(F.lit, weights)), F.col("__at")).alias("weight"))
+
+
 def welch_p(n_a: Column, mean_a: Column, var_a: Column, n_b: Column, mean_b: Column, var_b: Column) -> Column:
     """Two-sided p of Welch's t by the normal tail; 1 with fewer than two values on a side; without spread 0, or 1 if equal."""
     error = F.sqrt(var_a / n_a + var_b / n_b)
@@ -145,15 +152,20 @@ def level_agreement(rows: DataFrame, a: str, b: str, keys: list[str], action_a:
 
 
 def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """n, observed and expected agreement, kappa. With expected 1: kappa 1 if observed is 1, else null."""
+    """n, observed and expected agreement, kappa, the number of categories, and status: complete, or undefined without a kappa.
+
+    With expected 1 kappa is 1 if observed is 1, else null.
+    """
     cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     total = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
     one = cells.groupBy(F.col("a").alias("x")).agg(F.sum("n").alias("na"))
     two = cells.groupBy(F.col("b").alias("x")).agg(F.sum("n").alias("nb"))
-    chance = one.join(two, "x").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("c"))
-    out = total.join(F.broadcast(chance)).select("n", (F.col("same") / F.col("n")).alias("o"), (F.col("c") / (F.col("n") * F.col("n"))).alias("e"))
+    both = one.join(two, "x", "full")
+    chance = both.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("categories"))
+    out = total.join(F.broadcast(chance)).select("n", "categories", (F.col("same") / F.col("n")).alias("o"), (F.col("c") / (F.col("n") * F.col("n"))).alias("e"))
     kappa = F.when(F.col("e") == 1, F.when(F.col("o") == 1, 1.0)).otherwise((F.col("o") - F.col("e")) / (1 - F.col("e")))
-    return out.select("n", half_up(F.col("o")).alias("observed"), half_up(F.col("e")).alias("expected"), half_up(kappa).alias("kappa"))
+    status = F.when(kappa.isNull(), "undefined").otherwise("complete")
+    return out.select(F.coalesce("n", F.lit(0)).alias("n"), half_up(F.col("o")).alias("observed"), half_up(F.col("e")).alias("expected"), half_up(kappa).alias("kappa"), "categories", status.alias("status"))
 
 
 def weighted_kappa(pairs: DataFrame, a: str, b: str, low: int, high: int) -> DataFrame:

@@ -91,3 +91,30 @@ def generation_summary(reports: DataFrame, keys: list[str], text: str, chars: st
         F.min(chars).alias("shortest"), F.max(chars).alias("longest"), half_up(F.avg(chars), 4).alias("mean_chars"),
     )
     return out.withColumn("unique_rate", half_up(F.col("unique_reports") / F.greatest("n", F.lit(1))))
+
+
+#: Sources of reports by the kind of route that made them.
+ROUTES = {
+    "artifact": ("artifact", "artifact_reuse", "cached_artifact"), "fallback": ("fallback", "cloud_fallback", "local_vlm_fallback"), "mock": ("mock", "mock_fallback"),
+}
+
+
+def route_counts(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """Reports of each group by kind of route: artifact, fallback, mock, and fresh for all other sources; and cases with a report."""
+    source = F.lower(F.trim("source"))
+    known = [F.count_if(source.isin(*names)).alias(kind) for kind, names in ROUTES.items()]
+    fresh = F.count_if(~F.coalesce(source.isin(*(n for names in ROUTES.values() for n in names)), F.lit(False))).alias("fresh")
+    return reports.groupBy(*keys).agg(F.count(F.lit(1)).alias("routes"), *known, fresh, F.countDistinct("case_id").alias("cases"))
+
+
+def reader_aggregate(cases: DataFrame, reports: DataFrame) -> DataFrame:
+    """For each reader its cases (sorted), their number, its reports, and for each model (by name) its reports and their mean score.
+
+    ``reports`` has case_id, model and score. Reports are reduced by case and model before they meet the readers.
+    """
+    small = reports.groupBy("case_id", "model").agg(F.count("score").alias("n"), F.sum("score").alias("s"))
+    joined = cases.select("case_id", "reader").join(small, "case_id", "left")
+    models = joined.where("model IS NOT NULL").groupBy("reader", "model").agg(F.sum("n").alias("n"), half_up(F.sum("s") / F.sum("n")).alias("mean"))
+    listed = models.groupBy("reader").agg(F.sum("n").alias("report_count"), F.array_sort(F.collect_list(F.struct("model", "n", "mean"))).alias("models"))
+    own = cases.groupBy("reader").agg(F.count(F.lit(1)).alias("case_count"), F.array_sort(F.collect_list("case_id")).alias("cases"))
+    return own.join(listed, "reader", "left")

@@ -124,7 +124,7 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
     "hazard_histograms": _with(_HAZARDS) + "SELECT error_type, level, count(*) AS n FROM hazards GROUP BY error_type, level",
     "cohen_kappa_labels": f"""WITH p AS (SELECT quality AS a, toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) / count(*) AS o FROM p),
   x AS (SELECT sum(na * nb) AS c FROM (SELECT a AS x, count(*) AS na FROM p GROUP BY a) JOIN (SELECT b AS x, count(*) AS nb FROM p GROUP BY b) USING (x)),
-  k AS (SELECT n, o, coalesce(c, 0) / (n * n) AS e FROM t, x) SELECT n, {_r('o')} AS observed, {_r('e')} AS expected, {_r('CASE WHEN e = 1 THEN CASE WHEN o = 1 THEN 1e0 END ELSE (o - e) / (1 - e) END')} AS kappa FROM k""",
+  g AS (SELECT count(DISTINCT v) AS categories FROM (SELECT a AS v FROM p UNION ALL SELECT b FROM p)), k AS (SELECT n, o, coalesce(c, 0) / (n * n) AS e, categories FROM t, x, g) SELECT n, {_r('o')} AS observed, {_r('e')} AS expected, {_r('CASE WHEN e = 1 THEN CASE WHEN o = 1 THEN 1e0 END ELSE (o - e) / (1 - e) END')} AS kappa, categories, CASE WHEN e = 1 AND o <> 1 THEN 'undefined' ELSE 'complete' END AS status FROM k""",
     "weighted_kappa_levels": _with(_HAZARDS) + f""", t AS (SELECT count(*) AS n, avg(1 - ((level - review_level) / 4e0) * ((level - review_level) / 4e0)) AS o FROM hazards),
   x AS (SELECT sum((1 - ((a - b) / 4e0) * ((a - b) / 4e0)) * na * nb) AS c FROM (SELECT level AS a, count(*) AS na FROM hazards GROUP BY a), (SELECT review_level AS b, count(*) AS nb FROM hazards GROUP BY b)),
   k AS (SELECT n, o, c / (n * n) AS e FROM t, x) SELECT n, {_r('o')} AS observed, {_r('e')} AS expected, {_r('(o - e) / (1 - e)')} AS kappa FROM k""",
@@ -175,7 +175,21 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
   SELECT case_id, rule, count(*) AS n FROM v GROUP BY case_id, rule""",
     "gate_matrix": _with(_CASES, _REPORTS) + """, g AS (SELECT reader, model, CAST(bool_and(likert_mean >= 1) AS INTEGER) + CAST(bool_and(evidence_tier <> 'mock') AS INTEGER) + CAST(bool_and(finding_coverage > 0.02e0) AS INTEGER) AS passed FROM reports JOIN cases USING (case_id) GROUP BY reader, model)
   SELECT reader, model, passed, 3 - passed AS failed, 3 AS total, CASE WHEN passed = 3 THEN 'validated' ELSE 'pilot' END AS status FROM g""",
-    "route_plan": """WITH r AS (SELECT p_type, count(*) AS routes, count(*) FILTER (WHERE p_size > 25) AS local, min(p_partkey) AS first_route FROM part GROUP BY p_type) SELECT *, routes - local AS fallback FROM r""",
+    "route_plan": _with(_REPORTS) + """SELECT model, count(*) AS routes, count(*) FILTER (WHERE source = 'artifact_reuse') AS artifact, count(*) FILTER (WHERE source = 'cloud_fallback') AS fallback, count(*) FILTER (WHERE source = 'mock_fallback') AS mock,
+  count(*) FILTER (WHERE source = 'fresh_cli') AS fresh, count(DISTINCT case_id) AS cases FROM reports GROUP BY model""",
+    "reader_aggregates": _with(_CASES, _REPORTS) + f""", c AS (SELECT reader, count(*) AS case_count, md5(string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id)) AS cases_digest FROM cases GROUP BY reader),
+  m AS (SELECT reader, model, count(*) AS n, {_r('sum(finding_coverage) / count(*)')} AS mean FROM reports JOIN cases USING (case_id) GROUP BY reader, model),
+  a AS (SELECT reader, CAST(sum(n) AS BIGINT) AS report_count, string_agg(model || ':' || CAST(n AS VARCHAR), ';' ORDER BY model) AS models, max(mean) AS best_mean FROM m GROUP BY reader) SELECT * FROM c LEFT JOIN a USING (reader)""",
+    "ordinal_weighted": _with(_CASES, _REPORTS, _VALUES) + f""", o AS (SELECT model, row_number() OVER (ORDER BY model) AS k FROM (SELECT DISTINCT model FROM vals)), w AS (SELECT v.*, CASE k WHEN 1 THEN 3e0 WHEN 2 THEN 2e0 WHEN 3 THEN 0e0 WHEN 4 THEN 0.5e0 ELSE 1e0 END AS w FROM vals v JOIN o USING (model))
+  SELECT modality, metric, {_r('sum(value * w) / sum(w)')} AS weighted_mean FROM w GROUP BY modality, metric HAVING sum(w) <> 0""",
+    "hazard_alignment_problems": _with(_HAZARDS) + """, g AS (SELECT case_id, error_type, min(level) AS l, max(review_level) AS r FROM hazards GROUP BY case_id, error_type),
+  x AS (SELECT CASE WHEN l > 1 AND r >= 5 THEN 'missing_review' WHEN l <= 1 AND r < 5 THEN 'extra_review' WHEN l > 1 AND r < 5 AND (l > 3) <> (r > 3) THEN 'type_mismatch' END AS problem FROM g) SELECT problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY problem""",
+    "side_relations": _with(_FINDINGS) + """, o AS (SELECT case_id, observation, bool_or(side = 'cand') AS c, bool_or(side = 'ref') AS r FROM findings GROUP BY ALL), k AS (SELECT case_id, bool_and(c AND r) AS e, bool_and(NOT c OR r) AS sub, bool_and(NOT r OR c) AS sup, bool_or(c AND r) AS ov FROM o GROUP BY case_id)
+  SELECT CASE WHEN e THEN 'equal' WHEN sub THEN 'subset' WHEN sup THEN 'superset' WHEN ov THEN 'overlap' ELSE 'disjoint' END AS relation, count(*) AS n FROM k GROUP BY relation""",
+    "latest_outputs": _with(_RUNS) + "SELECT run_id, 'o' || CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS output FROM runs WHERE status = 'succeeded' GROUP BY run_id",
+    "missing_sections": "SELECT CASE turn % 3 WHEN 0 THEN 'missing_impression;missing_clinical_history' WHEN 1 THEN 'missing_findings;missing_clinical_history' ELSE 'missing_findings;missing_impression;missing_clinical_history' END AS missing, count(*) AS n FROM conversations GROUP BY missing",
+    "recognised_modalities": """WITH s AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'header' WHEN p_partkey % 3 = 0 THEN 'filename' WHEN p_size % 2 = 0 THEN 'judge' ELSE 'none' END AS source FROM part)
+  SELECT CASE source WHEN 'header' THEN 'ct' WHEN 'filename' THEN 'cxr' WHEN 'judge' THEN 'mri' ELSE 'unknown' END AS modality, source, count(*) AS n FROM s GROUP BY source""",
     "token_overlap": _with(_PAIRS) + f""", t AS (SELECT conv_id, ref_turn, {_tokens('gold')} AS a, {_tokens('cand')} AS b FROM pairs)
   SELECT conv_id, ref_turn, len(a) AS ref_tokens, len(list_intersect(a, b)) AS shared FROM t""",
     # All pairs of one observation have points above 0, so the best assignment pairs as many as the smaller side has.

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import quality
 from tessera.functions import text as T
 from tessera.functions.numbers import half_up
-from tessera.operators import coverage, matching, ranking, state, statistics, summaries
+from tessera.operators import coverage, gates, matching, ranking, state, statistics, summaries
 from tessera.operators.eligibility import for_hazards, for_ranking, for_statistics
 from tessera.plans import adapters as A
 from tessera.plans.evaluation_queries import EVALUATIONS, EVALUATIONS_SQL
@@ -373,9 +374,63 @@ def gate_matrix(spark, d):
 
 @query
 def route_plan(spark, d):
-    parts = A.table(spark, d, "part").select("p_partkey", "p_size", "p_type")
-    counts = parts.groupBy("p_type").agg(F.count(F.lit(1)).alias("routes"), F.count_if(F.col("p_size") > 25).alias("local"), F.min("p_partkey").alias("first_route"))
-    return counts.withColumn("fallback", F.col("routes") - F.col("local"))
+    return summaries.route_counts(A.reports(spark, d), ["model"])
+
+
+@query
+def reader_aggregates(spark, d):
+    found = summaries.reader_aggregate(A.cases(spark, d), A.reports(spark, d).select("case_id", "model", F.col("finding_coverage").alias("score")))
+    models = F.array_join(F.transform("models", lambda m: F.concat_ws(":", m["model"], m["n"].cast("string"))), ";")
+    return found.select("reader", "case_count", F.md5(F.array_join(F.transform("cases", lambda c: c.cast("string")), ",")).alias("cases_digest"), "report_count", models.alias("models"), F.array_max(F.transform("models", lambda m: m["mean"])).alias("best_mean"))
+
+
+@query
+def ordinal_weighted(spark, d):
+    rows = _eligible(A.reports(spark, d)).join(A.cases(spark, d).select("case_id", "modality"), "case_id")
+    return statistics.weighted_means(rows, statistics.ordinal_weights(rows, [3.0, 2.0, 0.0, 0.5]), ["modality"])
+
+
+@query
+def hazard_alignment_problems(spark, d):
+    rows = A.hazards(spark, d).withColumn("error_index", F.col("error_type")).groupBy("case_id", "error_index").agg(F.min("level").alias("level"), F.max("review_level").alias("review_level"))
+    primary = rows.where("level > 1").select("case_id", "error_index", F.when(F.col("level") > 3, "a").otherwise("b").alias("error_type"))
+    review = rows.where("review_level < 5").select("case_id", "error_index", F.when(F.col("review_level") > 3, "a").otherwise("b").alias("error_type"))
+    return gates.hazard_alignment(primary, review).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def side_relations(spark, d):
+    rows = A.findings(spark, d)
+    found = gates.set_relation(rows.where("side = 'cand'"), rows.where("side = 'ref'"), ["case_id"], "observation")
+    return found.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def latest_outputs(spark, d):
+    events = _runs(spark, d).withColumn("output", F.when(F.col("status") == "succeeded", F.concat(F.lit("o"), F.col("event_id").cast("string"))).when(F.col("status") == "failed", " "))
+    return state.latest_output(events, "run_id", ["ts", "event_id"], "output").select("run_id", "output")
+
+
+@query
+def missing_sections(spark, d):
+    kind = F.col("turn") % 3
+    shown = F.when(kind == 0, F.concat(F.lit("Findings: x "), "text")).when(kind == 1, F.concat(F.lit("Findings:\nImpression: y "), "text")).otherwise(F.lit(" "))
+    rows = A.table(spark, d, "conversations").select(F.array_join(T.missing_sections(T.sections(shown)), ";").alias("missing"))
+    return rows.groupBy("missing").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def recognised_modalities(spark, d):
+    key = F.col("p_partkey")
+    header = F.when(key % 4 == 0, "CT").when(key % 4 == 1, "OT")
+    found = quality.recognised_modality(header, F.when(key % 3 == 0, "a/chest_xray-1.png").otherwise("a/b.png"), F.when(F.col("p_size") % 2 == 0, "MR brain").otherwise("unsure"))
+    return A.table(spark, d, "part").select(found.alias("m")).select("m.*").groupBy("modality", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def privacy_scans(spark, d):
+    rows = A.table(spark, d, "documents").select("doc_id", T.privacy_scan(F.col("text")).alias("s"))
+    return rows.select("doc_id", "s.allowed", "s.scan_id", F.size("s.categories").alias("categories"))
 
 
 ORACLE_SQL = {**{k: v for k, v in SQL.items() if k in QUERIES}, **RULES_SQL, **VALUES_SQL, **EVALUATIONS_SQL, **VERIFICATIONS_SQL}
