@@ -11,7 +11,9 @@ are applied to kept trees without encoding the text again.
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +78,18 @@ def _segments(root: _Node | None) -> list[_Node]:
     return out
 
 
+def segments_of(tool: Codec, pieces: list[str], segment: int = SEGMENT) -> list[tuple[int, int]]:
+    """(characters, tokens) of the segments of a text, given as its pre-tokens."""
+    out, size, count = [], 0, 0
+    for piece, tokens in zip(pieces, tool.pieces(pieces)):
+        size += len(piece)
+        count += len(tokens)
+        if size >= segment:
+            out.append((size, count))
+            size = count = 0
+    return [*out, (size, count)] if size else out
+
+
 class TokenTree:
     """Token counts of one text under edits. ``reencoded`` counts the characters encoded since the start."""
 
@@ -83,33 +97,26 @@ class TokenTree:
         """``kept`` are the (characters, tokens) of the text's segments, from ``segments``: then nothing is encoded."""
         self.tool, self.segment, self.reencoded = tool, segment, 0
         self.random = random.Random(4)
-        self.root: _Node | None = None
         if kept is None:
-            self.root = self._encoded(text)
-        else:
-            if sum(n for n, _ in kept) != len(text):
-                raise ValueError("these segments are of another text")
-            at = 0
-            for n, tokens in kept:
-                self.root = _merged(self.root, _Node(text[at : at + n], tokens, self.random.random()))
-                at += n
-
-    def _encoded(self, text: str, ahead: str = "") -> _Node | None:
-        """A tree of new segments; the text begins and ends at a pre-token border, and ``ahead`` are characters behind it."""
-        self.reencoded += len(text)
-        root, held, size, count, left = None, [], 0, 0, len(text)
-        tool = self.tool
-        for piece in tool.splitter(text + ahead).findall(text + ahead):
-            if left <= 0:
-                break
-            left -= len(piece)
-            held.append(piece)
-            size += len(piece)
-            count += len(tool.piece(piece))
-            if size >= self.segment:
-                root = _merged(root, _Node("".join(held), count, self.random.random()))
-                held, size, count = [], 0, 0
-        return _merged(root, _Node("".join(held), count, self.random.random())) if held else root
+            kept = segments_of(tool, tool.split(text), segment)
+            self.reencoded = len(text)
+        elif sum(n for n, _ in kept) != len(text):
+            raise ValueError("these segments are of another text")
+        self.root = self._tree(text, kept)
+
+    def _tree(self, text: str, kept: Sequence[tuple[int, int]]) -> _Node | None:
+        """A balanced tree of segments; a node's rank is above its children's."""
+        ends = list(accumulate((n for n, _ in kept), initial=0))
+
+        def between(low: int, high: int, depth: int) -> _Node | None:
+            if low >= high:
+                return None
+            middle = (low + high) // 2
+            node = _Node(text[ends[middle] : ends[middle + 1]], kept[middle][1], depth + self.random.random())
+            node.left, node.right = between(low, middle, depth + 1), between(middle + 1, high, depth + 1)
+            return node.sum()
+
+        return between(0, len(kept), 0)
 
     def replace(self, start: int, length: int, new: str) -> None:
         """Replaces ``length`` characters from ``start`` on; both are held to the text's bounds."""
@@ -123,21 +130,18 @@ class TokenTree:
         offset = before.chars if before else 0
         text = part[: start - offset] + new + part[end - offset :]
         # Right of it: until a pre-token begins where a segment does.
-        at, behind = 0, ""
-        while after is not None:
+        while True:
             beside, rest = _split(after, LOOK + 1)  # so that no match before them ends where the text seems to
             ahead = text + "".join(n.part for n in _segments(beside))
-            starts, split = [], self.tool.splitter(ahead)
-            for match in split.finditer(ahead, at):
-                starts.append(match.start())
-                if match.start() >= len(text):
-                    break
-            if starts and starts[-1] == len(text):
-                after, behind = _merged(beside, rest), ahead[len(text) : len(text) + LOOK + 1]
+            pieces = self.tool.split(ahead)
+            ends = list(accumulate(map(len, pieces), initial=0))
+            at = bisect_left(ends, len(text))
+            if ends[at] == len(text):
+                after = _merged(beside, rest)
                 break
-            at = max([s for s in starts if s < len(text) - LOOK], default=at)
             text, after = ahead, rest
-        self.root = _merged(_merged(before, self._encoded(text, behind)), after)
+        self.reencoded += len(text)
+        self.root = _merged(_merged(before, self._tree(text, segments_of(self.tool, pieces[:at], self.segment))), after)
 
     def _before(self, node: _Node | None, start: int) -> tuple[_Node | None, _Node | None]:
         """Segments that no change from ``start`` on can reach, and the others."""
@@ -193,7 +197,7 @@ def with_segments(docs: DataFrame, out: str = "segments", vocabulary: str = "byt
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tool = codec(*_named(vocabulary))
-        trees = [TokenTree(text or "", tool).segments for text in batch.column(at).to_pylist()]
+        trees = [segments_of(tool, tool.split(text or "")) for text in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, _array(trees)], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(per_batch(run, 256), StructType([*docs.schema.fields, *_kinds(docs.sparkSession, f"`{out}` {SEGMENTS}")]))
