@@ -35,8 +35,10 @@ from tessera.llm.common import per_batch, table
 LEAF = 1024
 #: How far a match may look ahead from its start besides its own run and one character: the longest contraction, ``'re``.
 LOOK = 3
-#: Bytes up to which a piece is merged by plain search, characters of a piece that is remembered, and pieces remembered.
+#: Bytes up to which a piece is merged by plain search, characters of a piece that is remembered, and half the pieces remembered.
 SHORT, KNOWN_CHARS, KNOWN = 24, 32, 1 << 19
+#: No rank.
+NONE = 1 << 62
 
 
 @lru_cache(maxsize=1)
@@ -76,27 +78,28 @@ class Codec:
         older = pattern.replace(r"\p{L}", f"[\\p{{L}}--[{newer}]]").replace(r"\p{N}", f"[\\p{{N}}--[{newer}]]") if newer else pattern
         self.older = regex.compile(older, regex.V1)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.once: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _merge(self, data: bytes) -> list[int]:
         """Merges the neighbours of least rank, the leftmost of equals, until no two of them make a token."""
-        ranks = self.ranks
         if len(data) > SHORT:
             return self._merge_queued(data)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        found = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
+        rank = self.ranks.get
+        starts = list(range(len(data) + 1))
+        found = [rank(data[i : i + 2], NONE) for i in range(len(data) - 1)]
         while found:
-            least = min((r for r in found if r is not None), default=None)
-            if least is None:
+            least = min(found)
+            if least == NONE:
                 break
             i = found.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del found[i]
+            del starts[i + 1], found[i]
             if i < len(found):
-                found[i] = ranks.get(parts[i] + parts[i + 1])
+                found[i] = rank(data[starts[i] : starts[i + 2]], NONE)
             if i:
-                found[i - 1] = ranks.get(parts[i - 1] + parts[i])
-        return [ranks[p] for p in parts]
+                found[i - 1] = rank(data[starts[i - 1] : starts[i + 1]], NONE)
+        ranks = self.ranks
+        return [ranks[data[a:b]] for a, b in zip(starts, starts[1:])]
 
     def _merge_queued(self, data: bytes) -> list[int]:
         """As ``_merge``, with the candidates in a heap."""
@@ -154,15 +157,19 @@ class Codec:
     def piece(self, text: str) -> tuple[int, ...]:
         """The tokens of one pre-token: itself if it is a token, else by merges."""
         if (found := self.known.get(text)) is None:
-            data = text.encode()
-            rank = self.ranks.get(data)
-            found = tuple(self._merge_tree(data)) if rank is None else (rank,)
+            if (found := self.once.get(text)) is None:
+                data = text.encode()
+                rank = self.ranks.get(data)
+                found = tuple(self._merge_tree(data)) if rank is None else (rank,)
             if len(text) <= KNOWN_CHARS:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
+                if len(self.known) >= KNOWN:  # what is asked for again comes back from there
+                    self.known, self.once = {}, self.known
                 self.known[text] = found
         return found
 
+    def split(self, text: str) -> list[str]:
+        return self.splitter(text).findall(text)
+
     def splitter(self, text: str) -> regex.Pattern:
         if text.isascii() or self.newer is None:
             return self.pattern
@@ -172,21 +179,20 @@ class Codec:
             return self.older if self.newer.search(text) else self.pattern
         return self.pattern
 
-    def _leaf(self, text: str, split: regex.Pattern, start: int, end: int) -> tuple[list[int], list[tuple[int, ...]]]:
-        """Where the pre-tokens of text[start:end] begin, and their tokens."""
-        found = split.findall(text[start:end])
-        if sum(map(len, found)) == end - start:
-            return list(accumulate(map(len, found[:-1]), initial=start))[: len(found)], self._pieces(found)
-        spans = [m.span() for m in split.finditer(text[start:end])]  # a pattern that passes over characters
-        return [start + a for a, _ in spans], self._pieces([text[start + a : start + b] for a, b in spans])
-
-    def _pieces(self, found: list[str]) -> list[tuple[int, ...]]:
-        known = self.known.get
-        return [known(p) or self.piece(p) for p in found]
+    def pieces(self, found: list[str]) -> list[tuple[int, ...]]:
+        out = list(map(self.known.get, found))
+        if None in out:
+            return [t or self.piece(p) for p, t in zip(found, out)]
+        return out
 
     def _parts(self, text: str, split: regex.Pattern, start: int, end: int) -> tuple[list[int], list[tuple[int, ...]]]:
+        """Where the pre-tokens of text[start:end] begin, and their tokens."""
         if end - start <= self.leaf:
-            return self._leaf(text, split, start, end)
+            found = split.findall(text[start:end])
+            if sum(map(len, found)) == end - start:
+                return list(accumulate(map(len, found[:-1]), initial=start))[: len(found)], self.pieces(found)
+            spans = [m.span() for m in split.finditer(text[start:end])]  # a pattern that passes over characters
+            return [start + a for a, _ in spans], self.pieces([text[start + a : start + b] for a, b in spans])
         middle = (start + end) // 2
         return self._join(text, split, self._parts(text, split, start, middle), self._parts(text, split, middle, end), start, middle, end)
 
@@ -224,11 +230,8 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         split = self.splitter(text)
-        if len(text) <= self.leaf:
-            parts = self._pieces(split.findall(text))
-        else:
-            parts = self._parts(text, split, 0, len(text))[1]
-        return np.array(list(chain.from_iterable(parts)), np.uint32)
+        parts = self.pieces(split.findall(text)) if len(text) <= self.leaf else self._parts(text, split, 0, len(text))[1]
+        return np.fromiter(chain.from_iterable(parts), np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= self.leaf:
