@@ -4,7 +4,7 @@ Each revisit is joined, as of its time and by canonical URL, to the latest earli
 compared, and the headers of the revisit that a not-modified answer may change are merged into the response's. The as-of join
 is a running last value over time. So that no URL's history has to be one task, a history is cut into spans of time: the last
 response of each span is combined before the shuffle, carried on from span to span over these few rows, and joined to the
-rows of the next span, which run on their own.
+rows of the next span, which run on their own. URLs that are busy within a span have shorter spans, down to a second.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import table
+from tessera.llm.common import partitions, table
 
 SPAN_SECONDS = 3600
+#: Rows of a URL within a span up to which the span is never cut.
+LEAST_BUSY = 4096
 #: Fields that a 304 answer does not change in a stored response (RFC 9111, 3.1 and 3.2).
 NOT_PERMITTED = (
     "connection", "content-encoding", "content-length", "content-range", "keep-alive", "proxy-authenticate",
@@ -57,7 +59,13 @@ def resolve(captures: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     )
     usable = F.col("url").isNotNull() & F.col("at").isNotNull()
     lost = rows.where((F.col("kind") == "revisit") & ~usable)
-    rows = rows.where(usable & F.col("kind").isin("response", "revisit")).withColumn("span", F.floor(F.col("at") / span_seconds))
+    rows = rows.where(usable & F.col("kind").isin("response", "revisit"))
+    # A URL with more rows in one span than a quarter of a mean partition gets shorter spans; there are at most four such for each partition.
+    busy = rows.groupBy("url", F.floor(F.col("at") / span_seconds).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    limit = max(LEAST_BUSY, rows.count() / (4 * partitions(captures.sparkSession)))
+    busy = busy.where(F.col("n") > limit).groupBy("url").agg(F.max("n").alias("n"))
+    short = busy.select("url", F.greatest(F.lit(1), (F.lit(span_seconds) * limit / F.col("n")).cast("long")).alias("width"))
+    rows = rows.join(F.broadcast(short), "url", "left").withColumn("span", F.floor(F.col("at") / F.coalesce("width", F.lit(span_seconds)))).drop("width")
     full = F.when(F.col("kind") == "response", F.struct("at", "id", "etag", "last_modified", "headers"))
     rank = F.struct("at", "id", "etag", "last_modified", F.array_sort(F.map_entries("headers")).alias("h"))
     last = rows.where("kind = 'response'").groupBy("url", "span").agg(F.max_by(full, rank).alias("own"))

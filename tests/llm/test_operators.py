@@ -315,6 +315,19 @@ def test_revisits(spark):
     assert len(twice) == 2 * len(found)
 
 
+def test_a_busy_url_is_cut_into_shorter_spans(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "http://a.com/x" if i % 3 else f"http://a.com/{i}", rng.randrange(4000), "revisit" if i % 2 else "response", None, None, None) for i in range(600)]
+    captures = spark.createDataFrame(rows, "record_id long, uri string, at long, type string, etag string, last_modified string, headers map<string,string>")
+    want = sorted((r.record_id, r.response_id) for r in warc_revisits.resolve(captures).collect())
+    monkeypatch.setattr(warc_revisits, "LEAST_BUSY", 5)
+    assert sorted((r.record_id, r.response_id) for r in warc_revisits.resolve(captures).collect()) == want
+    for i, found in want:
+        _, uri, at, *_ = rows[i]
+        before = [(t, k) for k, u, t, kind, *_ in rows if u == uri and kind == "response" and t < at]
+        assert found == (max(before)[1] if before else None)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert exact_dedup.content_groups(none).count() == 0
