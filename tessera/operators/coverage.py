@@ -23,12 +23,6 @@ def missing_and_extra(declared: DataFrame, found: DataFrame, key: str) -> DataFr
     return a.join(b, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("problem", F.lit("extra")))
 
 
-def incomplete(cases: DataFrame, candidates: DataFrame, done: DataFrame) -> DataFrame:
-    """Of cases x candidates (a small dimension) the pairs without a result."""
-    wanted = cases.select("case_id").distinct().join(F.broadcast(candidates))
-    return wanted.join(done.select("case_id", *candidates.columns).distinct(), ["case_id", *candidates.columns], "left_anti")
-
-
 def plan_problems(cases: DataFrame, candidates: list[str], repeats: int, done: DataFrame) -> DataFrame:
     """case_id, candidate, repeat and problem where results are not exactly cases x candidates x repeats: missing, extra or duplicate.
 

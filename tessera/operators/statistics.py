@@ -72,7 +72,7 @@ def midrank_percentile(rows: DataFrame, value: str = "value") -> DataFrame:
 
 def weighted_means(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """The weighted mean of each metric; models without a weight count once; metrics without weight are left out."""
-    joined = unpivoted(rows, [*keys, "model"]).join(F.broadcast(weights), "model", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
+    joined = unpivoted(rows, [*keys, "model"]).join(weights, "model", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
     out = joined.groupBy(*keys, "metric").agg(F.sum(F.col("value") * F.col("w")).alias("s"), F.sum("w").alias("w"))
     return out.where("w <> 0").select(*keys, "metric", half_up(F.col("s") / F.col("w")).alias("weighted_mean"))
 

@@ -112,7 +112,9 @@ FROM cases c LEFT JOIN n ON c.case_id = n.case_id LEFT JOIN l m ON c.case_id = m
     "top_k_reports": _SCORED + """, c AS (SELECT *, max(CASE WHEN rank = 3 THEN score END) OVER (PARTITION BY case_id) AS cutoff FROM ranked),
   x AS (SELECT *, rank <= 3 AS selected, coalesce(n > 3 AND round((cutoff - score) * 10000) <= 100, false) AS near FROM c)
   SELECT case_id, pos, k1, k2, k3, model, score, rank, selected, near AND NOT selected AS near_cutoff_review FROM x WHERE selected OR near""",
-    "top_k_ci_overlap": _SCORED + """, i AS (SELECT *, score - (k2 % 5) / 100e0 AS low, score + (k2 % 5) / 100e0 AS high FROM ranked),
+    "top_k_ci_overlap": _SCORED + f""", d AS (SELECT model, count(*) AS n, avg(score) AS mean, coalesce(stddev_samp(score), 0e0) AS std FROM ranked GROUP BY model),
+  h AS (SELECT model, {_r(f'mean + {_T} * std / sqrt(n)')} - {_r(f'mean - {_T} * std / sqrt(n)')} AS w FROM d),
+  i AS (SELECT r.*, score - w / 2 AS low, score + w / 2 AS high FROM ranked r JOIN h USING (model)),
   c AS (SELECT *, max(CASE WHEN rank = 3 THEN low END) OVER (PARTITION BY case_id) AS cl, max(CASE WHEN rank = 3 THEN high END) OVER (PARTITION BY case_id) AS ch FROM i),
   x AS (SELECT *, coalesce(low <= ch AND cl <= high, false) AS uncertainty_overlap FROM c)
   SELECT case_id, pos, k1, k2, k3, model, score, rank, uncertainty_overlap FROM x WHERE rank <= 3 OR uncertainty_overlap""",

@@ -133,8 +133,10 @@ def top_k_reports(spark, d):
 
 @query
 def top_k_ci_overlap(spark, d):
-    half = (F.col("k2") % 5) / 100
-    rows = _scored(spark, d).withColumns({"low": F.col("score") - half, "high": F.col("score") + half})
+    rows = _scored(spark, d)
+    spread = statistics.describe(rows.select("model", F.lit("score").alias("metric"), F.col("score").alias("value")), ["model", "metric"])
+    half = F.broadcast(spread.select("model", (F.col("ci_upper") - F.col("ci_lower")).alias("__w")))  # a dimension of models
+    rows = rows.join(half, "model").withColumns({"low": F.col("score") - F.col("__w") / 2, "high": F.col("score") + F.col("__w") / 2})
     return ranking.overlapping(rows, "case_id", TIES, "low", "high").select("case_id", *TIES, "model", "score", F.col("rank").cast("long"), "uncertainty_overlap")
 
 

@@ -153,3 +153,34 @@ def test_run_states_of_a_stream(spark, tmp_path):
         query = states.writeStream.foreachBatch(lambda df, _: found.update({r.run_id: (r.status, r.illegal) for r in df.collect()})).outputMode("update")
         query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(180)
     assert found == {1: ("succeeded", 1), 2: ("queued", 2)}
+
+
+def test_statements_name_views(spark):
+    from tessera.plans.sql import names_in, sql
+
+    assert names_in("SELECT a FROM cases -- reports\nWHERE b = 'hazards'") == ["select", "a", "from", "cases", "where", "b"]
+    found = sql(spark, "/root/testdata/sf0.001", "SELECT c.modality, count(*) AS n FROM cases c JOIN case_hazard_metrics h USING (case_id) GROUP BY c.modality")
+    assert sum(r.n for r in found.collect()) > 0
+
+
+def test_progress_is_told(spark, tmp_path):
+    from tessera.streaming.listening import ProgressListener, observed
+
+    told = []
+    listener = ProgressListener(lambda name, kind, rows: told.append((name, kind)))
+    spark.streams.addListener(listener)
+    try:
+        events = _events(spark, [(1, "00:01", 1, "queued")])
+        events.write.parquet(str(tmp_path / "e"))
+        _run(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")), "told_rows", "append")
+        import time
+
+        for _ in range(50):
+            if ("told_rows", "succeeded") in told:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert ("told_rows", "started") in told and ("told_rows", "succeeded") in told
+    rows, seen = observed(spark.range(7), "seven", n=F.count(F.lit(1)))
+    assert rows.collect() and seen.get["n"] == 7
