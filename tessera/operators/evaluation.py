@@ -184,3 +184,22 @@ def judgement_problems(index: Column, candidate_type: Column, error_type: Column
         F.when(~F.coalesce(action.isin(*ACTIONS), F.lit(False)), "recommended_action"), F.when(~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence"),
         F.when(abstain.isNull(), "abstain"), F.when(~F.coalesce(F.array_contains(evidence, F.concat(F.lit("e"), (index + 1).cast("string"))), F.lit(False)), "evidence_ids"),
     ))
+
+
+def case_metrics(cases: DataFrame, alignment: DataFrame, hazards: DataFrame, agreement: DataFrame) -> DataFrame:
+    """One row a case with its alignment metrics, hazards and the judges' agreement; a part that a case lacks is null, its counts 0.
+
+    The parts have case_id and at most one row a case, as ``alignment_metrics``, ``case_hazards`` and ``level_agreement`` make them.
+    """
+    out = cases.select("case_id")
+    for part in (alignment, hazards, agreement):
+        out = out.join(part, "case_id", "left")
+    return out.fillna(0, [c for c in ("n_cand", "n_ref", "errors", "max_level", "material", "nontrivial", "unresolved", "compared") if c in out.columns])
+
+
+def extraction_coverage(reports: DataFrame, findings: DataFrame, items: str) -> DataFrame:
+    """For each report its findings, their share of the expected items (a column of ``reports``, at least 1), and a warning without any."""
+    counts = findings.groupBy("case_id").agg(F.count(F.lit(1)).alias("__n"))
+    n = F.coalesce("__n", F.lit(0))
+    joined = reports.select("case_id", items).join(counts, "case_id", "left")
+    return joined.select("case_id", n.alias("findings"), F.least(F.lit(1.0), n / F.greatest(items, F.lit(1))).alias("coverage"), F.when(n == 0, "no_findings_extracted").alias("warning"))

@@ -174,3 +174,18 @@ def set_relation(one: DataFrame, two: DataFrame, keys: list[str], item: str) ->
     both = F.col("c")
     relation = F.when((both == F.col("a")) & (both == F.col("b")), "equal").when(both == F.col("a"), "subset").when(both == F.col("b"), "superset").when(both > 0, "overlap").otherwise("disjoint")
     return counts.select(*keys, relation.alias("relation"))
+
+
+def filled_hazard(level: Column, error_type: Column, explanation: Column, action: Column) -> Column:
+    """A struct of a hazard with what it lacks: the level by ``hazard_level``, a stock explanation, and a review if relevant."""
+    kind = F.coalesce(F.nullif(error_type, F.lit("")), F.lit("mismatched_finding"))
+    return F.struct(
+        kind.alias("error_type"), hazard_level(level, kind).alias("hazard_level"),
+        first_named(explanation, F.concat(F.lit("estimated from the kind of error: "), kind)).alias("explanation"), first_named(action, F.lit("review_if_relevant")).alias("recommended_action"),
+    )
+
+
+def count_problems(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """field, found and declared where the counts of a run's artifacts are not those its summary declares; a field that one side lacks counts as null there."""
+    joined = found.select("field", F.col("value").alias("found")).join(declared.select("field", F.col("value").alias("declared")), "field", "full")
+    return joined.where(~F.col("found").eqNullSafe(F.col("declared")))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -117,6 +117,12 @@ def spellings(concepts: Sequence[Concept]) -> list[tuple[str, str, bool]]:
     return sorted((f for f in found if f[0]), key=lambda f: (-len(f[0]), f))
 
 
+def alias_table(spark: SparkSession, concepts: Sequence[Concept]) -> DataFrame:
+    """The compiled spellings as a table: spelling, code, normal, length and priority (from 1, in the order they are tried)."""
+    rows = [(s, c, n, len(s), i) for i, (s, c, n) in enumerate(spellings(concepts), 1)]
+    return spark.createDataFrame(rows, "spelling string, code string, normal boolean, length int, priority int")
+
+
 def _resolved(value: Column, table: Column) -> Column:
     hits = F.filter(table, lambda s: F.contains(F.concat(F.lit(" "), value, F.lit(" ")), s["needle"]))
     return F.array_max(F.transform(hits, lambda s: F.struct(s["length"].alias("length"), s["normal"].alias("normal"), s["code"].alias("code"))))

@@ -189,3 +189,37 @@ def reader_education(gaps: DataFrame, below: float = -1.0) -> DataFrame:
 def file_digests(files: DataFrame) -> DataFrame:
     """path, length and SHA-256 of rows of Spark's ``binaryFile`` source, for an inventory; sort by path to show it."""
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def with_documents(cases: DataFrame, documents: DataFrame) -> DataFrame:
+    """Cases with their document as a struct, null without one; of several documents of a case the first by path."""
+    fields = F.struct(*[c for c in documents.columns if c != "case_id"])
+    first = documents.groupBy("case_id").agg(F.min_by(fields, "path").alias("document"))
+    return cases.join(first, "case_id", "left")
+
+
+def registry_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Models of a registry (id, body as JSON) with their types and defaults, and the entries that break a type with the field.
+
+    name defaults to the id, modalities to unknown, ready to false, temperature to 0.0; ``legacy`` marks entries without a
+    schema version, whose single ``modality`` is read as the list.
+    """
+    value = F.try_parse_json("body")
+    given = lambda path: F.try_variant_get(value, path, "string").isNotNull()
+    get = lambda path, kind: F.try_variant_get(value, path, kind)
+    kinds = {"$.ready": "boolean", "$.temperature": "double", "$.modalities": "array<string>"}
+    wrong = F.array_compact(F.array(F.when(value.isNull(), "body"), *(F.when(given(path) & get(path, kind).isNull(), path) for path, kind in kinds.items())))
+    legacy = get("$.schema_version", "string").isNull()
+    one = F.when(legacy & given("$.modality"), F.array(get("$.modality", "string")))
+    good = rows.where(F.size(wrong) == 0).select(
+        "id", F.coalesce(get("$.name", "string"), "id").alias("name"), F.coalesce(get("$.modalities", "array<string>"), one, F.array(F.lit("unknown"))).alias("modalities"),
+        F.coalesce(get("$.ready", "boolean"), F.lit(False)).alias("ready"), F.coalesce(get("$.temperature", "double"), F.lit(0.0)).alias("temperature"), legacy.alias("legacy"),
+    )
+    return good, rows.where(F.size(wrong) > 0).select("id", F.explode(wrong).alias("field"))
+
+
+def experiment_rows(counts: DataFrame, ready: DataFrame, protocols: DataFrame) -> DataFrame:
+    """Each protocol's experiment with its evidence: n rows and a status. ``counts`` has experiment_id and n, ``ready`` the ids that could be made."""
+    joined = protocols.join(counts, "experiment_id", "left").join(ready.select("experiment_id").distinct().withColumn("__ready", F.lit(True)), "experiment_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return joined.select("ordinal", "experiment_id", n.alias("n"), evidence_status(n, F.coalesce("__ready", F.lit(False))).alias("status"))

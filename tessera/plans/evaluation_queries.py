@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import half_up
 from tessera.operators import evaluation as E
-from tessera.operators import statistics, work
+from tessera.operators import gates, matching, ontology, statistics, work
 from tessera.plans import adapters as A
 from tessera.plans.oracle import _CASES, _FINDINGS, _HAZARDS, _REPORTS, _VALUES, _r, _with
 from tessera.plans.value_queries import picked
@@ -331,3 +331,78 @@ def reader_education(spark, d):
 def text_inventory(spark, d):
     files = A.table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.length("p_name").alias("length"), F.encode("p_name", "UTF-8").alias("content"))
     return work.file_digests(files).withColumnRenamed("path", "path_key")
+
+
+@evaluation(f"""SELECT CASE WHEN p_partkey % 4 = 0 THEN 'mismatched_finding' WHEN p_partkey % 4 = 1 THEN 'omission_finding' ELSE 'contradiction' END AS error_type, CASE WHEN p_size % 3 = 0 THEN least(p_size, 5) WHEN p_partkey % 4 = 0 THEN 3 ELSE 4 END AS hazard_level,
+  CASE WHEN p_size % 2 = 0 THEN 'seen' ELSE 'estimated' END AS explained, CASE WHEN p_size % 5 = 0 THEN 'urgent_review' ELSE 'review_if_relevant' END AS recommended_action, count(*) AS n FROM part GROUP BY ALL""")
+def filled_hazards(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    found = gates.filled_hazard(F.when(size % 3 == 0, size.cast("string")).otherwise("high"), picked(key, "", "omission_finding", "contradiction", "contradiction"), F.when(size % 2 == 0, "seen"), F.when(size % 5 == 0, "urgent_review").otherwise(""))
+    rows = A.table(spark, d, "part").select(found.alias("h")).select("h.*").withColumn("explained", F.when(F.col("explanation") == "seen", "seen").otherwise("estimated"))
+    return rows.groupBy("error_type", "hazard_level", "explained", "recommended_action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@evaluation(_with(_CASES) + """, f AS (SELECT modality AS field, count(*) AS found FROM cases GROUP BY modality), s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'ct' WHEN 'O' THEN 'cxr' ELSE 'us' END AS field, count(*) - CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS declared FROM orders GROUP BY o_orderstatus)
+SELECT coalesce(f.field, s.field) AS field, found, declared FROM f FULL JOIN s ON f.field = s.field WHERE found IS DISTINCT FROM declared""")
+def run_count_problems(spark, d):
+    found = A.cases(spark, d).groupBy(F.col("modality").alias("field")).agg(F.count(F.lit(1)).alias("value"))
+    declared = found.select(F.when(F.col("field") == "mri", "us").otherwise(F.col("field")).alias("field"), (F.col("value") - F.when(F.col("field") == "cxr", 1).otherwise(0)).alias("value"))
+    return gates.count_problems(found, declared)
+
+
+@evaluation("""SELECT o_orderkey AS case_id, d.lang, d.source FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey""")
+def cases_with_documents(spark, d):
+    documents = A.table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.col("doc_id").cast("string").alias("path"), "lang", "source")
+    return work.with_documents(A.cases(spark, d), documents).select("case_id", F.col("document.lang").alias("lang"), F.col("document.source").alias("source"))
+
+
+def _registry(spark, d):
+    key = F.col("p_partkey")
+    new = F.format_string('{"schema_version": "2.0", "name": "%s", "modalities": ["ct", "mri"], "ready": true, "temperature": %d.5}', "p_name", F.col("p_size") % 3)
+    old, bad = F.format_string('{"modality": "cxr", "brand": "%s"}', "p_brand"), F.lit('{"schema_version": "2.0", "ready": "perhaps", "temperature": "warm"}')
+    return A.table(spark, d, "part").select(F.concat(F.lit("m"), key.cast("string")).alias("id"), F.when(key % 5 == 0, old).when(key % 5 == 1, bad).when(key % 5 == 2, F.lit("{")).otherwise(new).alias("body"))
+
+
+@evaluation("""SELECT 'm' || p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'm' || p_partkey ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN 'cxr' ELSE 'ct;mri' END AS modalities, p_partkey % 5 <> 0 AS ready,
+  CASE WHEN p_partkey % 5 = 0 THEN 0e0 ELSE p_size % 3 + 0.5e0 END AS temperature, p_partkey % 5 = 0 AS legacy FROM part WHERE p_partkey % 5 NOT IN (1, 2)""")
+def registry_entries(spark, d):
+    good, _ = work.registry_entries(_registry(spark, d))
+    return good.withColumn("modalities", F.array_join("modalities", ";"))
+
+
+@evaluation("""SELECT CASE WHEN p_partkey % 5 = 2 THEN 'body' ELSE f END AS field, count(*) AS n FROM part, (VALUES ('$.ready'), ('$.temperature')) t(f) WHERE p_partkey % 5 = 1 OR (p_partkey % 5 = 2 AND f = '$.ready') GROUP BY 1""")
+def registry_errors(spark, d):
+    return work.registry_entries(_registry(spark, d))[1].groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@evaluation("""SELECT n_nationkey AS ordinal, 'E' || n_nationkey AS experiment_id, coalesce(c.n, 0) AS n, CASE WHEN c.n > 0 THEN 'evidence_available' WHEN n_regionkey < 2 THEN 'ready_for_generation' ELSE 'missing_inputs' END AS status
+FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey) c ON c.s_nationkey = n_nationkey""")
+def experiment_rows(spark, d):
+    name = lambda c: F.concat(F.lit("E"), F.col(c).cast("string")).alias("experiment_id")
+    nations = A.table(spark, d, "nation")
+    counts = A.table(spark, d, "supplier").groupBy(name("s_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    return work.experiment_rows(counts, nations.where("n_regionkey < 2").select(name("n_nationkey")), nations.select(F.col("n_nationkey").alias("ordinal"), name("n_nationkey")))
+
+
+@evaluation(_with(_FINDINGS, _LEVELS) + f""", o AS (SELECT case_id, observation, count(*) FILTER (WHERE side = 'cand') AS c, count(*) FILTER (WHERE side = 'ref') AS r FROM findings GROUP BY case_id, observation),
+  m AS (SELECT case_id, CAST(sum(c) AS BIGINT) AS n_cand, CAST(sum(r) AS BIGINT) AS n_ref, CAST(sum(least(c, r)) AS BIGINT) AS matched FROM o GROUP BY case_id),
+  a AS (SELECT case_id, count(*) AS compared, count(*) FILTER (WHERE level = review_level) AS exact FROM hazards GROUP BY case_id)
+SELECT o_orderkey AS case_id, coalesce(n_cand, 0) AS n_cand, coalesce(n_ref, 0) AS n_ref, {_r('matched / greatest(n_cand, 1)', 4)} AS precision, {_r('matched / greatest(n_ref, 1)', 4)} AS recall, coalesce(errors, 0) AS errors, coalesce(max_level, 0) AS max_level,
+  coalesce(material, 0) AS material, coalesce(unresolved, 0) AS unresolved, coalesce(compared, 0) AS compared, {_r('exact / compared', 4)} AS exact_rate FROM orders LEFT JOIN m ON m.case_id = o_orderkey LEFT JOIN ch ON ch.case_id = o_orderkey LEFT JOIN a ON a.case_id = o_orderkey""")
+def case_evaluation_metrics(spark, d):
+    alignment = matching.alignment_metrics(A.findings(spark, d)).select("case_id", "n_cand", "n_ref", "precision", "recall")
+    agreement = statistics.level_agreement(A.hazards(spark, d), "level", "review_level", ["case_id"]).select("case_id", "compared", "exact_rate")
+    hazards = E.case_hazards(_levels(spark, d)).select("case_id", "errors", "max_level", "material", "unresolved")
+    return E.case_metrics(A.cases(spark, d), alignment, hazards, agreement)
+
+
+@evaluation("""WITH f AS (SELECT l_orderkey AS case_id, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY case_id) SELECT o_orderkey AS case_id, coalesce(n, 0) AS findings, least(1e0, coalesce(n, 0) / greatest(o_orderkey % 5, 1)) AS coverage, CASE WHEN n IS NULL THEN 'no_findings_extracted' END AS warning
+FROM orders LEFT JOIN f ON case_id = o_orderkey""")
+def extraction_coverage(spark, d):
+    found = A.findings(spark, d).where("side = 'cand'")
+    return E.extraction_coverage(A.cases(spark, d).withColumnRenamed("batch", "items"), found, "items")
+
+
+@evaluation("""SELECT * FROM (VALUES ('blue widget', 'widget', true, 11, 1), ('small ring', 'ring', false, 10, 2), ('red ring', 'ring', true, 8, 3), ('widget', 'widget', false, 6, 4), ('ring', 'ring', false, 4, 5)) t(spelling, code, normal, length, priority)""")
+def alias_table(spark, d):
+    return ontology.alias_table(spark, (ontology.Concept("ring", "hand", ("ring", "small ring"), ("red ring",)), ontology.Concept("widget", "desk", ("widget",), ("blue widget",))))
