@@ -42,9 +42,15 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and cuts the lineage there."""
+    """Writes the rows to the shared checkpoint folder and cuts the lineage there.
+
+    Executors keep the shuffle files of steps that nothing refers to any more until the driver collects its garbage, which a
+    driver with little to do does late; so that they don't pile up over many steps, it is asked to here.
+    """
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
