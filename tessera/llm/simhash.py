@@ -278,7 +278,10 @@ def _candidates(lo: np.ndarray, hi: np.ndarray, radius: int) -> tuple[np.ndarray
     """
     n = len(lo)
     far = np.uint8(255)
-    gap = (np.bitwise_count(lo[:, None] ^ lo[None, :]) + np.bitwise_count(hi[:, None] ^ hi[None, :])).astype(np.uint8)
+    gap = np.empty((n, n), np.uint8)
+    for at in range(0, n, 128):  # in strips, as the exclusive-ors are eight times as wide as their counts
+        part = slice(at, at + 128)
+        gap[part] = np.bitwise_count(lo[part, None] ^ lo[None, :]) + np.bitwise_count(hi[part, None] ^ hi[None, :])
     gap[gap > radius] = far
     np.fill_diagonal(gap, far)
     degree = (gap != far).sum(axis=1)
