@@ -36,7 +36,7 @@ LEAF = 1024
 #: How far a match may look ahead from its start besides its own run and one character: the longest contraction, ``'re``.
 LOOK = 3
 #: Bytes up to which a piece is merged by plain search, characters of a piece that is remembered, and half the pieces remembered.
-SHORT, KNOWN_CHARS, KNOWN = 24, 32, 1 << 19
+SHORT, KNOWN_CHARS, KNOWN = 24, 32, 1 << 18
 #: No rank.
 NONE = 1 << 62
 

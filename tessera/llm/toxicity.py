@@ -37,8 +37,10 @@ LEAST_STEM, LEAST_FUZZY_WORD, LEAST_FUZZY_STEM = 4, 5, 6
 WINDOW = 60
 #: Windows that a word's share among the windows of toxic and of other documents is drawn towards its share in all by.
 PRIOR = 20.0
+#: Documents whose words are counted at once, which bounds the driver's memory.
+PART = 128
 #: Words whose kind a worker remembers.
-KNOWN = 1 << 18
+KNOWN = 1 << 16
 #: Scripts that put no space between words: there each two neighbouring characters are a word.
 _SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U000323af"
 _WORD, _ANY_SPACELESS, _RUN = re.compile(r"\w+"), re.compile(f"[{_SPACELESS}]"), re.compile(rf"[{_SPACELESS}]+|[^\W{_SPACELESS}]+")
@@ -149,22 +151,35 @@ class Vocabulary:
         self.parent = np.full(len(self.words), -1, np.int64)
         self.text, self.low, self.high = list(self.words), list(range(len(self.words))), list(range(1, len(self.words) + 1))
         self._branches()
-        doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-        word = np.array([number[w] for d in documents for w in d], np.int64)
-        n = np.array([n for d in documents for n in d.values()], np.int64)
         self.totals = np.array([d.total() for d in documents], np.int64)
-        self.doc, self.word, self.n = doc, word, n
-        keys, sums = [doc * len(self.text) + word], [n]
-        at, up = doc, self.parent[word]
+        doc, word, count, at, entry, mass = [], [], [], [], [], []
+        for start in range(0, len(documents), PART):
+            part = documents[start : start + PART]
+            d = np.repeat(np.arange(start, start + len(part), dtype=np.int32), [len(x) for x in part])
+            w = np.fromiter((number[x] for words_ in part for x in words_), np.int32, len(d))
+            n = np.fromiter((k for words_ in part for k in words_.values()), np.int32, len(d))
+            doc.append(d)
+            word.append(w)
+            count.append(n)
+            places, hits = self._by_entry(d, w, n)
+            at.append((places // len(self.text)).astype(np.int32))
+            entry.append((places % len(self.text)).astype(np.int32))
+            mass.append(np.minimum(DENSE, 100 * hits / np.maximum(1, self.totals[at[-1]])).astype(np.float64))
+        join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
+        self.doc, self.word, self.n = join(doc, np.int32), join(word, np.int32), join(count, np.int32)
+        self.at, self.entry, self.mass = join(at, np.int32), join(entry, np.int32), join(mass, np.float64)
+
+    def _by_entry(self, doc: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and entry in one number, for each word and all branches above it, and how often the document has it."""
+        at, keys, sums = doc.astype(np.int64), [doc * np.int64(len(self.text)) + word], [n]
+        up = self.parent[word]
         while (below := up >= 0).any():
             at, up, n = at[below], up[below], n[below]
             keys.append(at * len(self.text) + up)
             sums.append(n)
             up = self.parent[up]
         keys, place = np.unique(np.concatenate(keys), return_inverse=True)
-        hits = np.bincount(place, np.concatenate(sums), len(keys))
-        self.at, self.entry = keys // max(1, len(self.text)), keys % max(1, len(self.text))
-        self.mass = np.minimum(DENSE, 100 * hits / np.maximum(1, self.totals[self.at]))
+        return keys, np.bincount(place, np.concatenate(sums), len(keys))
 
     def _branches(self) -> None:
         """Adds an entry for each branch of LEAST_STEM letters or more, from neighbours' common beginnings."""
@@ -200,7 +215,7 @@ class Vocabulary:
 
     def sums(self, part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By part and entry the documents that hold it and its density in them, and the documents of each part."""
-        key = part[self.at] * len(self.text) + self.entry
+        key = part[self.at] * np.int64(len(self.text)) + self.entry
         size = parts * len(self.text)
         shape = (parts, len(self.text))
         return np.bincount(key, minlength=size).reshape(shape), np.bincount(key, self.mass, size).reshape(shape), np.bincount(part, minlength=parts)
