@@ -79,6 +79,8 @@ class Codec:
         self.older = regex.compile(older, regex.V1)
         self.known: dict[str, tuple[int, ...]] = {}
         self.once: dict[str, tuple[int, ...]] = {}
+        self.sizes: dict[str, int] = {}
+        self.sizes_once: dict[str, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _merge(self, data: bytes) -> list[int]:
@@ -158,15 +160,36 @@ class Codec:
         """The tokens of one pre-token: itself if it is a token, else by merges."""
         if (found := self.known.get(text)) is None:
             if (found := self.once.get(text)) is None:
-                data = text.encode()
-                rank = self.ranks.get(data)
-                found = tuple(self._merge_tree(data)) if rank is None else (rank,)
+                found = tuple(self._tokens(text))
             if len(text) <= KNOWN_CHARS:
                 if len(self.known) >= KNOWN:  # what is asked for again comes back from there
                     self.known, self.once = {}, self.known
                 self.known[text] = found
         return found
 
+    def _tokens(self, text: str) -> list[int]:
+        data = text.encode()
+        rank = self.ranks.get(data)
+        return self._merge_tree(data) if rank is None else [rank]
+
+    def counts(self, found: list[str]) -> list[int]:
+        """The numbers of tokens of pre-tokens; twice as many are remembered, as a number takes less room than the tokens."""
+        out = list(map(self.sizes.get, found))
+        if None in out:
+            for i, n in enumerate(out):
+                if n is None:
+                    out[i] = self._size(found[i])
+        return out
+
+    def _size(self, text: str) -> int:
+        if (n := self.sizes.get(text) or self.sizes_once.get(text)) is None:
+            n = len(self._tokens(text))
+        if len(text) <= KNOWN_CHARS:
+            if len(self.sizes) >= 2 * KNOWN:
+                self.sizes, self.sizes_once = {}, self.sizes
+            self.sizes[text] = n
+        return n
+
     def split(self, text: str) -> list[str]:
         return self.splitter(text).findall(text)
 

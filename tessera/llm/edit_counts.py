@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -80,14 +81,14 @@ def _segments(root: _Node | None) -> list[_Node]:
 
 def segments_of(tool: Codec, pieces: list[str], segment: int = SEGMENT) -> list[tuple[int, int]]:
     """(characters, tokens) of the segments of a text, given as its pre-tokens."""
-    out, size, count = [], 0, 0
-    for piece, tokens in zip(pieces, tool.pieces(pieces)):
-        size += len(piece)
-        count += len(tokens)
-        if size >= segment:
-            out.append((size, count))
-            size = count = 0
-    return [*out, (size, count)] if size else out
+    ends = list(accumulate(map(len, pieces)))
+    counts = list(accumulate(tool.counts(pieces), initial=0))
+    out, at, start = [], 0, 0
+    while at < len(pieces):
+        until = min(bisect_left(ends, start + segment), len(pieces) - 1) + 1
+        out.append((ends[until - 1] - start, counts[until] - counts[at]))
+        at, start = until, ends[until - 1]
+    return out
 
 
 class TokenTree:
@@ -132,14 +133,14 @@ class TokenTree:
         # Right of it: until a pre-token begins where a segment does.
         while True:
             beside, rest = _split(after, LOOK + 1)  # so that no match before them ends where the text seems to
-            ahead = text + "".join(n.part for n in _segments(beside))
-            pieces = self.tool.split(ahead)
+            behind = "".join(n.part for n in _segments(beside))
+            pieces = self.tool.split(text + behind[: 4 * LOOK])
             ends = list(accumulate(map(len, pieces), initial=0))
             at = bisect_left(ends, len(text))
             if ends[at] == len(text):
                 after = _merged(beside, rest)
                 break
-            text, after = ahead, rest
+            text, after = text + behind, rest
         self.reencoded += len(text)
         self.root = _merged(_merged(before, self._tree(text, segments_of(self.tool, pieces[:at], self.segment))), after)
 
@@ -186,6 +187,27 @@ def _array(trees: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=["chars", "tokens"]))
 
 
+def _lists(column: pa.ListArray) -> list[list[tuple] | None]:
+    """The structs of each row's list as tuples, without a dict for each of them; null rows stay null."""
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(i).to_pylist() for i in range(flat.type.num_fields)))) if len(flat) else []
+    missing = [not ok for ok in flat.is_valid().to_pylist()] if flat.null_count else []
+    if missing:
+        rows = [None if gone else r for r, gone in zip(rows, missing)]
+    out, at = [], 0
+    for n in pc.list_value_length(column).to_pylist():
+        out.append(None if n is None else rows[at : at + n])
+        at += n or 0
+    return out
+
+
+def _edits(column: pa.ListArray) -> list[list[tuple]]:
+    """start, length and replacement of each row's edits, null ones left out."""
+    names = [column.type.value_type.field(i).name for i in range(column.type.value_type.num_fields)]
+    order = [names.index(n) for n in ("start", "length", "replacement")]
+    return [[tuple(e[i] for i in order) for e in edits or [] if e is not None] for edits in _lists(column)]
+
+
 def with_segments(docs: DataFrame, out: str = "segments", vocabulary: str = "byte_bpe_multi_50k.tiktoken", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``out``, the tree of each text: (chars, tokens) of its segments in order.
 
@@ -221,12 +243,12 @@ def apply_edits(
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tool = codec(*_named(vocabulary))
         rows: list[tuple] = []
-        for text, edits, kept in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            tree = TokenTree(text or "", tool, kept=None if kept is None else [(s["chars"], s["tokens"]) for s in kept])
+        for text, edits, kept in zip(batch.column(1).to_pylist(), _edits(batch.column(2)), _lists(batch.column(3))):
+            tree = TokenTree(text or "", tool, kept=kept)
             before, tree.reencoded = tree.count, 0
             for edit in edits or []:
-                if edit:
-                    tree.replace(edit["start"] or 0, edit["length"] or 0, edit["replacement"] or "")
+                start, length, new = edit
+                tree.replace(start or 0, length or 0, new or "")
             rows.append((before, tree.count, tree.reencoded, tree.text, tree.segments))
         columns = list(zip(*rows)) or [()] * 5
         return pa.RecordBatch.from_arrays(
