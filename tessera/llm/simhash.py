@@ -29,6 +29,8 @@ BITS = 64
 TILE, WIDE_TILE, MEAN_BUCKET = 4096, 2048, 2048
 #: For wide fingerprints: bits drawn for a table at least, and the chance that a pair at the threshold meets in no table.
 SAMPLED, MISSED = 16, 0.002
+#: Tables of wide fingerprints that are met first, so that the others need not return again what these have connected.
+FIRST = 8
 #: Pairs a row up to which a group of close fingerprints is sparse, and the shingles of one side of a tile of a dense group.
 SPARSE, SIDE = 2, 250_000
 
@@ -252,51 +254,53 @@ def sampled_tables(count: int, similarity: float) -> tuple[int, int, int]:
     return bits, tables, ceil(128 * p + 4 * (128 * p * (1 - p)) ** 0.5)
 
 
-def _keys(bits: int, tables: int):
-    """An Arrow map of (lo, hi) to (tile, lo, hi), once for each table."""
+def _keys(bits: int, tables: range):
+    """An Arrow map of (lo, hi, grp) to (tile, lo, hi, grp), once for each of the tables with these numbers."""
     rng = np.random.default_rng(5)
-    drawn = [rng.choice(128, bits, replace=False) for _ in range(tables)]
-    masks = np.array([[sum(1 << int(b) for b in d if b < 64), sum(1 << int(b) - 64 for b in d if b >= 64)] for d in drawn], np.uint64)
+    drawn = [rng.choice(128, bits, replace=False) for _ in range(tables.stop)][tables.start :]
+    masks = np.array([[sum(1 << int(b) for b in d if b < 64), sum(1 << int(b) - 64 for b in d if b >= 64)] for d in drawn], np.uint64).reshape(-1, 2)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lo, hi = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-        salt = np.arange(1, tables + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        salt = np.arange(tables.start + 1, tables.stop + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
         key = ((lo[:, None] & masks[:, 0]) + salt) * np.uint64(0xBF58476D1CE4E5B9)
         key = ((key ^ (key >> np.uint64(31))) + (hi[:, None] & masks[:, 1])) * np.uint64(0x94D049BB133111EB)
         key ^= key >> np.uint64(30)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(lo.view(np.int64), tables)), pa.array(np.repeat(hi.view(np.int64), tables))], names=["tile", "lo", "hi"]
-        )
+        rows = [np.repeat(c.to_numpy(zero_copy_only=False), len(tables)) for c in batch.columns]
+        return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), *map(pa.array, rows)], names=["tile", "lo", "hi", "grp"])
 
     return run
 
 
-def _candidates(lo: np.ndarray, hi: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(lo: np.ndarray, hi: np.ndarray, radius: int, grp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the ends of pairs up to ``radius`` of up to a few thousand fingerprints, and whether their group is dense.
 
-    Of a group (what the pairs connect) with up to SPARSE pairs a row, all pairs. Of a dense one a least spanning forest.
+    Rows with one ``grp`` (0: none) are one node, whose own pairs are left out. Of a group (what the pairs connect) with up to
+    SPARSE pairs a node, all pairs. Of a dense one a least spanning forest of its nodes.
     """
     n = len(lo)
+    _, node = np.unique(np.where(grp == 0, -1 - np.arange(n), np.unique(grp, return_inverse=True)[1]), return_inverse=True)
     far = np.uint8(255)
     gap = np.empty((n, n), np.uint8)
     for at in range(0, n, 128):  # in strips, as the exclusive-ors are eight times as wide as their counts
         part = slice(at, at + 128)
         gap[part] = np.bitwise_count(lo[part, None] ^ lo[None, :]) + np.bitwise_count(hi[part, None] ^ hi[None, :])
+        gap[part][node[part, None] == node[None, :]] = far
     gap[gap > radius] = far
-    np.fill_diagonal(gap, far)
     degree = (gap != far).sum(axis=1)
-    i, j, label = _least_forest(gap.copy(), radius)
-    dense = np.bincount(label, degree, n) > 2 * SPARSE * np.bincount(label, minlength=n)
+    i, j, label = _least_forest(gap.copy(), radius, node)
+    nodes = np.bincount(label[np.unique(node, return_index=True)[1]], minlength=n)
+    dense = np.bincount(label, degree, n) > 2 * SPARSE * nodes
     x, y = np.nonzero(np.triu(gap != far, 1) & ~dense[label][:, None])
     i, j = i[dense[label[i]]], j[dense[label[i]]]
     return np.concatenate((x, i)), np.concatenate((y, j)), np.repeat((False, True), (len(x), len(i)))
 
 
-def _least_forest(gap: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the ends of a least spanning forest by the distances ``gap`` (overwritten), and the tree of each row."""
+def _least_forest(gap: np.ndarray, radius: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the ends of a least spanning forest of the rows' nodes by the distances ``gap`` (overwritten), and the tree of each row."""
     n = len(gap)
     far = np.uint8(255)
-    label = np.arange(n)
+    label = node.copy()
     ends: tuple[list[int], list[int]] = [], []
     while True:
         gap[label[:, None] == label[None, :]] = far
@@ -317,14 +321,14 @@ def _least_forest(gap: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _wide_compare(radius: int):
-    """An Arrow map over rows sorted by ``tile``, then lo and hi: pairs up to ``radius`` as (lo, hi, lo2, hi2, dense).
+    """An Arrow map over rows (tile, lo, hi, grp) sorted by these: pairs up to ``radius`` as (lo, hi, lo2, hi2, dense).
 
     A batch's rows are compared within their buckets by their distance in the sorted order, all buckets at once; a bucket with
     several pairs, or with many rows (2 x WIDE_TILE or so at most), returns all pairs of its sparse groups and a forest of
-    each dense one.
+    each dense one. Pairs within one ``grp`` (0: none) are left out.
     """
 
-    def links_of(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links_of(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, grp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
         size = np.diff(np.concatenate((low, [len(keys)])))
         number = np.repeat(np.arange(len(low)), size)
@@ -338,7 +342,7 @@ def _wide_compare(radius: int):
             if not len(i):
                 break
             gap = np.bitwise_count(lo[i] ^ lo[i + step]) + np.bitwise_count(hi[i] ^ hi[i + step])
-            i = i[gap <= radius]
+            i = i[(gap <= radius) & ((grp[i] == 0) | (grp[i] != grp[i + step]))]
             np.add.at(near, number[i], 1)
             found.append((i, i + step))
         if found:
@@ -348,7 +352,7 @@ def _wide_compare(radius: int):
             yield np.stack([lo[i], hi[i], lo[j], hi[j]]), np.zeros(len(i), bool)
         for k in np.flatnonzero((near > 2) | ~small):
             part = slice(low[k], low[k] + size[k])
-            x, y, dense = _candidates(lo[part], hi[part], radius)
+            x, y, dense = _candidates(lo[part], hi[part], radius, grp[part])
             yield np.stack([lo[part][x], hi[part][x], lo[part][y], hi[part][y]]), dense
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +373,7 @@ def _wide_compare(radius: int):
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if rows.shape[1] > 1:
-            for x, dense in links_of(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64)):
+            for x, dense in links_of(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64), rows[3]):
                 if x.shape[1]:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in x), pa.array(dense)], names=["lo", "hi", "lo2", "hi2", "dense"])
 
@@ -384,30 +388,70 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarit
     of MISSED at most, a closer one far more rarely. All pairs that meet within the radius are confirmed, in dense groups only
     as far as the links confirmed before leave them apart. Of keys with one wide fingerprint the least one enters the tables,
     and the others count as of its dense group.
+
+    The FIRST tables come first, large buckets in them by tiles that don't meet one another yet. What their links and dense
+    groups connect is one node for all that follows: all of it is compared in the end, so its pairs need not be returned by
+    every table and every two tiles, which would be as many as the square of a group that fills large buckets.
     """
-    spark = prints.sparkSession
     first = checkpointed(prints.groupBy("lo", "hi").agg(F.min("key").alias("key"), (F.count(F.lit(1)) > 1).alias("shared")))
     count = first.count()
     bits, tables, radius = sampled_tables(count, similarity)
-    keyed = first.select("lo", "hi").mapInArrow(per_batch(_keys(bits, tables), 4096), "tile bigint, lo bigint, hi bigint")
+    head, rest = range(min(FIRST, tables)), range(min(FIRST, tables), tables)
+    same = prints.select("key", "lo", "hi").join(first.withColumnRenamed("key", "a"), ["lo", "hi"]).where("key <> a").select("a", F.col("key").alias("b"), F.lit(True).alias("dense"))
+    alone = first.withColumn("grp", F.lit(0).cast("long"))
+    keyed = _keyed(alone, bits, head)
+    large = _large(keyed)
+    candidates = checkpointed(_met(alone, keyed, large, radius, False, count * len(head)).union(same))
+    sure = _confirmed(candidates, texts, width, similarity)
+    dense = candidates.where("dense").select("a", "b")
+
+    groups = components(dense.union(sure)).select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
+    grouped = checkpointed(first.join(groups, "key", "left").withColumn("grp", F.coalesce("grp", F.lit(0))))
+    keyed = _keyed(grouped, bits, rest)
+    larger = _large(keyed)
+    if not large.isEmpty():
+        keyed = keyed.union(_keyed(grouped, bits, head).join(large, "tile", "left_semi"))
+        larger = larger.union(large)
+    candidates = checkpointed(_met(grouped, keyed, larger, radius, True, count * tables))
+    sure = sure.union(_confirmed(candidates, texts, width, similarity))
+    dense = dense.union(candidates.where("dense").select("a", "b"))
+    return sure if dense.isEmpty() else sure.union(_links_left(dense, sure, texts, width, similarity))
+
+
+def _keyed(rows: DataFrame, bits: int, tables: range) -> DataFrame:
+    return rows.select("lo", "hi", "grp").mapInArrow(per_batch(_keys(bits, tables), 4096), "tile bigint, lo bigint, hi bigint, grp bigint")
+
+
+def _large(keyed: DataFrame) -> DataFrame:
+    """The buckets of more than WIDE_TILE rows, and the salts that their rows are dealt to."""
     large = keyed.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_TILE)
-    large = checkpointed(large.select("tile", F.ceil(F.col("n") / WIDE_TILE).alias("salts")))
+    return checkpointed(large.select("tile", F.ceil(F.col("n") / WIDE_TILE).alias("salts")))
+
+
+def _met(rows: DataFrame, keyed: DataFrame, large: DataFrame, radius: int, across: bool, most: int) -> DataFrame:
+    """Keys a and b of pairs of ``rows`` (key, lo, hi, shared, grp) that meet within the radius in a bucket, and whether they are of a dense group.
+
+    The rows of a large bucket are salted. If ``across``, each salt meets each other in a tile of its own, else only itself.
+    ``keyed`` has ``most`` rows or fewer.
+    """
     dealt = keyed.join(F.broadcast(large) if large.count() <= 50_000 else large, "tile", "left")
-    # The rows of a large bucket are salted; each salt meets each other in a tile of its own.
-    other = F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.expr("sequence(0L, salts - 1)")))
-    dealt = dealt.withColumn("other", other).withColumn("own", F.coalesce(F.pmod(F.xxhash64("lo", "hi"), F.col("salts")), F.lit(0)))
+    dealt = dealt.withColumn("own", F.coalesce(F.pmod(F.xxhash64("lo", "hi"), F.col("salts")), F.lit(0)))
+    others = F.when(F.col("salts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.expr("sequence(0L, salts - 1)"))
+    dealt = dealt.withColumn("other", F.explode(others) if across else F.col("own"))
     salted = F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other"))
-    tiles = dealt.select(F.when(F.col("salts").isNull(), F.col("tile")).otherwise(salted).alias("tile"), "lo", "hi")
-    n = max(partitions(spark), -(-count * tables // 1_000_000))
+    tiles = dealt.select(F.when(F.col("salts").isNull(), F.col("tile")).otherwise(salted).alias("tile"), "lo", "hi", "grp")
+    n = max(partitions(rows.sparkSession), -(-most // 1_000_000))
     tiles = tiles.repartition(n, "tile").sortWithinPartitions("tile", "lo", "hi")
     pairs = tiles.mapInArrow(_wide_compare(radius), "lo bigint, hi bigint, lo2 bigint, hi2 bigint, dense boolean")
     ends = [F.struct("lo", "hi"), F.struct(F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))]
     pairs = pairs.groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).agg(F.max("dense").alias("dense"))
-    one = first.select(F.struct("lo", "hi").alias("x"), F.col("key").alias("a"), F.col("shared").alias("shared_a"))
-    two = first.select(F.struct("lo", "hi").alias("y"), F.col("key").alias("b"), F.col("shared").alias("shared_b"))
-    candidates = pairs.join(one, "x").join(two, "y").select("a", "b", F.expr("dense OR shared_a OR shared_b").alias("dense"))
-    same = prints.select("key", "lo", "hi").join(first.withColumnRenamed("key", "a"), ["lo", "hi"]).where("key <> a").select("a", F.col("key").alias("b"), F.lit(True))
-    candidates = checkpointed(candidates.union(same))
+    one = rows.select(F.struct("lo", "hi").alias("x"), F.col("key").alias("a"), F.col("shared").alias("shared_a"))
+    two = rows.select(F.struct("lo", "hi").alias("y"), F.col("key").alias("b"), F.col("shared").alias("shared_b"))
+    return pairs.join(one, "x").join(two, "y").select("a", "b", F.expr("dense OR shared_a OR shared_b").alias("dense"))
+
+
+def _confirmed(candidates: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a and b) of ``candidates`` whose whole texts have that similarity or more."""
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     both = join_unique(join_unique(candidates, left, "a"), right, "b", counted=candidates).select("a", "b", "text_a", "text_b")
@@ -416,19 +460,17 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarit
         keep = [jaccard(a, b, width) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         return pa.RecordBatch.from_arrays(batch.columns[:2], schema=pa.schema([batch.schema.field(0), batch.schema.field(1)])).filter(pa.array(keep, pa.bool_()))
 
-    sure = checkpointed(both.mapInArrow(per_batch(confirm, 256), StructType(both.schema.fields[:2])))
-    dense = candidates.where("dense").select("a", "b")
-    return sure if dense.isEmpty() else sure.union(_links_left(dense, sure, texts, width, similarity))
+    return checkpointed(both.mapInArrow(per_batch(confirm, 256), StructType(both.schema.fields[:2])))
 
 
 def _links_left(dense: DataFrame, sure: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a and b) that with the links ``sure`` connect all that is similar within a group that the pairs ``dense`` connect.
+    """Links (a and b) that with the links ``sure`` connect all that is similar within a group that ``dense`` and ``sure`` connect.
 
     Only groups that ``sure`` leaves apart are read. There each row outside the group's largest part meets all others, in a
     grid of tiles of SIDE shingles or so a side.
     """
     spark = dense.sparkSession
-    groups = components(dense).select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
+    groups = components(dense.union(sure)).select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
     parts = components(sure).select(F.col("node").alias("key"), "root")
     rows = checkpointed(groups.join(parts, "key", "left").select("key", "grp", F.xxhash64(F.coalesce("root", "key")).alias("part")))
     sizes = rows.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -110,6 +110,38 @@ def test_copies_of_one_base_are_all_caught(spark):
     assert [r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()] == [0]
 
 
+def test_pairs_of_a_large_group_are_in_proportion_to_its_rows(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = []
+    for base in ([f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(3)):
+        for _ in range(200):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randint(0, 6)):
+                words[at] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words), "en", "s"))
+    sets = [set(np.frombuffer(simhash.shingle_digests(r[1], 5), np.uint64).tolist()) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    made, whole = spark.sparkContext.accumulator(0), simhash._wide_compare
+
+    def counted(radius):
+        def run(batches):
+            for b in whole(radius)(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return run
+
+    monkeypatch.setattr(simhash, "_wide_compare", counted)
+    monkeypatch.setattr(simhash, "WIDE_TILE", 16)
+    assert {r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()} == set(label)
+    assert 0 < made.value < 16 * len(rows)
+
+
 def test_parts_meet_as_all_pairs_say():
     rng = np.random.default_rng(3)
     for _ in range(30):
