@@ -70,6 +70,27 @@ def midrank_percentile(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.join(ranks, value, "left").withColumn("percentile", F.coalesce("percentile", F.lit(0.0)))
 
 
+def ordered_pair_counts(rows: DataFrame, group: str, order: str, first: Column, second: Column, width: int = 4096) -> DataFrame:
+    """``first``, ``second`` and ``n``: in how many pairs of rows of one group the row with the smaller ``order`` (an integer) has that first and the other that second.
+
+    No pair is made: rows are counted by value, then what lies below is summed over ranges of ``width`` and within each range.
+    Different values of ``first`` are few. Rows with a null group or order are in no pair, nor are two of one order.
+    """
+    at = F.col(order).cast("long")
+    placed = rows.where(F.col(group).isNotNull() & at.isNotNull()).select(F.col(group).alias("grp"), (at - F.pmod(at, F.lit(width))).alias("part"), at.alias("at"), first.alias("first"), second.alias("second"))
+    counts = placed.groupBy("grp", "part", "at", "first", "second").agg(F.count(F.lit(1)).alias("n"))
+    firsts = counts.select("grp", "first").distinct()
+
+    def below(keys: list[str], place: str) -> DataFrame:
+        ones = counts.groupBy(*keys, place, "first").agg(F.sum("n").alias("ones"))
+        twos = counts.groupBy(*keys, place, "second").agg(F.sum("n").alias("twos")).join(firsts, "grp")
+        line = Window.partitionBy(*keys, "first").orderBy(place).rangeBetween(Window.unboundedPreceding, -1)
+        summed = ones.unionByName(twos, allowMissingColumns=True).select("first", "second", "twos", F.sum("ones").over(line).alias("before"))
+        return summed.where("twos > 0 AND before > 0").select("first", "second", (F.col("twos") * F.col("before")).alias("n"))
+
+    return below(["grp"], "part").union(below(["grp", "part"], "at")).groupBy("first", "second").agg(F.sum("n").alias("n"))
+
+
 def weighted_means(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """The weighted mean of each metric; models without a weight count once; metrics without weight are left out."""
     joined = unpivoted(rows, [*keys, "model"]).join(weights, "model", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
