@@ -381,11 +381,11 @@ def _wide_compare(radius: int):
 
 
 def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (columns a and b, of the type of ``key``) between texts whose sets of shingles have that similarity or more.
+    """Rows a and b (of the type of ``key``) that connect the texts whose sets of shingles have that similarity or more.
 
     ``prints`` has a ``key`` (distinct, not null) and the columns lo and hi of ``with_wide_fingerprints``; ``texts`` has key
-    and text. Links returned are exact and connect what all links would; a pair at the threshold meets in no table with a chance
-    of MISSED at most, a closer one far more rarely. All pairs that meet within the radius are confirmed, in dense groups only
+    and text. Links are exact and connect what all links would; those of the tables come as stars, each text with the least key
+    that they connect it to. A pair at the threshold meets in no table with a chance of MISSED at most, a closer one far more rarely. All pairs that meet within the radius are confirmed, in dense groups only
     as far as the links confirmed before leave them apart. Of keys with one wide fingerprint the least one enters the tables,
     and the others count as of its dense group.
 
@@ -405,7 +405,8 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarit
     sure = _confirmed(candidates, texts, width, similarity)
     dense = candidates.where("dense").select("a", "b")
 
-    groups = components(dense.union(sure)).select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
+    stars = components(dense.union(sure))
+    groups = stars.select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
     grouped = checkpointed(first.join(groups, "key", "left").withColumn("grp", F.coalesce("grp", F.lit(0))))
     keyed = _keyed(grouped, bits, rest)
     larger = _large(keyed)
@@ -413,9 +414,14 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = 5, similarit
         keyed = keyed.union(_keyed(grouped, bits, head).join(large, "tile", "left_semi"))
         larger = larger.union(large)
     candidates = checkpointed(_met(grouped, keyed, larger, radius, True, count * tables))
-    sure = sure.union(_confirmed(candidates, texts, width, similarity))
-    dense = dense.union(candidates.where("dense").select("a", "b"))
-    return sure if dense.isEmpty() else sure.union(_links_left(dense, sure, texts, width, similarity))
+    more = _confirmed(candidates, texts, width, similarity)
+    sure = sure.union(more)
+    newly = candidates.where("dense").select("a", "b")
+    if dense.isEmpty() and newly.isEmpty():
+        return sure
+    parts = components(sure)
+    groups = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(newly).union(more))
+    return parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_links_left(groups, parts, texts, width, similarity))
 
 
 def _keyed(rows: DataFrame, bits: int, tables: range) -> DataFrame:
@@ -463,15 +469,15 @@ def _confirmed(candidates: DataFrame, texts: DataFrame, width: int, similarity:
     return checkpointed(both.mapInArrow(per_batch(confirm, 256), StructType(both.schema.fields[:2])))
 
 
-def _links_left(dense: DataFrame, sure: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a and b) that with the links ``sure`` connect all that is similar within a group that ``dense`` and ``sure`` connect.
+def _links_left(groups: DataFrame, parts: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a and b) that with ``parts`` connect all that is similar within one of ``groups``; both are of ``components``.
 
-    Only groups that ``sure`` leaves apart are read. There each row outside the group's largest part meets all others, in a
+    Only groups of several parts are read. There each row outside the group's largest part meets all others, in a
     grid of tiles of SIDE shingles or so a side.
     """
-    spark = dense.sparkSession
-    groups = components(dense.union(sure)).select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
-    parts = components(sure).select(F.col("node").alias("key"), "root")
+    spark = groups.sparkSession
+    groups = groups.select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
+    parts = parts.select(F.col("node").alias("key"), "root")
     rows = checkpointed(groups.join(parts, "key", "left").select("key", "grp", F.xxhash64(F.coalesce("root", "key")).alias("part")))
     sizes = rows.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
     apart = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -490,7 +496,7 @@ def _links_left(dense: DataFrame, sure: DataFrame, texts: DataFrame, width: int,
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, if(main, rest, rest + mains) - 1)")))
     tiles = dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "part", "main", "key", "digests")
     tiles = tiles.repartition(max(partitions(spark), 32), "tile").sortWithinPartitions("tile")
-    return tiles.mapInArrow(_confirm_tiles(similarity), StructType([sure.schema["a"], sure.schema["b"]]))
+    return tiles.mapInArrow(_confirm_tiles(similarity), StructType().add("a", groups.schema["key"].dataType).add("b", groups.schema["key"].dataType))
 
 
 def _confirm_tiles(similarity: float):

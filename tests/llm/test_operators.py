@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import additive_ann, bpe, catalog, edit_counts, exact_dedup, language_id, mixing, simhash, sparse_suffixes, toxicity, warc_revisits
 from tessera.llm.common import fresh, join_unique
+from tessera.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, size string, kept string, score string"
 
@@ -142,6 +143,26 @@ def test_pairs_of_a_large_group_are_in_proportion_to_its_rows(spark, monkeypatch
     assert 0 < made.value < 16 * len(rows)
 
 
+def test_components_are_those_of_all_links_in_few_tasks(spark):
+    rng = random.Random(17)
+    key = lambda i: (None if i == 0 else i // 2, i % 2)  # noqa: E731  ids may be null, and repeat
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(300, 360)] + [(400, i) for i in range(395, 520)] + [(5, 5), (7, 8), (8, 7)]
+    label = {i: i for p in pairs for i in p if p[0] != p[1]}
+    for a, b in pairs:
+        if a != b and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
+    kind = "struct<i:bigint,h:bigint>"
+    edges = spark.createDataFrame([(key(a), key(b)) for a, b in pairs], f"a {kind}, b {kind}")
+    spark.sparkContext.setJobGroup("components", "components")
+    found = [(tuple(r.node), tuple(r.root)) for r in components(edges).collect()]
+    jobs, tracker = spark.sparkContext.statusTracker().getJobIdsForGroup("components"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(str, found)) == sorted(str((key(i), key(x))) for i, x in label.items())
+    tasks = sum(tracker.getStageInfo(k).numCompletedTasks for k in {k for j in jobs for k in tracker.getJobInfo(j).stageIds} if tracker.getStageInfo(k))
+    assert 0 < tasks < 75
+
+
 def test_parts_meet_as_all_pairs_say():
     rng = np.random.default_rng(3)
     for _ in range(30):
